@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from jobloom.llm import linededup, packing, simhash
+from jobloom.llm import decontaminate, licenses, linededup, packing, rules, sharding, simhash
 
 QUERIES = {
+    "op2_rules": rules.op2_rules,
+    "op3_licenses": licenses.op3_licenses,
     "op4_line_dedup": linededup.op4_line_dedup,
     "op6_simhash": simhash.op6_simhash,
+    "op7_sharding": sharding.op7_sharding,
     "op9_packing": packing.op9_packing,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
-SQL = {"op4_line_dedup": linededup.OP4_SQL}
+SQL = {"op2_rules": rules.OP2_SQL, "op4_line_dedup": linededup.OP4_SQL}
