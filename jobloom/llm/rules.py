@@ -25,7 +25,7 @@ CUTOFFS = {
     "dup_lines": [0.1, 0.2, 0.3, 0.4, 0.5, 0.7],
     "repeats": [0.02, 0.05, 0.1, 0.15, 0.2],
     "capitals": [0.1, 0.2, 0.3, 0.5, 0.7],
-    "distinct": [0.3, 0.4, 0.5, 0.6, 0.7, 0.8],
+    "few_words": [0.3, 0.4, 0.5, 0.6, 0.7, 0.8],
 }
 
 
@@ -71,7 +71,7 @@ def metrics() -> dict[str, Column]:
         "dup_lines": share("n_dup_lines", "n_lines"),
         "repeats": share("n_repeat_words", "n_words"),
         "capitals": share("n_capitals", "word_chars"),
-        "distinct": F.lit(1) - share("n_distinct", "n_words"),
+        "few_words": F.lit(1) - share("n_distinct", "n_words"),
     }
 
 
@@ -141,7 +141,7 @@ _METRIC_SQL = {
     "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
     "repeats": "n_repeat_words / greatest(n_words, 1)",
     "capitals": "n_capitals / greatest(word_chars, 1)",
-    "distinct": "1 - n_distinct / greatest(n_words, 1)",
+    "few_words": "1 - n_distinct / greatest(n_words, 1)",
 }
 _TESTS = ", ".join(f"('{r}', CAST({c} AS DOUBLE))" for r, cs in CUTOFFS.items() for c in cs)
 _A = ALPHA / len(CUTOFFS)
@@ -162,7 +162,7 @@ m AS (
 v AS (SELECT *, {", ".join(f"{e} AS {k}" for k, e in _METRIC_SQL.items())} FROM m),
 h AS (SELECT v.*, q.quality >= 1 AS good FROM v JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) q USING (doc_id)),
 x AS (
-  SELECT stratum, rule, cutoff, CAST(sum(CAST(good AS INT)) AS BIGINT) AS n, sum(CAST(good AND metric > cutoff AS INT)) AS k, sum(CAST(NOT good AND metric > cutoff AS INT)) AS bad
+  SELECT stratum, rule, cutoff, CAST(sum(CAST(good AS INT)) AS BIGINT) AS n, CAST(sum(CAST(good AND metric > cutoff AS INT)) AS BIGINT) AS k, CAST(sum(CAST(NOT good AND metric > cutoff AS INT)) AS BIGINT) AS bad
   FROM (SELECT stratum, good, c.rule, c.cutoff, CASE c.rule {" ".join(f"WHEN '{k}' THEN {k}" for k in _METRIC_SQL)} END AS metric FROM h CROSS JOIN (VALUES {_TESTS}) c(rule, cutoff))
   GROUP BY ALL),
 d AS (
