@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,3 +82,9 @@ def bounds_of(columns: list[np.ndarray]) -> np.ndarray:
     for v in columns:
         differs[1:] |= v[1:] != v[:-1]
     return np.concatenate([[0], np.flatnonzero(differs), [n]]).astype(np.int64)
+
+
+def stage_dir(spark: SparkSession) -> str:
+    """A new folder for written tables below the shared checkpoint folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="jobloom-")
+    return f"{base.rstrip('/')}/stages-{uuid.uuid4().hex}"

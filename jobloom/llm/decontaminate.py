@@ -17,6 +17,8 @@ Q = 12
 RATE = 0.07
 #: Characters of items indexed, and so broadcast, at once; more items take more passes over the documents.
 BLOCK_CHARS = 4 << 20
+#: Bytes of texts that are looked through together.
+BUFFER = 256 << 10
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -115,6 +117,18 @@ class GramIndex:
         return found
 
 
+    def best_matches(self, texts: list[bytes | None]) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(row, item) -> (edits, start, length) of the best match of each item in each text."""
+        texts = [folded(t) for t in texts]
+        begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for k, edits, start, end in self.matches(_GAP.join(texts)):
+            row = int(np.searchsorted(begins, end - 1, side="right")) - 1
+            place = (edits, max(0, start - int(begins[row])), end - start)
+            best[row, k] = min(best.get((row, k), place), place)
+        return best
+
+
 def benchmark_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
     """(doc_id, item_id, n_edits, start, length): for each text and item, the best place where the text holds the item.
 
@@ -133,14 +147,8 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 
         def of(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = GramIndex(shared.value, q, rate)
-            for batch in small_batches(batches, 256 << 10):
-                texts = [folded(t) for t in as_bytes(batch.column(1))]
-                begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
-                best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                for k, edits, start, end in index.matches(_GAP.join(texts)):
-                    row = int(np.searchsorted(begins, end - 1, side="right")) - 1
-                    place = (edits, max(0, start - int(begins[row])), end - start)
-                    best[row, k] = min(best.get((row, k), place), place)
+            for batch in small_batches(batches, BUFFER):
+                best = index.best_matches(as_bytes(batch.column(1)))
                 ids = batch.column(0).to_pylist()
                 out = [(ids[row], index.ids[k], *v) for (row, k), v in best.items()]
                 if out:
@@ -165,14 +173,20 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield block
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows whose text holds a benchmark item; columns unchanged.
+def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
+    """`docs` without the rows whose text holds a benchmark item (see `benchmark_matches`); columns unchanged."""
+    kept = docs
+    for block in _blocks(items.select(item_id_col, item_text_col)):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def of(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = GramIndex(shared.value, q, rate)
+            for batch in small_batches(batches, BUFFER):
+                hit = {row for row, _ in index.best_matches(as_bytes(batch.column(text_col)))}
+                yield batch.filter(pa.array([row not in hit for row in range(batch.num_rows)], pa.bool_()))
 
-    Rows with a null id are told apart by their text's hash like all others.
-    """
-    keyed = docs.withColumn("__k", F.xxhash64(id_col, text_col))
-    hit = benchmark_matches(keyed.select(F.col("__k"), F.col(text_col)), items, "__k", text_col).select(F.col("doc_id").alias("__k")).distinct()
-    return keyed.join(hit, "__k", "left_anti").select(*docs.columns)
+        kept = kept.mapInArrow(of, docs.schema)
+    return kept
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from jobloom.llm import decontaminate, licenses, linededup, packing, rules, sharding, simhash
+from jobloom.llm import classifier, decontaminate, licenses, linededup, packing, rules, sharding, simhash
 
 QUERIES = {
+    "op1_classifier": classifier.op1_classifier,
     "op2_rules": rules.op2_rules,
     "op3_licenses": licenses.op3_licenses,
     "op4_line_dedup": linededup.op4_line_dedup,

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import as_bytes, bounds_of, cut, groups_of, small_batches, table
+from jobloom.llm.common import as_bytes, bounds_of, cut, groups_of, null_to_low, small_batches, table
 from jobloom.llm.components import connected_components
 
 SEED = 42
@@ -37,7 +37,7 @@ def fingerprint(text: bytes | None, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp): one row per row of `docs`; fp is the fingerprint's bits as a signed long.
+    """(id, th, fp): one row per row of `docs`; th is the text's hash, fp the fingerprint's bits as a signed long.
 
     Words are runs without ASCII white space, A-Z lower-cased. Null and empty texts, and texts without
     a word, have fingerprint zero; texts of fewer than `width` words are one shingle.
@@ -45,10 +45,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            fps = np.array([fingerprint(t, width) for t in as_bytes(batch.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            fps = np.array([fingerprint(t, width) for t in as_bytes(batch.column(2))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["id", "th", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(of, "id long, th long, fp long")
 
 
 def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, tile: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +124,15 @@ def link_fingerprints(fps: DataFrame, radius: int = 4, tile_rows: int = 2048) ->
     return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "u long, v long")
 
 
+def components_of(sig: DataFrame, radius: int = 4, tile_rows: int = 2048) -> DataFrame:
+    """(fp, root, component_id) for each distinct fingerprint of `sig` (id, fp): its group, and the group's smallest id."""
+    nodes = cut(sig.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = connected_components(link_fingerprints(nodes.select("fp"), radius, tile_rows))
+    nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    comps = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return nodes.join(comps, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, tile_rows: int = 2048) -> DataFrame:
     """(doc_id, fp, fingerprint, component_id): the connected groups of rows whose fingerprints link.
 
@@ -132,13 +142,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result.
     """
     sig = cut(fingerprints(docs, id_col, text_col, width))
-    nodes = cut(sig.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(link_fingerprints(nodes.select("fp"), radius, tile_rows))
-    nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    comps = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(comps, "root").select("fp", "component_id")
+    named = components_of(sig, radius, tile_rows).select("fp", "component_id")
     return sig.join(named, "fp").select(F.col("id").alias("doc_id"), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """`docs` with one row of each near-duplicate group: the smallest (id, text hash), null ids first. Columns unchanged.
+
+    Of rows that agree in id and text one stays, whichever.
+    """
+    sig = cut(fingerprints(docs, id_col, text_col, width))
+    named = components_of(sig, radius)
+    best = sig.join(named, "fp").groupBy("root").agg(F.min(F.struct(null_to_low(F.col("id")).alias("id"), "th")).alias("best")).select(F.col("best.id").alias("__id"), F.col("best.th").alias("__th"))
+    keyed = docs.withColumns({"__id": null_to_low(F.col(id_col)), "__th": F.xxhash64(text_col)})
+    return keyed.join(best, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).select(*docs.columns)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
