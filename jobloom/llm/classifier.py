@@ -13,18 +13,20 @@ from pyspark.sql import functions as F
 from jobloom.llm.common import as_bytes, cut, small_batches, table
 
 #: Rows that the scorer is fitted on at most, half of them annotated ones.
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 20_000
 #: Features are hashed to so many weights.
 DIM = 1 << 18
 #: A row is kept if both scores are at least this.
 CUTOFF = 0.5
 #: Annotations are taken to be right this often; the labellers' accuracies are estimated.
-TRUST = 0.98
+TRUST = 0.99
 #: Distinct words remembered with their features by a worker; emptied when full.
 CACHE = 100_000
 
 # English insults, in two groups that overlap as labellers.
 INSULTS = frozenset(b"bastard clown creep disgusting dumb fool idiot imbecile jerk loser moron pathetic scum stupid trash vermin worthless".split())
+#: The insults are English: their absence says something only of texts with this share of English function words.
+ENGLISH, ENGLISH_SHARE = frozenset(b"the of and to is in that for it with as was on by".split()), 0.08
 SCORNFUL = frozenset(b"disgusting dumb pathetic stupid worthless".split())
 _SYMBOLS, _CAPITALS, _MARKS = b"#*$%&|<>", bytes(range(65, 91)), b"!#*$%&|<>+=~^_{}[]@\\/0123456789"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not 97 <= c <= 122 else c for c in range(256))
@@ -40,7 +42,7 @@ def votes(text: bytes, words: list[bytes]) -> tuple[list[int], list[int]]:
     """What the labellers say of a text: of its quality, and of whether it is free of abuse."""
     n, size = len(words), max(len(text), 1)
     if not n:
-        return [BAD, NONE, NONE, NONE, NONE, NONE], [GOOD, NONE, NONE]
+        return [BAD, NONE, NONE, NONE, NONE, NONE], [NONE, NONE, NONE]
     less = lambda drop: (len(text) - len(text.translate(None, drop))) / size
     three = 1 - len(set(zip(words, words[1:], words[2:]))) / (n - 2) if n > 20 else None
     quality = [
@@ -53,9 +55,10 @@ def votes(text: bytes, words: list[bytes]) -> tuple[list[int], list[int]]:
     ]
     plain = text.translate(_LOWER).split()
     found = [w for w in plain if w in INSULTS]
+    fine = GOOD if sum(w in ENGLISH for w in plain) >= ENGLISH_SHARE * len(plain) else NONE
     abuse = [
-        GOOD if not found else BAD if len(set(found)) > 1 else NONE,
-        _side(len(found) / n, 0.0, 0.004),
+        fine if not found else BAD if len(set(found)) > 1 else NONE,
+        fine if not found else BAD if len(found) >= 0.004 * n else NONE,
         BAD if not SCORNFUL.isdisjoint(found) else NONE,
     ]
     return quality, abuse
@@ -95,9 +98,9 @@ def split_code(code: np.ndarray) -> np.ndarray:
 def fit_labellers(votes: np.ndarray, count: np.ndarray, truth: np.ndarray, rounds: int = 50) -> np.ndarray:
     """P(good) of each pattern of votes (rows; 0 none, 1 bad, 2 good) that stands for `count` rows.
 
-    Two-class latent model: each labeller has a probability of each vote (or none) given the class, estimated by
-    expectation-maximisation from the patterns' counts over all rows with a smoothing of one row; it starts from the majority. `truth`
-    is an annotation in the same coding, right with probability TRUST.
+    Two-class latent model: each labeller, where it votes, is right with a probability for either class, estimated by
+    expectation-maximisation from the patterns' counts over all rows with a smoothing of one row; it starts from the majority.
+    `truth` is an annotation in the same coding, right with probability TRUST.
     """
     said = np.where(truth > 0, truth, 0)
     anchor = np.array([0.0, np.log((1 - TRUST) / TRUST), np.log(TRUST / (1 - TRUST))])[said]
@@ -107,19 +110,40 @@ def fit_labellers(votes: np.ndarray, count: np.ndarray, truth: np.ndarray, round
         prior = ((count * p).sum() + 1) / (count.sum() + 2)
         odds = np.full(len(votes), np.log(prior / (1 - prior))) + anchor
         for k in range(votes.shape[1]):
-            share = np.array([[((count * q)[votes[:, k] == v].sum() + 1) / ((count * q).sum() + 3) for v in range(3)] for q in (1 - p, p)])
-            odds += np.log(share[1] / share[0])[votes[:, k]]
+            says = [(votes[:, k] == v) for v in (BAD, GOOD)]
+            share = np.array([[(count * c)[v].sum() + 1 for v in says] for c in (1 - p, p)])
+            share /= share.sum(axis=1, keepdims=True)
+            odds += np.concatenate([[0.0], np.log(share[1] / share[0])])[votes[:, k]]
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return p
 
 
-def fit_scorer(rows: list[np.ndarray], target: np.ndarray, epochs: int = 6, rate: float = 0.1, decay: float = 1e-6) -> np.ndarray:
-    """Weights of a logistic scorer (the last is the bias) for soft targets, by Adagrad over rows in a fixed random order."""
+def distinct_rows(rows: list[np.ndarray], hashes: int = 4) -> np.ndarray:
+    """Indices of rows of which no earlier one has the same minimal hashed features: near copies are learnt from once."""
+    rng = np.random.default_rng(1)
+    keys = [tuple(int(((r.astype(np.uint64) * m) & np.uint64(0xFFFFFFFF)).min()) for m in mults) for mults in [rng.integers(1 << 31, 1 << 32, hashes).astype(np.uint64) | np.uint64(1)] for r in rows]
+    return np.array(sorted({k: i for i, k in reversed(list(enumerate(keys)))}.values()), dtype=np.int64)
+
+
+def fit_scorer(rows: list[np.ndarray], target: np.ndarray, least_z: float = 5.0, epochs: int = 12, rate: float = 0.3, decay: float = 1e-4) -> np.ndarray:
+    """Weights of a logistic scorer (the last is the bias) for soft targets.
+
+    Features whose share of bad rows differs from the overall one by `least_z` standard errors get a weight, by Adagrad
+    over the rows in a fixed random order; the others none.
+    """
     w, g2 = np.zeros(DIM + 1), np.full(DIM + 1, 1e-3)
+    if not len(rows):
+        return w.astype(np.float32)
+    every, size = np.concatenate(rows), [len(r) for r in rows]
+    df = np.bincount(every, minlength=DIM)
+    bad = np.bincount(every, weights=np.repeat(1 - target, size), minlength=DIM)
+    share = np.clip((1 - target).mean(), 1e-3, 1 - 1e-3)
+    used = np.abs(bad - df * share) >= least_z * np.sqrt(np.maximum(df, 1) * share * (1 - share))
+    rows = [np.append(r[used[r]], DIM) for r in rows]
     rng = np.random.default_rng(0)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            f = np.append(rows[i], DIM)
+            f = rows[i]
             e = 1 / (1 + np.exp(-np.clip(w[f].sum(), -30, 30))) - target[i]
             g = e + decay * w[f]
             g2[f] += g * g
@@ -194,7 +218,11 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     sample.sort(key=lambda r: (bytes(r.f), r.code, r.q, r.t))
     found = [np.frombuffer(r.f, dtype=np.int32) for r in sample]
     target = np.array([posterior[r.code, r.q, r.t] for r in sample]).reshape(-1, 2)
-    return QualityModel(*(fit_scorer(found, target[:, k]) for k in (0, 1)))
+    said = split_code(np.array([r.code for r in sample], dtype=np.int64)).reshape(-1, 9)
+    # Only rows of which an annotation or a labeller says something teach a scorer.
+    told = [(said[:, :6] > 0).any(axis=1) | np.array([r.q > 0 for r in sample], dtype=bool), (said[:, 6:] > 0).any(axis=1) | np.array([r.t > 0 for r in sample], dtype=bool)]
+    once = distinct_rows(found)
+    return QualityModel(*(fit_scorer([found[i] for i in once if told[k][i]], target[once[told[k][once]], k]) for k in (0, 1)))
 
 
 def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
