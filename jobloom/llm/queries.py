@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobloom.llm import classifier, decontaminate, licenses, linededup, packing, rules, sharding, simhash
+from jobloom.llm import classifier, decontaminate, licenses, linededup, packing, rules, sharding, simhash, wrappers
 
 QUERIES = {
     "op1_classifier": classifier.op1_classifier,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_line_dedup": linededup.op4_line_dedup,
     "op6_simhash": simhash.op6_simhash,
     "op7_sharding": sharding.op7_sharding,
+    "op8_extraction": wrappers.op8_extraction,
     "op9_packing": packing.op9_packing,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
