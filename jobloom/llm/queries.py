@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from jobloom.llm import classifier, decontaminate, licenses, linededup, packing, rules, sharding, simhash, wrappers
+from jobloom.llm import classifier, decontaminate, licenses, linededup, packing, rules, sharding, simhash, suffixes, wrappers
 
 QUERIES = {
     "op1_classifier": classifier.op1_classifier,
     "op2_rules": rules.op2_rules,
     "op3_licenses": licenses.op3_licenses,
     "op4_line_dedup": linededup.op4_line_dedup,
+    "op5_suffixes": suffixes.op5_suffixes,
     "op6_simhash": simhash.op6_simhash,
     "op7_sharding": sharding.op7_sharding,
     "op8_extraction": wrappers.op8_extraction,
