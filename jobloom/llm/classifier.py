@@ -121,7 +121,8 @@ def fit_labellers(votes: np.ndarray, count: np.ndarray, truth: np.ndarray, round
 def distinct_rows(rows: list[np.ndarray], hashes: int = 4) -> np.ndarray:
     """Indices of rows of which no earlier one has the same minimal hashed features: near copies are learnt from once."""
     rng = np.random.default_rng(1)
-    keys = [tuple(int(((r.astype(np.uint64) * m) & np.uint64(0xFFFFFFFF)).min()) for m in mults) for mults in [rng.integers(1 << 31, 1 << 32, hashes).astype(np.uint64) | np.uint64(1)] for r in rows]
+    mults = rng.integers(1 << 31, 1 << 32, hashes).astype(np.uint64) | np.uint64(1)
+    keys = [tuple(int((r.astype(np.uint64) * m & np.uint64(0xFFFFFFFF)).min()) for m in mults) for r in rows]
     return np.array(sorted({k: i for i, k in reversed(list(enumerate(keys)))}.values()), dtype=np.int64)
 
 
@@ -134,12 +135,13 @@ def fit_scorer(rows: list[np.ndarray], target: np.ndarray, least_z: float = 5.0,
     w, g2 = np.zeros(DIM + 1), np.full(DIM + 1, 1e-3)
     if not len(rows):
         return w.astype(np.float32)
-    every, size = np.concatenate(rows), [len(r) for r in rows]
-    df = np.bincount(every, minlength=DIM)
-    bad = np.bincount(every, weights=np.repeat(1 - target, size), minlength=DIM)
+    df, bad = np.zeros(DIM, dtype=np.int64), np.zeros(DIM)
+    for r, y in zip(rows, target):  # a row's features are distinct
+        df[r] += 1
+        bad[r] += 1 - y
     share = np.clip((1 - target).mean(), 1e-3, 1 - 1e-3)
     used = np.abs(bad - df * share) >= least_z * np.sqrt(np.maximum(df, 1) * share * (1 - share))
-    rows = [np.append(r[used[r]], DIM) for r in rows]
+    rows = [np.append(r[used[r]], np.int32(DIM)) for r in rows]
     rng = np.random.default_rng(0)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
@@ -215,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     drawn = drawn.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "code", "q", "t")
     sample = keyed.join(F.broadcast(drawn), keyed.id.eqNullSafe(F.col("_id")) & (keyed.th == F.col("_th"))).select("code", "q", "t", "text")
     sample = sample.mapInArrow(features, "code int, q int, t int, f binary").limit(train_rows).collect()
-    sample.sort(key=lambda r: (bytes(r.f), r.code, r.q, r.t))
+    sample.sort(key=lambda r: (r.f, r.code, r.q, r.t))
     found = [np.frombuffer(r.f, dtype=np.int32) for r in sample]
     target = np.array([posterior[r.code, r.q, r.t] for r in sample]).reshape(-1, 2)
     said = split_code(np.array([r.code for r in sample], dtype=np.int64)).reshape(-1, 9)

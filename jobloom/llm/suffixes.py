@@ -209,7 +209,7 @@ def repeats_of_gram(contexts: list[bytes], near: list[int], far: list[int], leng
 
 
 def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
-    """(gram, id, th, place, span) of every anchor of `texts` (id, th, text); span packs the offsets far * 128 + near."""
+    """(gram, id, twin, place, span) of every anchor of `texts` (id, twin, text); span packs the offsets far * 128 + near."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 256 << 10):
@@ -232,23 +232,22 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
                 place, gram, first, last = anchors(np.frombuffer(b"".join(parts[at:n]), dtype=np.uint8), begins, sizes, GRAM, length)
                 k = np.searchsorted(begins, first, "right") - 1
                 row, offset = np.array(rows[at:n])[k], np.array(moved[at:n])[k] - begins[k]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram.view(np.int64), ids[row], ths[row], (place + offset).astype(np.int64), ((place - first) * 128 + place - last).astype(np.int32))], ["gram", "id", "th", "place", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram.view(np.int64), ids[row], ths[row], (place + offset).astype(np.int64), ((place - first) * 128 + place - last).astype(np.int32))], ["gram", "id", "twin", "place", "span"])
                 at = n
 
-    return texts.mapInArrow(of, "gram long, id long, th long, place long, span int")
+    return texts.mapInArrow(of, "gram long, id long, twin long, place long, span int")
 
 
 def repeated_runs(texts: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
-    """(id, th, runs): for each of the texts (id, th, text; rows that repeat one in all three count once), the byte runs [from, to) that earlier strings cover.
+    """(id, twin, runs): for each of the texts (id, twin, text; rows that repeat one in all three count once), the byte runs [from, to) that earlier strings cover.
 
     Anchors (about one in 39 bytes) whose gram is alone are dropped; counts are combined before the shuffle. The rest get
     the bytes around them, and each gram's suffixes are sorted and compared in one task, up to `hot` of them. Strings of
     more common grams are told apart by 128 bits of hash and their earliest place is a minimum combined before the shuffle.
     """
-    rows = _anchor_rows(texts.select("id", "th", "text"), length)
+    rows = _anchor_rows(texts.select("id", "twin", "text"), length)
     counts = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     met = rows.join(counts, "gram")
-    by_text = met.groupBy("id", "th").agg(F.collect_set(F.struct("gram", "place", "span", (F.col("n") > hot).alias("hot"))).alias("at"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1 << 20):
@@ -260,15 +259,17 @@ def repeated_runs(texts: DataFrame, length: int = 100, hot: int = HOT) -> DataFr
             texts = as_bytes(batch.column("text"))
             begin, end = place - span // 128, place - span % 128 + length
             found = [texts[r][b:e] for r, b, e in zip(row.tolist(), begin.tolist(), end.tolist())]
-            yield pa.RecordBatch.from_arrays([each.field("gram"), batch.column("id").take(pa.array(row)), batch.column("th").take(pa.array(row)), each.field("place"), each.field("span"), each.field("hot"), pa.array(found, pa.binary())], ["gram", "id", "th", "place", "span", "hot", "context"])
+            yield pa.RecordBatch.from_arrays([each.field("gram"), batch.column("id").take(pa.array(row)), batch.column("twin").take(pa.array(row)), each.field("place"), each.field("span"), pa.array(found, pa.binary())], ["gram", "id", "twin", "place", "span", "context"])
 
-    around = texts.join(by_text, ["id", "th"]).select("id", "th", "text", "at").mapInArrow(contexts, "gram long, id long, th long, place long, span int, hot boolean, context binary")
+    def around(some: DataFrame) -> DataFrame:
+        by_text = some.groupBy("id", "twin").agg(F.collect_set(F.struct("gram", "place", "span")).alias("at"))
+        return texts.join(by_text, ["id", "twin"]).select("id", "twin", "text", "at").mapInArrow(contexts, "gram long, id long, twin long, place long, span int, context binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, ["gram"]):
-            again = np.concatenate([[False], np.all([(v := t.column(c).to_numpy())[1:] == v[:-1] for c in ("gram", "id", "th", "place")], axis=0)])
+            again = np.concatenate([[False], np.all([(v := t.column(c).to_numpy())[1:] == v[:-1] for c in ("gram", "id", "twin", "place")], axis=0)])
             t = t.filter(pa.array(~again))
-            gram, ids, ths, place, span = (t.column(c).to_numpy() for c in ("gram", "id", "th", "place", "span"))
+            gram, ids, ths, place, span = (t.column(c).to_numpy() for c in ("gram", "id", "twin", "place", "span"))
             context = t.column("context").to_pylist()
             far, near = (span // 128).tolist(), (span % 128).tolist()
             b = bounds_of([gram])
@@ -278,15 +279,15 @@ def repeated_runs(texts: DataFrame, length: int = 100, hot: int = HOT) -> DataFr
                     out += [(s + i, lo, hi) for i, lo, hi in repeats_of_gram(context[s:e], near[s:e], far[s:e], length)]
             if out:
                 i, lo, hi = np.array(out, dtype=np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i], ths[i], place[i] - hi, place[i] - lo + length)], ["id", "th", "from", "to"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i], ths[i], place[i] - hi, place[i] - lo + length)], ["id", "twin", "from", "to"])
 
-    kinds = "id long, th long, from long, to long"
-    usual = around.where("not hot").repartition("gram").sortWithinPartitions("gram", "id", "th", "place").mapInArrow(compare, kinds)
+    kinds = "id long, twin long, from long, to long"
+    usual = around(met.where(F.col("n") <= hot)).repartition("gram").sortWithinPartitions("gram", "id", "twin", "place").mapInArrow(compare, kinds)
     string = F.expr(f"substring(context, k + 1, {length})")
-    often = around.where("hot").withColumn("k", F.explode(F.sequence(F.lit(0), F.octet_length("context") - length))).select("id", "th", (F.col("place") - F.shiftright("span", 7) + F.col("k")).alias("from"), F.xxhash64(string).alias("a"), F.xxhash64(string, F.lit(1)).alias("b"))
-    earliest = often.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "from")).alias("first")).where("n > 1").select("a", "b", "first")
-    later = often.join(earliest, ["a", "b"]).where(F.struct("id", "th", "from") > F.col("first")).select("id", "th", "from", (F.col("from") + length).alias("to"))
-    return usual.union(later).groupBy("id", "th").agg(F.collect_list(F.struct("from", "to")).alias("runs"))
+    often = around(met.where(F.col("n") > hot)).withColumn("k", F.explode(F.sequence(F.lit(0), F.octet_length("context") - length))).select("id", "twin", (F.col("place") - F.shiftright("span", 7) + F.col("k")).alias("from"), F.xxhash64(string).alias("a"), F.xxhash64(string, F.lit(1)).alias("b"))
+    earliest = often.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("id", "twin", "from")).alias("first")).where("n > 1").select("a", "b", "first")
+    later = often.join(earliest, ["a", "b"]).where(F.struct("id", "twin", "from") > F.col("first")).select("id", "twin", "from", (F.col("from") + length).alias("to"))
+    return usual.union(later).groupBy("id", "twin").agg(F.collect_list(F.struct("from", "to")).alias("runs"))
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot: int = HOT) -> DataFrame:
@@ -297,14 +298,17 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     whole. Rows of one id and text are one text, neither earlier; rows of one id and other text are ordered by its hash.
     Null text counts as empty. Other columns are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), null_to_low(F.col(id_col)).alias("id"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # A null id is the least of all from here on; the columns are those that every use of the texts needs, so that they are shuffled once.
+    rows = docs.select(null_to_low(F.col(id_col)).alias("id"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # A text is named by two hashes and its size; of equal ones the least id is sorted.
     mark = F.struct(F.xxhash64("text", F.lit(1)).alias("x"), F.octet_length("text").alias("n"))
-    firsts = rows.select("id", "th", mark.alias("mark")).groupBy("th", "mark").agg(F.min("id").alias("id"))
-    lone = cut(firsts.select("id", "th"))
-    texts = rows.join(lone, ["id", "th"], "left_semi")
+    firsts = rows.select("id", "th", mark.alias("mark")).groupBy("th", "mark").agg(F.min("id").alias("id")).select("id", "th")
+    # Where an id names one text, as it should, nothing but the id has to be carried along.
+    shared = firsts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("shared"))
+    lone = cut(firsts.join(shared, "id", "left").select("id", "th", F.when(F.col("shared"), F.col("th")).otherwise(F.lit(0)).cast("long").alias("twin")))
+    texts = rows.join(lone, ["id", "th"]).select("id", "twin", "text")
     runs = repeated_runs(texts, length, hot)
-    state = lone.join(runs, ["id", "th"], "left").select("id", "th", "runs", F.lit(True).alias("own"))
+    state = lone.join(runs, ["id", "twin"], "left").select("id", "th", "runs", F.lit(True).alias("own"))
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     def digest(text: pd.Series, own: pd.Series, runs: pd.Series) -> pd.DataFrame:
@@ -323,7 +327,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
             out.append((len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return rows.join(state, ["id", "th"], "left").withColumn("d", digest("text", "own", "runs")).select("doc_id", "d.*")
+    doc_id = F.when(F.col("id") > F.lit(-(2**63)), F.col("id")).alias("doc_id")
+    return rows.join(state, ["id", "th"], "left").select(doc_id, digest("text", "own", "runs").alias("d")).select("doc_id", "d.*")
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from jobloom.functions.salary import stats_value
 from jobloom.sources.model import ALIVE
 
-alive = F.col("status").isin(ALIVE)
-disclosed = F.col("is_public") & (F.col("salary_min").isNotNull() | F.col("salary_max").isNotNull())
+def alive() -> Column:
+    return F.col("status").isin(ALIVE)
+
+
+def disclosed() -> Column:
+    return F.col("is_public") & (F.col("salary_min").isNotNull() | F.col("salary_max").isNotNull())
 
 
 def value() -> Column:
@@ -29,9 +33,9 @@ def overview(postings: DataFrame, as_of: Column) -> DataFrame:
     """All head figures in one pass. Posted today and by week count every status, the last 24 hours alive ones only."""
     days = lambda a, b: (F.col("posted_at") >= as_of - F.expr(f"interval {a} days")) & (F.col("posted_at") < as_of - F.expr(f"interval {b} days"))
     return postings.agg(
-        *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("OPEN", "STALE", "EXPIRED", "CLOSED")], F.count_if(alive).alias("alive"), F.count_if(alive & disclosed).alias("with_salary"),
-        F.countDistinct(F.when(alive, F.col("company_id"))).alias("companies"), F.countDistinct(F.when(alive, F.col("source_id"))).alias("live_sources"),
-        F.count_if(days(0, -1)).alias("posted_today"), F.count_if(alive & days(1, 0)).alias("last_24h"), F.count_if(days(7, 0)).alias("last_7d"), F.count_if(days(14, 7)).alias("prev_7d"), F.max("checked_on").alias("last_check"),
+        *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("OPEN", "STALE", "EXPIRED", "CLOSED")], F.count_if(alive()).alias("alive"), F.count_if(alive() & disclosed()).alias("with_salary"),
+        F.countDistinct(F.when(alive(), F.col("company_id"))).alias("companies"), F.countDistinct(F.when(alive(), F.col("source_id"))).alias("live_sources"),
+        F.count_if(days(0, -1)).alias("posted_today"), F.count_if(alive() & days(1, 0)).alias("last_24h"), F.count_if(days(7, 0)).alias("last_7d"), F.count_if(days(14, 7)).alias("prev_7d"), F.max("checked_on").alias("last_check"),
     )
 
 
@@ -45,19 +49,19 @@ def daily_intake(postings: DataFrame, last_day: Column, span: int = 30) -> DataF
 
 def salary_by(postings: DataFrame, key: str, least: int = 3) -> DataFrame:
     """Quartiles of disclosed pay per key with `least` values at least, beside all alive postings."""
-    v = F.when(disclosed, value())
-    out = postings.where(alive & F.col(key).isNotNull()).groupBy(key).agg(F.count(v).alias("sample"), F.count("*").alias("total"), *[quantile(q, v).alias(n) for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
+    v = F.when(disclosed(), value())
+    out = postings.where(alive() & F.col(key).isNotNull()).groupBy(key).agg(F.count(v).alias("sample"), F.count("*").alias("total"), *[quantile(q, v).alias(n) for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
     return out.where(F.col("sample") >= least)
 
 
 def salary_overall(postings: DataFrame) -> DataFrame:
-    v = F.when(disclosed, value())
-    return postings.where(alive).agg(F.count(v).alias("sample"), *[quantile(q, v).alias(n) for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
+    v = F.when(disclosed(), value())
+    return postings.where(alive()).agg(F.count(v).alias("sample"), *[quantile(q, v).alias(n) for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
 
 
 def salary_by_province(postings: DataFrame, locations: DataFrame, limit: int = 10, least: int = 3) -> DataFrame:
     """Provinces by alive postings, with the median of public pay. A posting counts in each of its places; a public one without bounds counts in the sample but has no value."""
-    rows = postings.where(alive).join(F.broadcast(locations), "location_id")
+    rows = postings.where(alive()).join(F.broadcast(locations), "location_id")
     out = rows.groupBy("province").agg(F.count("*").alias("total"), F.count_if("is_public").alias("sample"), quantile(0.5, F.when(F.col("is_public"), value())).alias("p50"))
     return out.where(F.col("sample") >= least).orderBy(F.desc("total"), "province").limit(min(max(limit, 1), 34))
 
@@ -65,23 +69,23 @@ def salary_by_province(postings: DataFrame, locations: DataFrame, limit: int = 1
 def salary_histogram(postings: DataFrame, step: int = 5_000_000, cap: int = 60_000_000) -> DataFrame:
     """Disclosed pay in steps up to the cap, empty steps kept."""
     v = value()
-    buckets = postings.where(alive & disclosed & (v > 0)).groupBy(F.least(F.floor(v / step) * step, F.lit(cap)).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+    buckets = postings.where(alive() & disclosed() & (v > 0)).groupBy(F.least(F.floor(v / step) * step, F.lit(cap)).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
     spine = postings.sparkSession.range(0, cap + 1, step).select(F.col("id").alias("bucket"))
     return spine.join(buckets, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def top(postings: DataFrame, key: str, limit: int = 10) -> DataFrame:
     """The keys with most alive postings, ties by key."""
-    return postings.where(alive).groupBy(key).agg(F.count("*").alias("n"), F.count_if(disclosed).alias("with_salary")).orderBy(F.desc("n"), key).limit(min(max(limit, 1), 50))
+    return postings.where(alive()).groupBy(key).agg(F.count("*").alias("n"), F.count_if(disclosed()).alias("with_salary")).orderBy(F.desc("n"), key).limit(min(max(limit, 1), 50))
 
 
 def level_spread(postings: DataFrame) -> DataFrame:
-    return postings.where(alive).groupBy(F.coalesce("level", F.lit("UNKNOWN")).alias("level")).agg(F.count("*").alias("n"))
+    return postings.where(alive()).groupBy(F.coalesce("level", F.lit("UNKNOWN")).alias("level")).agg(F.count("*").alias("n"))
 
 
 def source_health(postings: DataFrame, sources: DataFrame) -> DataFrame:
     """Figures of every source, those without postings too."""
-    per = postings.groupBy("source_id").agg(F.count_if(alive).alias("alive"), F.count("*").alias("total"), F.count_if(alive & disclosed).alias("with_salary"), F.count_if(F.col("parse_status") == "FAILED").alias("failed"), F.max("checked_on").alias("last_seen"))
+    per = postings.groupBy("source_id").agg(F.count_if(alive()).alias("alive"), F.count("*").alias("total"), F.count_if(alive() & disclosed()).alias("with_salary"), F.count_if(F.col("parse_status") == "FAILED").alias("failed"), F.max("checked_on").alias("last_seen"))
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("alive", "total", "with_salary", "failed")}
     return sources.join(per, "source_id", "left").withColumns(zero).select("source_id", "source", "alive", "total", "with_salary", "failed", "last_seen")
 

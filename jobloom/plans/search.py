@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from jobloom.operators import search as Q
 from jobloom.operators import stats
 from jobloom.plans.registry import query
-from jobloom.plans.stats import ALIVE, AS_OF, AS_OF_SQL, FACET, P
+from jobloom.plans.stats import ALIVE, AS_OF_SQL, FACET, P, as_of
 from jobloom.sources import model as M
 
 FULL = f"{P}, {M.TITLE_SQL}, f AS (SELECT posting.*, n_name AS province, title, description FROM posting JOIN nation ON location_id = n_nationkey LEFT JOIN title USING (posting_id))"
@@ -21,7 +21,7 @@ def full(spark, sf):
 @query("p01_search", f"""{FULL} SELECT posting_id, title, province FROM f WHERE {ALIVE} AND (contains(lower(title), 'ring') OR contains(lower(description), 'ring') OR contains(lower(company), 'ring')) AND level = 'SENIOR' AND is_public AND (salary_min >= 100000000 OR salary_max >= 100000000) AND posted_at >= {AS_OF_SQL} - INTERVAL 2000 DAY""")
 def p01(spark, sf):
     f = Q.JobFilters(q="ring", level="SENIOR", salary_only=True, salary_from=100_000_000, posted_within=2000)
-    return full(spark, sf).where(Q.where(f, AS_OF)).select("posting_id", "title", "province")
+    return full(spark, sf).where(Q.where(f, as_of())).select("posting_id", "title", "province")
 
 
 @query("p02_text_search", f"{FULL} SELECT posting_id FROM f WHERE {ALIVE} AND (contains(lower(title), 'hot gear') OR contains(lower(description), 'hot gear') OR contains(lower(company), 'hot gear'))")
@@ -37,19 +37,19 @@ def p03(spark, sf):
 @query("p04_scope", f"{P} SELECT posting_id FROM posting WHERE {ALIVE} AND location_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 2)) AND posted_at >= {AS_OF_SQL} - INTERVAL 365 DAY AND level IN ('SENIOR', 'MID')")
 def p04(spark, sf):
     near = M.table(spark, sf, "nation").where("n_regionkey in (1, 2)").select(F.col("n_nationkey").alias("location_id"))
-    return M.postings(spark, sf).where(stats.alive & (F.col("posted_at") >= AS_OF - F.expr("interval 365 days")) & F.col("level").isin("SENIOR", "MID")).join(near, "location_id", "left_semi").select("posting_id")
+    return M.postings(spark, sf).where(stats.alive() & (F.col("posted_at") >= as_of() - F.expr("interval 365 days")) & F.col("level").isin("SENIOR", "MID")).join(near, "location_id", "left_semi").select("posting_id")
 
 
 @query("p05_multi_filter", f"{P} SELECT posting_id FROM posting WHERE {ALIVE} AND coalesce(level, '__none') IN ('SENIOR', '__none') AND coalesce(work_mode, '__none') IN ('REMOTE', 'HYBRID')")
 def p05(spark, sf):
     from jobloom.operators.facets import kept
 
-    return kept(M.postings(spark, sf).where(stats.alive), {"level": ["SENIOR", "__none"], "work_mode": ["REMOTE", "HYBRID"], "source_id": []}).select("posting_id")
+    return kept(M.postings(spark, sf).where(stats.alive()), {"level": ["SENIOR", "__none"], "work_mode": ["REMOTE", "HYBRID"], "source_id": []}).select("posting_id")
 
 
 @query("p07_any_skill", f"{P}, {M.SKILL_SQL} SELECT posting_id FROM posting WHERE {ALIVE} AND posting_id IN (SELECT posting_id FROM skill WHERE skill IN ('Brand#3', 'Brand#7'))")
 def p07(spark, sf):
-    return M.postings(spark, sf).where(stats.alive).join(M.posting_skills(spark, sf).where(F.col("skill").isin("Brand#3", "Brand#7")), "posting_id", "left_semi").select("posting_id")
+    return M.postings(spark, sf).where(stats.alive()).join(M.posting_skills(spark, sf).where(F.col("skill").isin("Brand#3", "Brand#7")), "posting_id", "left_semi").select("posting_id")
 
 
 @query("p09_recheck_valves", f"{P} SELECT posting_id FROM posting WHERE {ALIVE} AND (expires_on <= DATE '2000-06-18' OR miss_count >= 1 OR checked_on IS NULL OR checked_on < DATE '2000-06-08')")
@@ -94,7 +94,7 @@ def j08(spark, sf):
 
 @query("j09_anti_missing", f"{P} SELECT posting_id FROM posting WHERE {ALIVE} AND posting_id NOT IN (SELECT l_orderkey FROM lineitem)")
 def j09(spark, sf):
-    return M.postings(spark, sf).where(stats.alive).join(M.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("posting_id")), "posting_id", "left_anti").select("posting_id")
+    return M.postings(spark, sf).where(stats.alive()).join(M.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("posting_id")), "posting_id", "left_anti").select("posting_id")
 
 
 @query("j14_longest_contains", """WITH a AS (SELECT * FROM (VALUES ('the'), ('thea'), ('theand'), ('tion'), ('ation'), ('elle'), ('ment')) v(alias)), d AS (SELECT doc_id, trim(regexp_replace(lower(strip_accents(replace(replace(text, 'đ', 'd'), 'Đ', 'D'))), '[^a-z0-9]+', ' ', 'g')) AS k FROM documents)
@@ -128,33 +128,33 @@ def j18(spark, sf):
     p = M.postings(spark, sf)
     saved = p.where("posting_id % 997 = 0").select("posting_id")
     first = p.join(saved, "posting_id", "left_semi").select(F.lit(0).alias("first"), "posting_id", "checked_on")
-    rest = p.where(stats.alive).join(saved, "posting_id", "left_anti").select(F.lit(1).alias("first"), "posting_id", "checked_on")
+    rest = p.where(stats.alive()).join(saved, "posting_id", "left_anti").select(F.lit(1).alias("first"), "posting_id", "checked_on")
     return first.unionByName(rest).orderBy("first", F.asc_nulls_first("checked_on"), "posting_id").limit(50).select("first", "posting_id")
 
 
 @query("o01_sort_salary_nulls_last", f"{P} SELECT posting_id, salary_max FROM posting WHERE {ALIVE} ORDER BY salary_max DESC NULLS LAST, posted_at DESC, posting_id LIMIT 40")
 def o01(spark, sf):
-    return M.postings(spark, sf).where(stats.alive).orderBy(*Q.order("salary")).limit(40).select("posting_id", "salary_max")
+    return M.postings(spark, sf).where(stats.alive()).orderBy(*Q.order("salary")).limit(40).select("posting_id", "salary_max")
 
 
 @query("o02_page", f"{P} SELECT posting_id FROM posting WHERE {ALIVE} ORDER BY posted_at DESC, posting_id LIMIT 20 OFFSET 40")
 def o02(spark, sf):
-    return Q.page(M.postings(spark, sf).where(stats.alive), 3).select("posting_id")
+    return Q.page(M.postings(spark, sf).where(stats.alive()), 3).select("posting_id")
 
 
 @query("o03_cumulative_page", f"{P} SELECT posting_id FROM posting WHERE {ALIVE} ORDER BY posted_at DESC, posting_id LIMIT 60")
 def o03(spark, sf):
-    return M.postings(spark, sf).where(stats.alive).orderBy(*Q.order("newest")).limit(3 * Q.PAGE).select("posting_id")
+    return M.postings(spark, sf).where(stats.alive()).orderBy(*Q.order("newest")).limit(3 * Q.PAGE).select("posting_id")
 
 
 @query("o05_deadline_order", f"{P} SELECT posting_id FROM posting WHERE {ALIVE} ORDER BY expires_on ASC NULLS LAST, posted_at DESC, posting_id LIMIT 20")
 def o05(spark, sf):
-    return M.postings(spark, sf).where(stats.alive).orderBy(*Q.order("deadline")).limit(20).select("posting_id")
+    return M.postings(spark, sf).where(stats.alive()).orderBy(*Q.order("deadline")).limit(20).select("posting_id")
 
 
 @query("o06_nulls_first", f"{P} SELECT posting_id FROM posting WHERE {ALIVE} ORDER BY checked_on ASC NULLS FIRST, expires_on, posting_id LIMIT 100")
 def o06(spark, sf):
-    return M.postings(spark, sf).where(stats.alive).orderBy(F.asc_nulls_first("checked_on"), "expires_on", "posting_id").limit(100).select("posting_id")
+    return M.postings(spark, sf).where(stats.alive()).orderBy(F.asc_nulls_first("checked_on"), "expires_on", "posting_id").limit(100).select("posting_id")
 
 
 @query("o08_source_order", f"WITH {M.SOURCE_SQL} SELECT source_id, CAST(row_number() OVER (ORDER BY active DESC, priority, source_id) AS INTEGER) AS place FROM source")
@@ -166,7 +166,7 @@ def o08(spark, sf):
 def f11(spark, sf):
     p = M.postings(spark, sf)
     mine = p.where("posting_id = 8").select(F.col("level").alias("mine"))
-    return p.where(stats.alive & (F.col("posting_id") != 8)).join(F.broadcast(mine), how="cross").orderBy(F.desc_nulls_last(F.col("level") == F.col("mine")), F.desc("posted_at"), "posting_id").limit(3).select("posting_id")
+    return p.where(stats.alive() & (F.col("posting_id") != 8)).join(F.broadcast(mine), how="cross").orderBy(F.desc_nulls_last(F.col("level") == F.col("mine")), F.desc("posted_at"), "posting_id").limit(3).select("posting_id")
 
 
 @query("u01_ordered_distinct", "SELECT k AS key, min(event_id) AS seq FROM (SELECT lower(event_type) || user_id % 5 AS k, event_id FROM events) GROUP BY 1")

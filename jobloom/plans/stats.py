@@ -10,13 +10,17 @@ from jobloom.operators import facets, stats
 from jobloom.plans.registry import query
 from jobloom.sources import model as M
 
-AS_OF, AS_OF_SQL = F.lit("2000-06-15").cast("timestamp"), "TIMESTAMP '2000-06-15'"
+AS_OF_SQL = "TIMESTAMP '2000-06-15'"
 ALIVE = "status IN ('OPEN', 'STALE')"
 SHOWN = "is_public AND (salary_min IS NOT NULL OR salary_max IS NOT NULL)"
 VALUE = "coalesce(CAST(salary_min + salary_max AS DOUBLE) / 2, CAST(salary_min AS DOUBLE), CAST(salary_max AS DOUBLE))"
 P = "WITH " + M.POSTING_SQL
 
 
+def as_of():
+    return F.lit("2000-06-15").cast("timestamp")
+
+
 def quart(v: str) -> str:
     return ", ".join(f"CAST(round_even(quantile_cont({v}, {q}), 0) AS BIGINT) AS {n}" for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")))
 
@@ -28,7 +32,7 @@ SELECT count(*) FILTER (status = 'OPEN') AS open, count(*) FILTER (status = 'STA
   count(*) FILTER (posted_at >= {AS_OF_SQL} - INTERVAL 7 DAY AND posted_at < {AS_OF_SQL}) AS last_7d, count(*) FILTER (posted_at >= {AS_OF_SQL} - INTERVAL 14 DAY AND posted_at < {AS_OF_SQL} - INTERVAL 7 DAY) AS prev_7d, max(checked_on) AS last_check
 FROM posting""")
 def a01(spark, sf):
-    return stats.overview(M.postings(spark, sf), AS_OF)
+    return stats.overview(M.postings(spark, sf), as_of())
 
 
 @query("a02_daily_intake", f"""{P}, n AS (SELECT CAST(posted_at + INTERVAL 7 HOUR AS DATE) AS day, count(*) AS n FROM posting GROUP BY 1)
@@ -83,7 +87,7 @@ SELECT 'level' AS kind, level AS value, count(*) AS n FROM posting WHERE {ALIVE}
 UNION ALL (SELECT 'province', n_name, count(*) AS n FROM posting JOIN nation ON location_id = n_nationkey WHERE {ALIVE} GROUP BY 2 ORDER BY n DESC, n_name LIMIT 20)
 UNION ALL SELECT 'source', s_name, count(*) FROM posting JOIN supplier ON source_id = s_suppkey WHERE {ALIVE} GROUP BY 2""")
 def a10(spark, sf):
-    p = M.postings(spark, sf).where(stats.alive)
+    p = M.postings(spark, sf).where(stats.alive())
     count = lambda rows, kind, c: rows.groupBy(F.lit(kind).alias("kind"), F.col(c).alias("value")).agg(F.count("*").alias("n"))
     provinces = count(p.join(F.broadcast(M.locations(spark, sf)), "location_id"), "province", "province").orderBy(F.desc("n"), "value").limit(20)
     return count(p.where("level is not null"), "level", "level").union(provinces).union(count(p.join(M.sources(spark, sf), "source_id"), "source", "source"))
@@ -109,7 +113,7 @@ def a13(spark, sf):
 @query("a14_inspect_nearest_rank", f"""{P}, v AS (SELECT source_id, salary_min AS v, row_number() OVER (PARTITION BY source_id ORDER BY salary_min) - 1 AS i, count(*) OVER (PARTITION BY source_id) AS n FROM posting WHERE {ALIVE} AND is_public AND salary_min IS NOT NULL)
 SELECT source_id, max(n) AS n, max(v) FILTER (i = floor(n * 0.5)) AS p50, max(v) FILTER (i = floor(n * 0.9)) AS p90 FROM v GROUP BY 1""")
 def a14(spark, sf):
-    p = M.postings(spark, sf).where(stats.alive & F.col("is_public") & F.col("salary_min").isNotNull())
+    p = M.postings(spark, sf).where(stats.alive() & F.col("is_public") & F.col("salary_min").isNotNull())
     return p.groupBy("source_id").agg(F.count("*").alias("n"), stats.nearest_rank(F.col("salary_min"), 0.5).alias("p50"), stats.nearest_rank(F.col("salary_min"), 0.9).alias("p90"))
 
 
@@ -119,7 +123,7 @@ FACET = "CASE WHEN is_public THEN nullif(greatest(coalesce(salary_min, 0), coale
 @query("a15_median_by_level", f"{P} SELECT level, count(v) AS n, CAST(floor(quantile_cont(CAST(v AS DOUBLE), 0.5) + 0.5) AS BIGINT) AS median FROM (SELECT level, {FACET} AS v FROM posting WHERE {ALIVE}) GROUP BY 1")
 def a15(spark, sf):
     v = S.facet_value(F.col("is_public"), F.col("salary_min"), F.col("salary_max"))
-    return M.postings(spark, sf).where(stats.alive).groupBy("level").agg(F.count(v).alias("n"), stats.median(v).alias("median"))
+    return M.postings(spark, sf).where(stats.alive()).groupBy("level").agg(F.count(v).alias("n"), stats.median(v).alias("median"))
 
 
 YEARS = "CASE WHEN years_min < 1 THEN '0' WHEN years_min <= 2 THEN '1-2' WHEN years_min <= 5 THEN '3-5' WHEN years_min > 5 THEN '5+' ELSE '__none' END"
@@ -130,20 +134,20 @@ PAY = f"CASE WHEN {FACET} < 15000000 THEN '0-15' WHEN {FACET} < 25000000 THEN '1
 SELECT s.band, coalesce(n, 0) AS n, median FROM (VALUES ('0'), ('1-2'), ('3-5'), ('5+')) s(band) LEFT JOIN g USING (band)""")
 def a16(spark, sf):
     v = S.facet_value(F.col("is_public"), F.col("salary_min"), F.col("salary_max"))
-    per = M.postings(spark, sf).where(stats.alive).groupBy(C.experience_band(F.col("years_min")).alias("band")).agg(F.count("*").alias("n"), stats.median(v).alias("median"))
+    per = M.postings(spark, sf).where(stats.alive()).groupBy(C.experience_band(F.col("years_min")).alias("band")).agg(F.count("*").alias("n"), stats.median(v).alias("median"))
     return spark.createDataFrame([(b,) for b in C.EXPERIENCE_BANDS[:4]], "band string").join(per, "band", "left").select("band", F.coalesce("n", F.lit(0)).alias("n"), "median")
 
 
 @query("a17_coverage", f"{P} SELECT count(*) AS total, count({FACET}) AS salary, count(level) AS level, count(years_min) AS years, count(work_mode) AS work_mode, count(checked_on) AS checked, count(raw_key) AS raw FROM posting WHERE {ALIVE}")
 def a17(spark, sf):
-    p = M.postings(spark, sf).where(stats.alive).withColumn("salary", S.facet_value(F.col("is_public"), F.col("salary_min"), F.col("salary_max")))
+    p = M.postings(spark, sf).where(stats.alive()).withColumn("salary", S.facet_value(F.col("is_public"), F.col("salary_min"), F.col("salary_max")))
     return p.agg(F.count("*").alias("total"), F.count("salary").alias("salary"), F.count("level").alias("level"), F.count("years_min").alias("years"), F.count("work_mode").alias("work_mode"), F.count("checked_on").alias("checked"), F.count("raw_key").alias("raw"))
 
 
 @query("a18_median_salary_by_skill", f"""{P}, {M.SKILL_SQL}
 SELECT skill, count(*) AS n, count({FACET}) AS sample, CAST(floor(quantile_cont(CAST({FACET} AS DOUBLE), 0.5) + 0.5) AS BIGINT) AS median FROM posting JOIN skill USING (posting_id) WHERE {ALIVE} GROUP BY 1 HAVING count({FACET}) >= 5 ORDER BY median DESC, skill LIMIT 8""")
 def a18(spark, sf):
-    p = M.postings(spark, sf).where(stats.alive).select("posting_id", S.facet_value(F.col("is_public"), F.col("salary_min"), F.col("salary_max")).alias("v"))
+    p = M.postings(spark, sf).where(stats.alive()).select("posting_id", S.facet_value(F.col("is_public"), F.col("salary_min"), F.col("salary_max")).alias("v"))
     return stats.median_by_skill(p.join(M.posting_skills(spark, sf), "posting_id"))
 
 
@@ -179,7 +183,7 @@ def a21(spark, sf):
 @query("a22_top_band_share", f"{P}, b AS (SELECT {PAY} AS band, count(*) AS n FROM posting WHERE {ALIVE} AND {FACET} IS NOT NULL GROUP BY 1) SELECT arg_max(band, n) AS band, max(n) AS n, CAST(max(n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS share FROM b")
 def a22(spark, sf):
     v = S.facet_value(F.col("is_public"), F.col("salary_min"), F.col("salary_max"))
-    per = M.postings(spark, sf).where(stats.alive & v.isNotNull()).groupBy(C.salary_band(v).alias("band")).agg(F.count("*").alias("n"))
+    per = M.postings(spark, sf).where(stats.alive() & v.isNotNull()).groupBy(C.salary_band(v).alias("band")).agg(F.count("*").alias("n"))
     return per.agg(F.max_by("band", "n").alias("band"), F.max("n").alias("n"), (F.max("n").cast("double") / F.sum("n").cast("double")).alias("share"))
 
 
@@ -197,7 +201,7 @@ _OK = {"level": "coalesce(level, '__none') IN ('SENIOR', 'MID')", "work_mode": "
 
 def facet_rows(spark, sf):
     v = S.facet_value(F.col("is_public"), F.col("salary_min"), F.col("salary_max"))
-    return M.postings(spark, sf).where(stats.alive).select("posting_id", "level", "work_mode", C.salary_band(v).alias("pay"), C.experience_band(F.col("years_min")).alias("years"))
+    return M.postings(spark, sf).where(stats.alive()).select("posting_id", "level", "work_mode", C.salary_band(v).alias("pay"), C.experience_band(F.col("years_min")).alias("years"))
 
 
 @query("f02_facets_self_excluding", f"{P}, {FACET_ROWS} " + " UNION ALL ".join(f"SELECT '{d}' AS dim, coalesce({d}, '__none') AS value, count(*) AS n FROM rows WHERE {' AND '.join(v for k, v in _OK.items() if k != d)} GROUP BY 2" for d in _OK))
@@ -217,7 +221,7 @@ def f05(spark, sf):
 
 @query("f06_skill_facets", f"{P}, {M.SKILL_SQL} SELECT skill, count(*) AS n FROM posting JOIN skill USING (posting_id) WHERE {ALIVE} GROUP BY 1")
 def f06(spark, sf):
-    return M.postings(spark, sf).where(stats.alive).select("posting_id").join(M.posting_skills(spark, sf), "posting_id").groupBy("skill").agg(F.count("*").alias("n"))
+    return M.postings(spark, sf).where(stats.alive()).select("posting_id").join(M.posting_skills(spark, sf), "posting_id").groupBy("skill").agg(F.count("*").alias("n"))
 
 
 @query("f09_relax_hints", f"""{P}, {FACET_ROWS}, c AS (SELECT count(*) FILTER (level IN ('LEAD') AND work_mode IN ('REMOTE')) AS total, count(*) FILTER (work_mode IN ('REMOTE')) AS a, count(*) FILTER (level IN ('LEAD')) AS b FROM rows)
@@ -231,12 +235,12 @@ SELECT count(*) AS scanned, count(*) FILTER (location_id >= 20) AS dropped_by_pl
 def f12(spark, sf):
     from jobloom.functions.text import match_key
 
-    t = M.postings(spark, sf).where(stats.alive).join(M.posting_titles(spark, sf), "posting_id")
+    t = M.postings(spark, sf).where(stats.alive()).join(M.posting_titles(spark, sf), "posting_id")
     near, hit = F.col("location_id") < 20, F.size(C.terms_hit(match_key(F.col("title")), ["ring", "gear"])) > 0
     return t.agg(F.count("*").alias("scanned"), F.count_if(~near).alias("dropped_by_place"), F.count_if(near & hit).alias("accepted"), F.count_if(near & hit & (F.col("level") == "SENIOR")).alias("in_view"))
 
 
 @query("x01_salary_rollup", f"""{P} SELECT level, n_name AS province, count(*) AS n, CAST(round_even(quantile_cont({VALUE}, 0.5), 0) AS BIGINT) AS p50 FROM posting JOIN nation ON location_id = n_nationkey WHERE {ALIVE} AND {SHOWN} GROUP BY GROUPING SETS ((level), (n_name), ())""")
 def x01(spark, sf):
-    p = M.postings(spark, sf).where(stats.alive & stats.disclosed).join(F.broadcast(M.locations(spark, sf)), "location_id")
+    p = M.postings(spark, sf).where(stats.alive() & stats.disclosed()).join(F.broadcast(M.locations(spark, sf)), "location_id")
     return p.groupingSets([["level"], ["province"], []], "level", "province").agg(F.count("*").alias("n"), stats.quantile(0.5, stats.value()).alias("p50"))
