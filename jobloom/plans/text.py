@@ -51,7 +51,10 @@ def t06(spark, sf):
     return M.table(spark, sf, "customer").select("c_custkey", T.company_key(name).alias("key"))
 
 
-@query("t07_title_norm", "SELECT p_partkey, p_name AS title FROM part")
+@query("t07_title_norm", r"""WITH t AS (
+  SELECT p_partkey, lower(strip_accents(CASE p_partkey % 4 WHEN 0 THEN '[HN] ' || p_name WHEN 1 THEN p_name || ' (Upto 2000$)' WHEN 2 THEN p_name || ' lương upto 30tr -' ELSE 'Gấp ' || p_name END)) AS s FROM part),
+u AS (SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(s, '\[[^\]]*\]|\([^)]*\)', ' ', 'g'), '\b(?:luong|salary)\s+(?:upto|up to)\s*[0-9.,]+\s*(?:tr|trieu|k|m|usd)\b', ' ', 'g'), '\b(?:gap|hot|urgent)\b', ' ', 'g') AS s FROM t)
+SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(s, '-\s*$', ' '), '[^a-z0-9+#./ ]+', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM u""")
 def t07(spark, sf):
     k, noise = F.col("p_partkey") % 4, F.col("p_name")
     title = F.when(k == 0, F.concat(F.lit("[HN] "), noise)).when(k == 1, F.concat(noise, F.lit(" (Upto 2000$)"))).when(k == 2, F.concat(noise, F.lit(" lương upto 30tr -"))).otherwise(F.concat(F.lit("Gấp "), F.initcap(noise)))
