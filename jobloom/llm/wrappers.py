@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import small_batches, table
+from jobloom.llm.common import cut, small_batches, table
 
 # Elements by their part in a page.
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -233,7 +233,8 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 3 + [pa.int64()] * 4)], ["host", "kind", "what", "n", "size", "lo", "hi"])
 
     found = rows.mapInArrow(seen, "host string, kind string, what string, n long, size long, lo long, hi long")
-    found = found.groupBy("host", "kind", "what").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # Read twice below: the pages are parsed for it once.
+    found = cut(found.groupBy("host", "kind", "what").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
 
     def fold(keys: list[str]):
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
