@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import classifier, decontaminate, linededup, packing, simhash
+from jobloom.llm import classifier, decontaminate, linededup, neardup, packing
 from jobloom.llm.common import stage_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.one_of_each_group(docs.select(*COLUMNS))
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return neardup.one_of_each_group(docs.select(*COLUMNS))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
