@@ -35,8 +35,6 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
 ]
-#: A file's licence words that are looked up: its rarest ones.
-RAREST = 8
 #: Share of a template's words that must stand at their relative places.
 LEAST = 0.6
 
@@ -53,27 +51,29 @@ class LicenseIndex:
 
     def __init__(self, templates: list[tuple[str, str, list[str]]], df: dict[bytes, int] | None = None, n_docs: int = 0):
         self.templates = [(label, text.encode().split(), [p.encode().split() for p in must]) for label, text, must in templates]
+        words_in = {w for _, words, _ in self.templates for w in words}
+        self.vocabulary = frozenset(words_in)
+        self.idf = {w: math.log((n_docs + 1) / ((df or {}).get(w, 0) + 1)) for w in self.vocabulary}
+        #: A template's rarest places, so many that LEAST of its words can't stand without two of these.
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for t, (_, words, _) in enumerate(self.templates):
-            for at, w in enumerate(words):
-                self.postings[w].append((t, at))
-        self.vocabulary = frozenset(self.postings)
-        self.idf = {w: math.log((n_docs + 1) / ((df or {}).get(w, 0) + 1)) for w in self.vocabulary}
-        #: The rarest word of every template: without it there, a file isn't scanned for the template.
-        self.rarest = [min(words, key=lambda w: (-self.idf[w], w)) for _, words, _ in self.templates]
+            needed = next(c for c in range(len(words) + 1) if c >= LEAST * len(words) or c / len(words) >= LEAST)
+            for at in sorted(range(len(words)), key=lambda k: (-self.idf[words[k]], words[k], k))[: len(words) - needed + 2]:
+                self.postings[words[at]].append((t, at))
 
     def scan(self, words: list[bytes], there: set[bytes]) -> dict[str, float]:
         """label -> share of the best template's words found at their relative places, mandatory phrases verified."""
-        if there.isdisjoint(self.rarest):
+        live = {t for t, (_, _, must) in enumerate(self.templates) if all(there.issuperset(p) for p in must)}
+        if live:
+            joined = b" " + b" ".join(words) + b" "
+            live = {t for t in live if all(b" " + b" ".join(p) + b" " in joined for p in self.templates[t][2])}
+        if not live:
             return {}
-        top = sorted(there & self.vocabulary, key=lambda w: (-self.idf[w], w))[:RAREST]
-        wanted, hits = frozenset(top), defaultdict(set)
-        live = {t for t, w in enumerate(self.rarest) if w in wanted}
+        wanted = {w: own for w in there if (own := [x for x in self.postings.get(w, ()) if x[0] in live])}
+        hits = defaultdict(set)
         for at, w in enumerate(words):
-            if w in wanted:
-                for t, place in self.postings[w]:
-                    if t in live:
-                        hits[t, at - place].add(place)
+            for t, place in wanted.get(w, ()):
+                hits[t, at - place].add(place)
         out: dict[str, float] = {}
         for (t, start), places in hits.items():
             label, template, must = self.templates[t]
@@ -122,9 +122,9 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, list[str]]] =
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row per row of `docs`.
 
     Base phrases are counted at all places; first_word and last_word are their smallest and largest start, null
-    without any. Templates: of a file's words that templates use, the RAREST with the highest IDF over all documents
-    are looked up; postings that agree on where the template would begin give candidates; a candidate stands if LEAST of
-    its words are at their places and its mandatory phrases in or two words around it. score is the best share, 0.5 for base phrases
+    without any. Templates: those whose mandatory phrases the file holds are entered by their places with the
+    highest IDF over all documents, as many as none can stand without; postings that agree on where the template would begin give
+    candidates; a candidate stands if LEAST of its words are at their places and its mandatory phrases in or two words around it. score is the best share, 0.5 for base phrases
     alone, 0 for nothing. Null and empty texts have no words, labels of '' and score 0. Repeated rows and null ids are
     answered row by row; other columns are ignored; an empty table gives an empty result.
     """
