@@ -18,15 +18,21 @@ from pyspark.sql import functions as F
 from jobloom.llm.common import cut, small_batches, table
 
 # Elements by their part in a page.
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr object math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace mpadded mfenced semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OPEN_ENDED = frozenset("p li dt dd tr td th thead tbody tfoot option".split())
 ASIDE = frozenset("head nav header footer aside form menu dialog title".split())
-#: Words in a class or id that mark what isn't the article.
-MARKED = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|menu|nav\w*|footer|header|masthead|cookies?|consent|notices?|alert|popup|modal|share|social|comments?|disqus|respond|related|recommend\w*|subscribe|newsletter|signup|login|breadcrumbs?|widget|toolbar|pagination|copyright)(?:$|[-_ \d])", re.I)
-MAIN = re.compile(r"(?:^|[-_ ])(?:article|content|post|entry|story|main)(?:$|[-_ \d])", re.I)
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|button|object|math)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>""", re.S | re.I)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Containers whose class, role or (outside an article) id may mark what isn't the article.
+CONTAINER = frozenset("div section ul ol dl table".split())
+_MARK = r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|menu|nav\w*|footer|header|masthead|cookies?|consent|notices?|alert|popup|modal|share|social|comments?|disqus|respond|related|recommend\w*|subscribe|newsletter|signup|login|breadcrumbs?|widget|toolbar|pagination|copyright)"
+_PART = r"(?:site|page|top|bottom|left|right|primary|secondary|bar|box|list|links?|items?|posts|articles|stories|buttons?|icons?|wrap|wrapper|container|area|block|inner|outer|\d+)"
+#: Whole class names of such words; "market-share" isn't one.
+MARKED = re.compile(rf"@?(?:{_PART}[-_])*{_MARK}(?:[-_]?(?:{_MARK}|{_PART}))*", re.I)
+MAIN = re.compile(r"(?:^|[-_ #@])(?:article|content|post|entry|story|main)(?:$|[-_ \d])", re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|button)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>""", re.S | re.I)
+_NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: What stands before a name in a path's element, by the attribute it is from.
+_SIGN = {"class": "", "id": "#", "role": "@"}
 #: Elements whose text is the article's even if all pages of a host agree in it.
 TEXTUAL = re.compile(r"(?:article|main|h[1-6]|p|blockquote|pre|li|td|th|dd|dt)(?:\.|$)")
 #: Longest run of tokens that is looked for as a repeated group.
@@ -77,7 +83,7 @@ def parse(html: str) -> tuple[list[tuple[str, str]], list[str]]:
             stack.pop()
         if name in VOID:
             continue
-        marks = " ".join(x for g in _NAMED.findall(m[4]) for x in g if x) if m[4] else ""
+        marks = " ".join(_SIGN[g[0].lower()] + x for g in _NAMED.findall(m[4]) for x in "".join(g[1:]).split()) if m[4] else ""
         full = f"{name}.{re.sub(r'\d+', '0', marks).replace('/', ' ')}" if marks else name
         stack.append(full)
         stream.append("<" + full)
@@ -157,10 +163,17 @@ def slots(wrapper: list) -> dict[str, bool]:
 
 def is_aside(path: str) -> bool:
     """Whether an element on the path holds what isn't the article."""
+    within = False
     for x in path.split("/"):
         name, _, marks = x.partition(".")
-        if name in ASIDE or name not in ("html", "body", "article", "main") and marks and MARKED.search(marks):
+        if name in ASIDE:
             return True
+        if name in CONTAINER:
+            for mark in marks.split():
+                # An id within the article is a place to link to, "related" or "copyright" as well.
+                if MARKED.fullmatch(mark[1:] if mark[0] == "#" and name != "section" and not within else mark):
+                    return True
+        within = within or name in ("article", "main")
     return False
 
 
@@ -173,7 +186,7 @@ def region_of(weight: dict[str, int]) -> str:
         for k in range(len(parts) + 1):
             under["/".join(parts[:k])] += n
     last = lambda p: p.rpartition("/")[2]
-    for wanted in (lambda p: last(p).split(".")[0] == "article", lambda p: last(p).split(".")[0] == "main" or "main" in last(p).partition(".")[2].split(), lambda p: bool(MAIN.search(last(p).partition(".")[2]))):
+    for wanted in (lambda p: last(p).split(".")[0] == "article", lambda p: last(p).split(".")[0] == "main" or not {"main", "#main", "@main"}.isdisjoint(last(p).partition(".")[2].split()), lambda p: bool(MAIN.search(last(p).partition(".")[2]))):
         if found := [p for p in under if p and wanted(p)]:
             return max(found, key=lambda p: (under[p], -len(p), p))
     best = ""
@@ -187,8 +200,8 @@ def region_of(weight: dict[str, int]) -> str:
 def main_text(html: str, region: str | None, constant: frozenset[str]) -> str:
     """The article's blocks, joined by line ends: in the host's region if the page has it, else in its own."""
     blocks, _ = parse(html)
-    blocks = [(p, t) for p, t in blocks if not is_aside(p) and p not in constant]
     inside = lambda p, r: not r or p == r or p.startswith(r + "/")
+    blocks = [(p, t) for p, t in blocks if not is_aside(p) and p not in constant]
     if region is None or not any(inside(p, region) for p, _ in blocks):
         weight: dict[str, int] = defaultdict(int)
         for p, t in blocks:

@@ -121,6 +121,16 @@ def test_main_text(spark):
     assert got[100] == got[101] == ("", 0) and got[None] == got[3]
 
 
+def extracted(spark, htmls: list[str]) -> list[str]:
+    rows = [(k, f"https://one.example/{k}", h) for k, h in enumerate(htmls)]
+    return [r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_names_in_the_article_drop_nothing(spark):
+    html = "<html><body><div class='cookie-notice'>Cookies!</div><div id='footer'>Us</div><article><h2 id='related-work'>Related work</h2><section id='social-reform'><p>Reform.</p></section><div class='market-share'>A third.</div><h2 id='copyright'>Copyright</h2><p>Law of <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <object>a thing</object>.</p><div class='share-buttons'>Send</div></article></body></html>"
+    assert extracted(spark, [html]) == ["Related work\nReform.\nA third.\nCopyright\nLaw of x=1 and a thing."]
+
+
 # --- awkward tables --------------------------------------------------------------------------------------------
 
 LABELS = "doc_id long, quality int, toxic int"
