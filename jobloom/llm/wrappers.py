@@ -12,6 +12,7 @@ from html import unescape
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +40,8 @@ TEXTUAL = re.compile(r"(?:article|main|h[1-6]|p|blockquote|pre|li|td|th|dd|dt)(?
 UNIT = 16
 #: Distinct structures of a host are folded in so many parts, and the parts' wrappers then into one.
 PARTS = 16
-#: Pages with the same text in a slot beyond which it is the host's, not the article's.
-SAME = 3
+#: Different pages with the same text in a slot, and their share of the host's different pages, from which on it is the host's, not the article's.
+SAME, SHARE = 3, 0.5
 
 
 def parse(html: str) -> tuple[list[tuple[str, str]], list[str]]:
@@ -177,6 +178,12 @@ def is_aside(path: str) -> bool:
     return False
 
 
+def is_named(region: str | None) -> bool:
+    """Whether the page's markup itself names the region as the article."""
+    name, _, marks = (region or "").rpartition("/")[2].partition(".")
+    return name in ("article", "main") or bool(MAIN.search(marks))
+
+
 def region_of(weight: dict[str, int]) -> str:
     """The path of the element that holds the article, from the letters at each path: an article, else a main or a
     content element, else the deepest that holds most of the letters, with lists and tables left whole."""
@@ -218,7 +225,8 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
     Every page of a host counts. Streams are grouped (repeats), and equal ones of a host counted once before the shuffle; distinct
     ones are aligned one by one in PARTS parts a host, whose wrappers are aligned in turn, so that a host with any share
-    of the pages neither fills a task nor is sampled. Slots' letters, pages and texts' hashes are summed the same way.
+    of the pages neither fills a task nor is sampled. Slots' letters, different pages and texts' hashes are summed the same way;
+    copies of an article count once.
     """
     rows = pages.select(F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), HOST, 1)).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
 
@@ -228,26 +236,30 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 blocks, stream = parse(html)
                 shapes.add((host, json.dumps(grouped(stream), ensure_ascii=False)))
+                # Copies of an article are one page, whatever stands around it.
+                page = xxhash.xxh64_intdigest("\n".join(t for p, t in blocks if not is_aside(p)).encode("utf-8", "surrogatepass")) >> 1
+                stats[host, "\0", page] = (0, 0, 0)
                 own: dict[str, list] = {}
                 for path, text in blocks:
                     own.setdefault(path, []).append(text)
                 for path, texts in own.items():
                     h = zlib.crc32("\n".join(texts).encode("utf-8", "surrogatepass"))
-                    n, size, lo, hi = stats.get((host, path), (0, 0, h, h))
-                    stats[host, path] = (n + 1, size + sum(map(len, texts)), min(lo, h), max(hi, h))
+                    size, lo, hi = stats.get((host, path, page), (0, h, h))
+                    stats[host, path, page] = (max(size, sum(map(len, texts))), min(lo, h), max(hi, h))
             if len(shapes) + len(stats) > 20_000:
                 yield emit(shapes, stats)
                 shapes, stats = set(), {}
         yield emit(shapes, stats)
 
     def emit(shapes: set, stats: dict) -> pa.RecordBatch:
-        out = [(h, "shape", s, 0, 0, 0, 0) for h, s in shapes] + [(h, "slot", p, *v) for (h, p), v in stats.items()]
+        out = [(h, "shape", s, 0, 0, 0, 0) for h, s in shapes] + [(h, "slot", p, page, *v) for (h, p, page), v in stats.items()]
         cols = list(zip(*out)) or [[]] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 3 + [pa.int64()] * 4)], ["host", "kind", "what", "n", "size", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 3 + [pa.int64()] * 4)], ["host", "kind", "what", "page", "size", "lo", "hi"])
 
-    found = rows.mapInArrow(seen, "host string, kind string, what string, n long, size long, lo long, hi long")
+    found = rows.mapInArrow(seen, "host string, kind string, what string, page long, size long, lo long, hi long")
     # Read twice below: the pages are parsed for it once.
-    found = cut(found.groupBy("host", "kind", "what").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    found = found.groupBy("host", "kind", "what", "page").agg(F.max("size").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = cut(found.groupBy("host", "kind", "what").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
 
     def fold(keys: list[str]):
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,8 +291,14 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         for w, own in zip(wrapper, stats):
             repeated = slots(json.loads(w))
             weight, constant = {}, []
-            for s in own if own is not None else []:
-                if s["n"] >= SAME and s["lo"] == s["hi"] and not repeated.get(s["what"], False) and not TEXTUAL.match(s["what"].rpartition("/")[2]):
+            own = list(own) if own is not None else []
+            least = max([SAME, *(SHARE * s["n"] for s in own if s["what"] == "\0")])
+            own = [s for s in own if s["what"] != "\0"]
+            # Within an article that the markup names nothing is the host's.
+            named = region_of({s["what"]: s["size"] for s in own if not is_aside(s["what"])})
+            inside = lambda p: is_named(named) and (p == named or p.startswith(named + "/"))  # noqa: B023, E731
+            for s in own:
+                if s["n"] >= least and not inside(s["what"]) and s["lo"] == s["hi"] and not repeated.get(s["what"], False) and not TEXTUAL.match(s["what"].rpartition("/")[2]):
                     constant.append(s["what"])
                 elif not is_aside(s["what"]):
                     weight[s["what"]] = s["size"]

@@ -126,6 +126,22 @@ def extracted(spark, htmls: list[str]) -> list[str]:
     return [r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
 
 
+def test_copies_are_no_evidence(spark):
+    """A host of copies keeps their body; so does an article copied among other pages, and a caption that pages share."""
+    body = "<html><body><article><h1>Title</h1><div class='body'>The whole text.</div></article></body></html>"
+    assert extracted(spark, [body] * 5) == ["Title\nThe whole text."] * 5
+    plain = "<html><body><div class='x'><h1>Title</h1><div class='body'>The whole text.</div></div></body></html>"
+    others = [f"<html><body><div class='x'><h1>Other {k}</h1><p>Words of page {k}.</p></div></body></html>" for k in range(4)]
+    assert extracted(spark, [plain] * 5 + others)[:5] == ["Title\nThe whole text."] * 5
+    shown = [f"<html><body><article><p>Text {k}.</p><figcaption>By us</figcaption></article></body></html>" for k in range(4)]
+    assert extracted(spark, shown) == [f"Text {k}.\nBy us" for k in range(4)]
+
+
+def test_template_text_of_different_pages_goes(spark):
+    htmls = [f"<html><body><div class='x'><div class='slogan'>Best news in town</div><p>Words of page {k}, a few more of them.</p></div></body></html>" for k in range(6)]
+    assert extracted(spark, htmls) == [f"Words of page {k}, a few more of them." for k in range(6)]
+
+
 def test_names_in_the_article_drop_nothing(spark):
     html = "<html><body><div class='cookie-notice'>Cookies!</div><div id='footer'>Us</div><article><h2 id='related-work'>Related work</h2><section id='social-reform'><p>Reform.</p></section><div class='market-share'>A third.</div><h2 id='copyright'>Copyright</h2><p>Law of <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <object>a thing</object>.</p><div class='share-buttons'>Send</div></article></body></html>"
     assert extracted(spark, [html]) == ["Related work\nReform.\nA third.\nCopyright\nLaw of x=1 and a thing."]
