@@ -17,8 +17,10 @@ from jobloom.llm.common import as_bytes, bounds_of, cut, groups_of, null_to_low,
 GRAM = 24
 #: Bytes that multikey quicksort looks at before blind tries take over.
 SHALLOW = 16
-#: Suffixes of one gram sorted in one task; grams with more go by the hashes of all their strings.
+#: Suffixes sorted in one task; groups with more are divided by what blocks of their strings share.
 HOT = 100_000
+#: Offsets in a block: a group is divided into blocks of the first width, then of the next; a block of one is one string.
+WIDTHS = (11, 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -166,29 +168,36 @@ def repeats_of_gram(contexts: list[bytes], near: list[int], far: list[int], leng
     Members share a gram and come in text order. A member's strings start `near` to `far` bytes before its gram; its context
     runs from the first one's start to the last one's end.
     """
+    order, lcp = deep_shallow([c[f:] for c, f in zip(contexts, far)])
+    # Of neighbours in order that agree in all their bytes the earliest stands for the others.
     first: dict[tuple[bytes, int], int] = {}
-    out, own = [], []
-    for i, (c, f) in enumerate(zip(contexts, far)):
-        if first.setdefault((c, f), i) == i:
-            own.append(i)
+    out, own, least = [], [], length
+    for o, common in zip(order, lcp):
+        least = min(least, common)
+        if common < len(contexts[o]) - far[o]:
+            first = {}
+        i = first.setdefault((contexts[o], far[o]), o)
+        if i == o:
+            own.append((o, least))
+            least = length
         else:
-            out.append((i, near[i], f))
+            out.append((o, near[o], far[o]))
     if len(own) < 2:
         return out
-    order, lcp = deep_shallow([contexts[i][far[i] :] for i in own])
-    left = [contexts[i][: far[i]] for i in own]
+    order, lcp = [o for o, _ in own], [n for _, n in own]
+    own = order
+    left = {i: contexts[i][: far[i]] for i in own}
     hit: dict[int, list[int]] = {}
     for j in range(min(near[i] for i in own), max(far[i] for i in own) + 1):
         seen: dict[bytes, list[int]] = {}
         least, groups = length, [seen]
-        for o, common in zip(order, lcp):
+        for i, common in zip(order, lcp):
             least = min(least, common)
-            i = own[o]
             if near[i] <= j <= far[i]:
                 if least < length - j:
                     seen = {}
                     groups.append(seen)
-                seen.setdefault(left[o][far[i] - j :], []).append(i)
+                seen.setdefault(left[i][far[i] - j :], []).append(i)
                 least = length
         for g in groups:
             for same in g.values():
@@ -208,8 +217,12 @@ def repeats_of_gram(contexts: list[bytes], near: list[int], far: list[int], leng
     return out
 
 
+#: Bits of a gram's hash that are shuffled; grams that agree in them are told apart by the sort.
+_GRAM_BITS = (1 << 48) - 1
+
+
 def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
-    """(gram, id, twin, place, span) of every anchor of `texts` (id, twin, text); span packs the offsets far * 128 + near."""
+    """(gram, id, th, place, span) of every anchor of `texts` (id, th, text); span packs the offsets far * 128 + near."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 256 << 10):
@@ -232,20 +245,22 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
                 place, gram, first, last = anchors(np.frombuffer(b"".join(parts[at:n]), dtype=np.uint8), begins, sizes, GRAM, length)
                 k = np.searchsorted(begins, first, "right") - 1
                 row, offset = np.array(rows[at:n])[k], np.array(moved[at:n])[k] - begins[k]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram.view(np.int64), ids[row], ths[row], (place + offset).astype(np.int64), ((place - first) * 128 + place - last).astype(np.int32))], ["gram", "id", "twin", "place", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram.view(np.int64) & _GRAM_BITS, ids[row], ths[row], (place + offset).astype(np.int32), ((place - first) * 128 + place - last).astype(np.int32))], ["gram", "id", "th", "place", "span"])
                 at = n
 
-    return texts.mapInArrow(of, "gram long, id long, twin long, place long, span int")
+    return texts.mapInArrow(of, "gram long, id long, th long, place int, span int")
 
 
 def repeated_runs(texts: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
-    """(id, twin, runs): for each of the texts (id, twin, text; rows that repeat one in all three count once), the byte runs [from, to) that earlier strings cover.
+    """(id, th, runs): for each of the texts (id, th, text; rows that repeat one in all three count once), the byte runs [from, to) that earlier strings cover.
 
     Anchors (about one in 39 bytes) whose gram is alone are dropped; counts are combined before the shuffle. The rest get
-    the bytes around them, and each gram's suffixes are sorted and compared in one task, up to `hot` of them. Strings of
-    more common grams are told apart by 128 bits of hash and their earliest place is a minimum combined before the shuffle.
+    the bytes around them, and each gram's suffixes are sorted and compared in one task. A gram with more than `hot`
+    suffixes is divided: into blocks of strings at neighbouring offsets, each by all the bytes that they share, so that
+    what falls together is equal but for a few bytes at its ends, and is sorted. What still has more is divided by single
+    offsets, where a group is one string, of which the earliest place is a minimum combined before the shuffle.
     """
-    rows = _anchor_rows(texts.select("id", "twin", "text"), length)
+    rows = _anchor_rows(texts, length)
     counts = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     met = rows.join(counts, "gram")
 
@@ -259,17 +274,17 @@ def repeated_runs(texts: DataFrame, length: int = 100, hot: int = HOT) -> DataFr
             texts = as_bytes(batch.column("text"))
             begin, end = place - span // 128, place - span % 128 + length
             found = [texts[r][b:e] for r, b, e in zip(row.tolist(), begin.tolist(), end.tolist())]
-            yield pa.RecordBatch.from_arrays([each.field("gram"), batch.column("id").take(pa.array(row)), batch.column("twin").take(pa.array(row)), each.field("place"), each.field("span"), pa.array(found, pa.binary())], ["gram", "id", "twin", "place", "span", "context"])
+            yield pa.RecordBatch.from_arrays([each.field("gram"), batch.column("id").take(pa.array(row)), batch.column("th").take(pa.array(row)), each.field("place"), each.field("span"), pa.array(found, pa.binary())], ["gram", "id", "th", "place", "span", "context"])
 
     def around(some: DataFrame) -> DataFrame:
-        by_text = some.groupBy("id", "twin").agg(F.collect_set(F.struct("gram", "place", "span")).alias("at"))
-        return texts.join(by_text, ["id", "twin"]).select("id", "twin", "text", "at").mapInArrow(contexts, "gram long, id long, twin long, place long, span int, context binary")
+        by_text = some.groupBy("id", "th").agg(F.collect_set(F.struct("gram", "place", "span")).alias("at"))
+        return texts.join(by_text.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "at").mapInArrow(contexts, "gram long, id long, th long, place int, span int, context binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, ["gram"]):
-            again = np.concatenate([[False], np.all([(v := t.column(c).to_numpy())[1:] == v[:-1] for c in ("gram", "id", "twin", "place")], axis=0)])
+            again = np.concatenate([[False], np.all([(v := t.column(c).to_numpy())[1:] == v[:-1] for c in ("gram", "id", "th", "place")], axis=0)])
             t = t.filter(pa.array(~again))
-            gram, ids, ths, place, span = (t.column(c).to_numpy() for c in ("gram", "id", "twin", "place", "span"))
+            gram, ids, ths, place, span = (t.column(c).to_numpy() for c in ("gram", "id", "th", "place", "span"))
             context = t.column("context").to_pylist()
             far, near = (span // 128).tolist(), (span % 128).tolist()
             b = bounds_of([gram])
@@ -279,15 +294,33 @@ def repeated_runs(texts: DataFrame, length: int = 100, hot: int = HOT) -> DataFr
                     out += [(s + i, lo, hi) for i, lo, hi in repeats_of_gram(context[s:e], near[s:e], far[s:e], length)]
             if out:
                 i, lo, hi = np.array(out, dtype=np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i], ths[i], place[i] - hi, place[i] - lo + length)], ["id", "twin", "from", "to"])
-
-    kinds = "id long, twin long, from long, to long"
-    usual = around(met.where(F.col("n") <= hot)).repartition("gram").sortWithinPartitions("gram", "id", "twin", "place").mapInArrow(compare, kinds)
-    string = F.expr(f"substring(context, k + 1, {length})")
-    often = around(met.where(F.col("n") > hot)).withColumn("k", F.explode(F.sequence(F.lit(0), F.octet_length("context") - length))).select("id", "twin", (F.col("place") - F.shiftright("span", 7) + F.col("k")).alias("from"), F.xxhash64(string).alias("a"), F.xxhash64(string, F.lit(1)).alias("b"))
-    earliest = often.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("id", "twin", "from")).alias("first")).where("n > 1").select("a", "b", "first")
-    later = often.join(earliest, ["a", "b"]).where(F.struct("id", "twin", "from") > F.col("first")).select("id", "twin", "from", (F.col("from") + length).alias("to"))
-    return usual.union(later).groupBy("id", "twin").agg(F.collect_list(F.struct("from", "to")).alias("runs"))
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in ((ids[i], np.int64), (ths[i], np.int64), (place[i] - hi, np.int32), (place[i] - lo + length, np.int32))], ["id", "th", "from", "to"])
+
+    def sorted_runs(some: DataFrame) -> DataFrame:
+        return some.repartition("gram").sortWithinPartitions("gram", "id", "th", "place").mapInArrow(compare, "id long, th long, from int, to int")
+
+    def divided(some: DataFrame, width: int) -> DataFrame:
+        """The rows of `some`, one for each block of `width` offsets: gram stands for the block and what its strings share."""
+        near, far = F.col("span").bitwiseAND(127), F.shiftright("span", 7)
+        blocks = some.select("*", F.explode(F.sequence(F.floor(near / width).cast("int"), F.floor(far / width).cast("int"))).alias("b"))
+        low, high = F.col("b") * width, F.col("b") * width + (width - 1)
+        shared = F.substring("context", far - low + 1, F.lit(length) - high + low)
+        own_near, own_far = F.greatest(near, low), F.least(far, high)
+        return blocks.select(F.xxhash64("gram", "b", shared).alias("gram"), "id", "th", "place", (own_far * 128 + own_near).alias("span"), F.substring("context", far - own_far + 1, own_far - own_near + length).alias("context"))
+
+    found = sorted_runs(around(met.where(F.col("n") <= hot)))
+    more = around(met.where(F.col("n") > hot))
+    for width in WIDTHS:
+        more = divided(more, width)
+        if width > 1:
+            n = more.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+            more = more.join(n, "gram")
+            found = found.union(sorted_runs(more.where(F.col("n") <= hot).drop("n")))
+            more = more.where(F.col("n") > hot).drop("n")
+    string = more.select("id", "th", (F.col("place") - F.shiftright("span", 7)).alias("from"), "context")
+    earliest = string.groupBy("context").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "from")).alias("first")).where("n > 1").select("context", "first")
+    later = string.join(earliest, "context").where(F.struct("id", "th", "from") > F.col("first")).select("id", "th", "from", (F.col("from") + length).alias("to"))
+    return found.union(later).groupBy("id", "th").agg(F.collect_list(F.struct("from", "to")).alias("runs"))
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot: int = HOT) -> DataFrame:
@@ -298,17 +331,14 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     whole. Rows of one id and text are one text, neither earlier; rows of one id and other text are ordered by its hash.
     Null text counts as empty. Other columns are ignored; an empty table gives an empty result.
     """
-    # A null id is the least of all from here on; the columns are those that every use of the texts needs, so that they are shuffled once.
+    # A null id is the least of all from here on. All joins of texts are on (id, th): one exchange of the texts serves them.
     rows = docs.select(null_to_low(F.col(id_col)).alias("id"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # A text is named by two hashes and its size; of equal ones the least id is sorted.
     mark = F.struct(F.xxhash64("text", F.lit(1)).alias("x"), F.octet_length("text").alias("n"))
-    firsts = rows.select("id", "th", mark.alias("mark")).groupBy("th", "mark").agg(F.min("id").alias("id")).select("id", "th")
-    # Where an id names one text, as it should, nothing but the id has to be carried along.
-    shared = firsts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("shared"))
-    lone = cut(firsts.join(shared, "id", "left").select("id", "th", F.when(F.col("shared"), F.col("th")).otherwise(F.lit(0)).cast("long").alias("twin")))
-    texts = rows.join(lone, ["id", "th"]).select("id", "twin", "text")
+    lone = cut(rows.select("id", "th", mark.alias("mark")).groupBy("th", "mark").agg(F.min("id").alias("id")).select("id", "th"))
+    texts = rows.join(lone.hint("shuffle_hash"), ["id", "th"])
     runs = repeated_runs(texts, length, hot)
-    state = lone.join(runs, ["id", "twin"], "left").select("id", "th", "runs", F.lit(True).alias("own"))
+    state = lone.join(runs, ["id", "th"], "left").select("id", "th", "runs", F.lit(True).alias("own"))
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     def digest(text: pd.Series, own: pd.Series, runs: pd.Series) -> pd.DataFrame:
@@ -328,7 +358,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     doc_id = F.when(F.col("id") > F.lit(-(2**63)), F.col("id")).alias("doc_id")
-    return rows.join(state, ["id", "th"], "left").select(doc_id, digest("text", "own", "runs").alias("d")).select("doc_id", "d.*")
+    return rows.join(state.hint("shuffle_hash"), ["id", "th"], "left").select(doc_id, digest("text", "own", "runs").alias("d")).select("doc_id", "d.*")
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

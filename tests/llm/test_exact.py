@@ -56,7 +56,7 @@ def repeats_corpus():
     return rows
 
 
-@pytest.mark.parametrize("hot", [100_000, 5])
+@pytest.mark.parametrize("hot", [100_000, 5, 1])
 def test_repeated_bytes(docs, hot):
     rows = repeats_corpus()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeated_bytes(docs(rows), hot=hot).drop("kept").collect()}
