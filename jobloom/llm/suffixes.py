@@ -18,7 +18,7 @@ GRAM = 24
 #: Bytes that multikey quicksort looks at before blind tries take over.
 SHALLOW = 16
 #: Suffixes sorted in one task; groups with more are divided by what blocks of their strings share.
-HOT = 100_000
+HOT = 20_000
 #: Offsets in a block: a group is divided into blocks of the first width, then of the next; a block of one is one string.
 WIDTHS = (11, 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -256,9 +256,10 @@ def repeated_runs(texts: DataFrame, length: int = 100, hot: int = HOT) -> DataFr
 
     Anchors (about one in 39 bytes) whose gram is alone are dropped; counts are combined before the shuffle. The rest get
     the bytes around them, and each gram's suffixes are sorted and compared in one task. A gram with more than `hot`
-    suffixes is divided: into blocks of strings at neighbouring offsets, each by all the bytes that they share, so that
-    what falls together is equal but for a few bytes at its ends, and is sorted. What still has more is divided by single
-    offsets, where a group is one string, of which the earliest place is a minimum combined before the shuffle.
+    suffixes is divided: of those that agree in all their bytes the earliest, a minimum combined before the shuffle, stands
+    for the others; the rest fall into blocks of strings at neighbouring offsets, each by all the bytes that they share, so
+    that what falls together is equal but for a few bytes at its ends, and is sorted. What still has more is divided by
+    single offsets, where a group is one string, of which the earliest place is a minimum again.
     """
     rows = _anchor_rows(texts, length)
     counts = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
@@ -278,7 +279,7 @@ def repeated_runs(texts: DataFrame, length: int = 100, hot: int = HOT) -> DataFr
 
     def around(some: DataFrame) -> DataFrame:
         by_text = some.groupBy("id", "th").agg(F.collect_set(F.struct("gram", "place", "span")).alias("at"))
-        return texts.join(by_text.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "at").mapInArrow(contexts, "gram long, id long, th long, place int, span int, context binary")
+        return texts.join(by_text, ["id", "th"]).select("id", "th", "text", "at").mapInArrow(contexts, "gram long, id long, th long, place int, span int, context binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, ["gram"]):
@@ -310,6 +311,11 @@ def repeated_runs(texts: DataFrame, length: int = 100, hot: int = HOT) -> DataFr
 
     found = sorted_runs(around(met.where(F.col("n") <= hot)))
     more = around(met.where(F.col("n") > hot))
+    place = F.struct("id", "th", "place")
+    firsts = more.groupBy("gram", "span", "context").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    copies = more.join(firsts.where("n > 1"), ["gram", "span", "context"]).where(place > F.col("first"))
+    found = found.union(copies.select("id", "th", (F.col("place") - F.shiftright("span", 7)).alias("from"), (F.col("place") - F.col("span").bitwiseAND(127) + length).alias("to")))
+    more = firsts.select("gram", "first.*", "span", "context")
     for width in WIDTHS:
         more = divided(more, width)
         if width > 1:
@@ -358,7 +364,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     doc_id = F.when(F.col("id") > F.lit(-(2**63)), F.col("id")).alias("doc_id")
-    return rows.join(state.hint("shuffle_hash"), ["id", "th"], "left").select(doc_id, digest("text", "own", "runs").alias("d")).select("doc_id", "d.*")
+    return rows.join(state, ["id", "th"], "left").select(doc_id, digest("text", "own", "runs").alias("d")).select("doc_id", "d.*")
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
