@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,18 +17,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir`. On one machine, where it is unset, a temporary one is set."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if sc.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="jobloom-"))
+        folder = sc.getCheckpointDir()
+    return folder.rstrip("/")
 
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests on one machine)
-    a temporary folder is set instead.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="jobloom-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write `df` as a table in the shared folder and go on from there: for wide or many rows, which checkpoints don't compress."""
+    path = f"{stage_dir(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables made by `written`, and let Spark clear the shuffles of finished steps now rather than at its next collection."""
+    jvm = spark.sparkContext._jvm
+    for t in tables:
+        for top in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(top)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
+def private(df: DataFrame, name: str) -> str:
+    """A column name like `name` that `df` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while f"__{name}".lower() in taken:
+        name += "_"
+    return f"__{name}"
+
+
 def null_to_low(c: Column) -> Column:
     """Ids as sort keys: null comes before every number."""
     return F.coalesce(c.cast("long"), F.lit(-(2**63)))
@@ -85,6 +118,5 @@ def bounds_of(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """A new folder for written tables below the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="jobloom-")
-    return f"{base.rstrip('/')}/stages-{uuid.uuid4().hex}"
+    """A new folder for written tables below the shared folder."""
+    return f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"

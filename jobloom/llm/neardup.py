@@ -1,4 +1,4 @@
-"""Near copies by exact similarity of five-word shingles: a prefix filter proposes pairs, whole shingle sets decide."""
+"""Near copies of five-word similarity 0.8: SimHash tiles among texts that share a rare shingle, whole shingle sets decide."""
 
 from __future__ import annotations
 
@@ -10,34 +10,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import as_bytes, bounds_of, cut, groups_of, null_to_low, small_batches
+from jobloom.llm.common import as_bytes, bounds_of, groups_of, null_to_low, private, release, small_batches, written
 from jobloom.llm.components import connected_components
+from jobloom.llm.simhash import SEED, majority, shingle_hashes
 
-SEED = 42
 #: Words in a shingle.
 WIDTH = 5
 #: Least Jaccard similarity, as a fraction of whole numbers.
 NUM, DEN = 4, 5
+#: Bits in which fingerprints of near copies may differ. At similarity 0.8 they differ in 9.7 of 64, standard deviation 2.9: one pair in ten million is beyond.
+RADIUS = 24
+#: Texts of fewer shingles are compared whatever their fingerprints.
+FEW = 32
 #: One text in so many is counted to find the shingles that many texts hold; these come last in the order of shingles.
 SAMPLE = 32
 #: Texts of the sample that make a shingle common, and how many common shingles are kept. Neither changes the result.
 COMMON, MOST_COMMON = 4, 1 << 17
 #: Texts with one shingle in common that are compared at once.
 TILE = 2048
+#: Bits of a shingle's hash that are shuffled; shingles that agree in them only propose more pairs.
+_TOKEN_BITS = (1 << 48) - 1
 
 
 def shingles(text: bytes | None) -> np.ndarray:
     """The distinct XXH64 hashes of a text's WIDTH-word shingles in order; fewer words are one shingle, none have none."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= WIDTH:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - WIDTH + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[WIDTH - 1 :].tolist())], dtype=np.uint64))
+    return np.unique(shingle_hashes(text, WIDTH))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -63,135 +60,192 @@ def common_shingles(rows: DataFrame) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """(id, th, key, n, prefix): key stands for the text's set of n shingles, prefix has its first ones, common ones last.
+    """(id, th, key, n, fp, prefix): key stands for the text's set of n shingles, fp is its SimHash, prefix has its first shingles, common ones last.
 
     Whatever the order, two sets of similarity NUM / DEN share a shingle among the first n - ceil(n * NUM / DEN) + 1 of each.
     """
+    shared = rows.sparkSession.sparkContext.broadcast(common)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = shared.value
         for batch in small_batches(batches):
-            keys, sizes, prefixes = [], [], []
+            keys, sizes, fps, prefixes = [], [], [], []
             for text in as_bytes(batch.column(2)):
                 s = shingles(text)
                 keys.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 sizes.append(len(s))
-                last = np.isin(s, common)
+                fps.append(majority(s))
+                last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(len(s), dtype=bool)
                 prefixes.append(np.concatenate([s[~last], s[last]])[: len(s) - -(-len(s) * NUM // DEN) + 1 if len(s) else 0])
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists], ["id", "th", "key", "n", "prefix"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes).view(np.int64) & _TOKEN_BITS))
+            named = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (keys, fps)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), named[0], pa.array(sizes, pa.int32()), named[1], lists], ["id", "th", "key", "n", "fp", "prefix"])
 
-    return rows.select("id", "th", "text").mapInArrow(of, "id long, th long, key long, n long, prefix array<long>")
+    return rows.select("id", "th", "text").mapInArrow(of, "id long, th long, key long, n int, fp long, prefix array<long>")
+
+
+def _fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of columns (key, n, at, fp, comp) may be similar: by what may still be common after their places, by components and fingerprints."""
+    near = (NUM + DEN) * np.minimum(x[1] - x[2], y[1] - y[2]) >= NUM * (x[1] + y[1])
+    near &= (x[0] != y[0]) & (x[4] != y[4])
+    return near & ((np.bitwise_count((x[3] ^ y[3]).view(np.uint64)) <= RADIUS) | (np.minimum(x[1], y[1]) < FEW))
+
+
+def _emit(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+    u, v = np.concatenate(left), np.concatenate(right)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+
+def _tiles(g: np.ndarray, second: np.ndarray | None, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of keys that fit in `g`, or between its two sides: tiles in order of population count, pairs of tiles beyond RADIUS passed over."""
+    pops = np.where(g[1] < FEW, -1, np.bitwise_count(g[3].view(np.uint64)).astype(np.int64))
+    order = np.argsort(pops, kind="stable")
+    g, pops = g[:, order], pops[order]
+    side = None if second is None else second[order]
+    for i in range(0, g.shape[1], step):
+        low, high = pops[i], pops[min(i + step, g.shape[1]) - 1]
+        for j in range(i, g.shape[1], step):
+            if low >= 0 and pops[j] - high > RADIUS:
+                break
+            x, y = g[:, i : i + step, None], g[:, None, j : j + step]
+            near = _fits(x, y)
+            if side is not None:
+                near &= side[i : i + step, None] != side[None, j : j + step]
+            k, m = np.nonzero(np.triu(near, 1) if i == j else near)
+            if len(k):
+                yield g[0, i + k], g[0, j + m]
 
 
 def candidates(met: DataFrame, chain: bool) -> DataFrame:
-    """(u, v): pairs of keys that share a shingle of their prefixes and by their sizes and its places may be similar.
+    """(u, v): pairs of keys of different `comp` that share a shingle of their prefixes and may be similar, each once.
 
-    `met` has (token, key, n, at, of, comp): `of` keys hold the token. With `chain` only neighbours by size within a tile
-    are paired; else all pairs of different `comp`, tile against tile, so that a shingle that many hold is many groups.
+    `met` has (token, key, n, at, fp, comp, block, second). Rows of one token and block are compared with one another, those
+    of two sides of a block (second: false, true; null for none) only across. With `chain` only neighbours by size are paired.
     """
-    parts = F.ceil(F.col("of") / TILE).cast("long")
-    tile = F.pmod(F.xxhash64("key"), parts)
-    met = met.select("token", "key", "n", "at", "comp", tile.alias("tile"), (F.array(tile) if chain else F.sequence(F.lit(0).cast("long"), parts - 1)).alias("others"))
-    met = met.select("token", F.explode("others").alias("other"), "tile", "key", "n", "at", "comp").select("token", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), (F.col("tile") > F.col("other")).alias("second"), "key", "n", "at", "comp")
-
-    def fits(x: tuple, y: tuple) -> np.ndarray:
-        # What may still be common after this place, against what must be: common / (n + m - common) >= NUM / DEN.
-        return ((NUM + DEN) * np.minimum(x[1] - x[2], y[1] - y[2]) >= NUM * (x[1] + y[1])) & (x[0] != y[0])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups_of(batches, ["token", "lo", "hi"]):
-            c = [t.column(k).to_numpy() for k in ("token", "lo", "hi")]
-            values, second = np.stack([t.column(k).to_numpy() for k in ("key", "n", "at", "comp")]), np.asarray(t.column("second"))
-            left, right = [], []
-            b = bounds_of(c)
+        left, right, held = [], [], 0
+        for t in groups_of(batches, ["token", "block"]):
+            values = np.stack([t.column(k).to_numpy().astype(np.int64) for k in ("key", "n", "at", "fp", "comp")])
+            second = t.column("second").to_numpy()
+            b = bounds_of([t.column(k).to_numpy() for k in ("token", "block")])
             for s, e in zip(b[:-1], b[1:]):
-                if e - s < 2:
-                    continue
                 g = values[:, s:e]
+                if e - s < 2 or g[4].min() == g[4].max():
+                    continue
                 if chain:
                     g = g[:, np.lexsort((g[0], g[1]))]
-                    near = fits(tuple(g[:, :-1]), tuple(g[:, 1:]))
-                    left.append(g[0, :-1][near])
-                    right.append(g[0, 1:][near])
-                    continue
-                one = c[1][s] == c[2][s]
-                x, y = (g, g) if one else (g[:, ~second[s:e]], g[:, second[s:e]])
-                for i in range(0, x.shape[1], 256):
-                    p = tuple(v[:, None] for v in x[:, i : i + 256])
-                    near = fits(p, tuple(y)) & (p[3] != y[3])
-                    k, m = np.nonzero(near & (p[0] < y[0]) if one else near)
-                    left.append(x[0, i + k])
-                    right.append(y[0, m])
-                    if sum(map(len, left)) > 1 << 16:
-                        yield emit(left, right)
-                        left, right = [], []
-            if left:
-                yield emit(left, right)
-
-    def emit(left: list, right: list) -> pa.RecordBatch:
-        u, v = np.concatenate(left), np.concatenate(right)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
-
-    keys = ["token", "lo", "hi"]
-    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(pairs, "u long, v long").distinct()
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets (key, s) are similar."""
+                    near = _fits(g[:, :-1], g[:, 1:])
+                    found = [(g[0, :-1][near], g[0, 1:][near])]
+                else:
+                    sides = second[s:e]
+                    found = _tiles(g, sides.astype(bool) if sides[0] >= 0 else None)
+                for u, v in found:
+                    left.append(u)
+                    right.append(v)
+                    held += len(u)
+                    if held > 1 << 16:
+                        yield _emit(left, right)
+                        left, right, held = [], [], 0
+        if left:
+            yield _emit(left, right)
+
+    keys = ["token", "block"]
+    rows = met.select("token", "block", F.coalesce(F.col("second").cast("int"), F.lit(-1)).alias("second"), "key", "n", "at", "fp", "comp")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(pairs, "u long, v long").distinct()
+
+
+def _in_blocks(hot: DataFrame) -> DataFrame:
+    """Rows of tokens that more than TILE keys hold, with blocks of bounded size in which every two that may be similar meet.
+
+    Sizes are cut into classes of factor DEN / NUM: similar sets are of one class or of neighbours, so they meet in the band of
+    the greater one. A band's keys are dealt over tiles by hash; every two tiles of a band are a block.
+    """
+    mixed = hot.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int")
+    banded = hot.join(mixed, "token").select("*", F.explode(F.array(size, size + 1)).alias("band"))
+    parts = banded.groupBy("token", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    tile = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    rows = banded.join(parts, ["token", "band"]).withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    block = F.xxhash64("band", F.least("tile", "other"), F.greatest("tile", "other"))
+    return rows.withColumn("block", block).withColumn("second", F.when(F.col("tile") != F.col("other"), F.col("tile") > F.col("other")))
+
+
+def confirmed(pairs: DataFrame, names: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose texts are similar; names has (key, id, th), rows (id, th, text)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            keep = [similar(np.frombuffer(a[k].as_buffer(), dtype=np.uint64), np.frombuffer(b[k].as_buffer(), dtype=np.uint64)) for k in range(batch.num_rows)]
+        for batch in small_batches(batches):
+            sets: dict[int, np.ndarray] = {}
+            keep = []
+            for u, v, a, b in zip(*(batch.column(k).to_pylist() for k in (0, 1)), as_bytes(batch.column(2)), as_bytes(batch.column(3))):
+                for k, t in ((u, a), (v, b)):
+                    if k not in sets:
+                        sets[k] = shingles(t)
+                keep.append(similar(sets[u], sets[v]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(of, "u long, v long")
+    end = lambda k: names.select(F.col("key").alias(k), F.col("id").alias(f"{k}_id"), F.col("th").alias(f"{k}_th"))
+    pairs = written(pairs.join(end("u"), "u").join(end("v"), "v"))
+    wanted = pairs.select(F.explode(F.array(*[F.struct(F.col(f"{k}_id").alias("id"), F.col(f"{k}_th").alias("th")) for k in "uv"])).alias("w")).select("w.*").distinct()
+    texts = rows.join(wanted, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.first("text").alias("text"))
+    text = lambda k: texts.select(F.col("id").alias(f"{k}_id"), F.col("th").alias(f"{k}_th"), F.col("text").alias(f"{k}_text"))
+    both = pairs.join(text("u"), ["u_id", "u_th"]).join(text("v"), ["v_id", "v_th"])
+    return both.select("u", "v", "u_text", "v_text").mapInArrow(of, "u long, v long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, root), a row per row of `docs`: root is the same for rows that a chain of near copies connects.
 
     Near copies are texts whose sets of five-word shingles (A-Z lower-cased, white space ignored) have a similarity of 0.8 or
-    more; every such pair is found. Texts without words are copies of one another. Ids are those of `null_to_low`, th is the
-    text's hash. Pairs of neighbours in a shared shingle are compared first, then all pairs not yet connected.
+    more. Texts that share a shingle of their prefixes, as all such pairs do, meet; their fingerprints are compared tile
+    against tile, and whole sets confirm what is within RADIUS bits. Texts without words are copies of one another. Ids are
+    those of `null_to_low`, th is the text's hash. Pairs of neighbours in a shared shingle are compared first, then all pairs not
+    yet connected.
     """
+    spark = docs.sparkSession
     rows = docs.select(null_to_low(F.col(id_col)).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    sig = cut(signatures(rows, common_shingles(rows)))
-    tokens = sig.select("key", "n", F.posexplode("prefix").alias("at", "token")).select("token", "key", "n", F.col("at").cast("long").alias("at")).distinct()
-    tokens = cut(tokens)
+    sig = written(signatures(rows, common_shingles(rows)))
+    names = sig.groupBy("key").agg(F.min(F.struct("id", "th")).alias("m")).select("key", "m.*")
+    tokens = sig.join(names.select("id", "th").hint("shuffle_hash"), ["id", "th"], "left_semi").select(F.posexplode("prefix").alias("at", "token"), "key", "n", "fp")
     shared = tokens.groupBy("token").agg(F.count("*").alias("of")).where("of > 1")
-    met = cut(tokens.join(shared, "token"))
+    met = written(tokens.join(shared, "token"))
+    members = written(sig.select("id", "th", "key"))
+    names = written(names)
+    release(spark, sig)
 
-    first = cut(candidates(met.withColumn("comp", F.col("key")), True))
-    wanted = met.select("key").distinct()
-    best = sig.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "th")).alias("m")).select("key", F.col("m.id").alias("id"), F.col("m.th").alias("th"))
-    sets = cut(shingle_sets(rows.join(best, ["id", "th"]).select("key", "text")).dropDuplicates(["key"]))
-    links = cut(confirmed(first, sets))
+    none = F.lit(None).cast("boolean")
+    tile = F.pmod(F.xxhash64("key"), F.ceil(F.col("of") / TILE))
+    first = written(candidates(met.select("token", tile.alias("block"), none.alias("second"), "key", "n", "at", "fp", F.col("key").alias("comp")), True))
+    links = written(confirmed(first, names, rows))
+    release(spark)
 
     roots = connected_components(links)
-    rest = met.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
-    more = candidates(rest, False).join(first, ["u", "v"], "left_anti")
-    roots = connected_components(links.union(cut(confirmed(more, sets))))
-    return sig.select("id", "th", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("id", "th", F.coalesce("root", "key").alias("root"))
-
-
-def shingle_sets(rows: DataFrame) -> DataFrame:
-    """(key, s): the shingles of each text of `rows` (key, text) as bytes."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in as_bytes(batch.column(1))], pa.binary())], ["key", "s"])
-
-    return rows.mapInArrow(of, "key long, s binary")
+    rest = met.where("of > 2").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
+    usual = rest.where(F.col("of") <= TILE).select("*", F.lit(0).cast("long").alias("block"), none.alias("second"))
+    columns = ["token", "block", "second", "key", "n", "at", "fp", "comp"]
+    more = candidates(usual.select(columns).union(_in_blocks(rest.where(F.col("of") > TILE)).select(columns)), False)
+    more = written(more.join(first, ["u", "v"], "left_anti"))
+    if not more.isEmpty():
+        roots = connected_components(links.union(written(confirmed(more, names, rows))))
+    release(spark, met, first)
+    return members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("id", "th", F.coalesce("root", "key").alias("root"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of near copies: the smallest (id, text hash), null ids first. Columns unchanged.
 
-    Of rows that agree in id and text one stays, whichever.
+    Of rows that agree in id and text one stays, whichever. Null texts and texts without a word are one group. An empty table
+    gives an empty result.
     """
-    best = groups(docs, id_col, text_col).groupBy("root").agg(F.min(F.struct("id", "th")).alias("best")).select(F.col("best.id").alias("__id"), F.col("best.th").alias("__th"))
-    keyed = docs.withColumns({"__id": null_to_low(F.col(id_col)), "__th": F.xxhash64(text_col)})
-    return keyed.join(best, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).select(*docs.columns)
+    best = groups(docs, id_col, text_col).groupBy("root").agg(F.min(F.struct("id", "th")).alias("best"))
+    return kept_rows(docs, best.select("best.*"), id_col, text_col)
+
+
+def kept_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of `docs` for each (id, th) of `kept`, columns unchanged, whatever their names."""
+    i, h = private(docs, "id"), private(docs, "th")
+    keyed = docs.withColumns({i: null_to_low(F.col(f"`{id_col}`")), h: F.xxhash64(F.col(f"`{text_col}`"))})
+    kept = kept.select(F.col("id").alias(i), F.col("th").alias(h))
+    return keyed.join(kept, [i, h], "left_semi").dropDuplicates([i, h]).select(*[F.col(f"`{c}`") for c in docs.columns])

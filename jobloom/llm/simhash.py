@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import as_bytes, bounds_of, cut, groups_of, null_to_low, small_batches, table
+from jobloom.llm.common import as_bytes, bounds_of, cut, groups_of, null_to_low, private, small_batches, table
 from jobloom.llm.components import connected_components
 
 SEED = 42
@@ -18,22 +18,31 @@ SEED = 42
 CHUNK = 1 << 15
 
 
-def fingerprint(text: bytes | None, width: int) -> int:
-    """64-bit majority vote of the XXH64 hashes of all `width`-word shingles, repeats included."""
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """The XXH64 hashes of all `width`-word shingles, repeats included; fewer words are one shingle, none have none."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return np.zeros(0, dtype=np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1].tolist()
-    stops = ends[width - 1 :].tolist()
-    digest, votes = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
-    for at in range(0, len(starts), CHUNK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + CHUNK], stops[at : at + CHUNK])], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero without any."""
+    votes = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        h = hashes[at : at + CHUNK].astype("<u8", copy=False)
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(starts), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes | None, width: int) -> int:
+    """64-bit majority vote of the shingles' hashes."""
+    return majority(shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -154,8 +163,10 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sig = cut(fingerprints(docs, id_col, text_col, width))
     named = components_of(sig, radius)
     best = sig.join(named, "fp").groupBy("root").agg(F.min(F.struct(null_to_low(F.col("id")).alias("id"), "th")).alias("best")).select(F.col("best.id").alias("__id"), F.col("best.th").alias("__th"))
-    keyed = docs.withColumns({"__id": null_to_low(F.col(id_col)), "__th": F.xxhash64(text_col)})
-    return keyed.join(best, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).select(*docs.columns)
+    i, h = private(docs, "id"), private(docs, "th")
+    keyed = docs.withColumns({i: null_to_low(F.col(f"`{id_col}`")), h: F.xxhash64(F.col(f"`{text_col}`"))})
+    best = best.select(F.col("__id").alias(i), F.col("__th").alias(h))
+    return keyed.join(best, [i, h], "left_semi").dropDuplicates([i, h]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
