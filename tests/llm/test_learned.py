@@ -147,6 +147,93 @@ def test_names_in_the_article_drop_nothing(spark):
     assert extracted(spark, [html]) == ["Related work\nReform.\nA third.\nCopyright\nLaw of x=1 and a thing."]
 
 
+def test_the_wrapper_tells_neutral_blocks_apart(spark):
+    """Three nameless blocks on one path: only the host's wrapper says which of them is the article."""
+    htmls = [f"<html><body><div><div>Our shop, our news, our friends, all that you see here every day and more</div><div><p>Words {k} of page {k}.</p><p>More of {k}.</p></div><div>Read on, write to us, and come back for what is new tomorrow</div></div></body></html>" for k in range(6)]
+    want = [f"Words {k} of page {k}.\nMore of {k}." for k in range(6)]
+    assert extracted(spark, htmls) == want
+    # Without the host's other pages the blocks can't be told apart.
+    assert extracted(spark, htmls[:1]) != want[:1]
+
+
+def test_pages_of_one_host_differ_in_structure():
+    """Whatever the order, the wrapper of some pages matches each of them: every text has a slot, texts of one role the same one."""
+    htmls = [f"<body><div><ul><li>a</li>{'<li>b</li>' * (k % 3)}</ul></div><article><h1>T</h1>{'<p>x</p>' * (1 + k % 4)}{'<h2>s</h2><p>y</p>' * (k % 2)}{'<table><tr><td>1</td><td>2</td></tr></table>' * (k % 5 == 0)}</article>{'<div>note</div>' * (k % 3 == 1)}<div>end</div></body>" for k in range(30)]
+    trees = [wrappers.parse(h) for h in htmls]
+    for seed in range(5):
+        wrapper, rest = None, [wrappers.shape(t) for t in random.Random(seed).sample(trees, len(trees))]
+        for one in rest:
+            wrapper = one if wrapper is None else wrappers.align(wrapper, one)
+        w = wrappers.Wrapper(wrapper)
+        slots = [w.texts(t) for t in trees]
+        assert all(k >= 0 for page in slots for k, _ in page)
+        assert len({k for page in slots for k, t in page if t == "x"}) == 1
+        assert {k for page in slots for k, t in page if t in "xy"}.isdisjoint(k for page in slots for k, t in page if t in ("a", "b", "T"))
+        assert w.n < 40
+
+
+def test_markup_that_ends_early_drops_nothing(spark):
+    html = "<html><body><article><p>a</p><svg/><p>b</p><button>send<p>c</p><svg><path d='x'/></svg><noscript>d</noscript><p>e<math><mi>f</mi></math></p><select><option>no</option></select><p>g</p></article></body></html>"
+    assert extracted(spark, [html]) == ["a\nb\nsend\nc\nd\nef\ng"]
+
+
+def test_awkward_pages(spark):
+    """Nulls, repeated rows, clashing columns, a very long and a very deep page, an empty table; partitions don't matter."""
+    long = "<html><body><article>" + "".join(f"<p>Part {k}</p><h2>H{k % 7}</h2>" for k in range(20_000)) + "</article></body></html>"
+    deep = "<div>" * 5000 + "far down" + "</div>" * 5000
+    rows = [(k, f"https://h.example/{k}", page(k)) for k in range(12)] + [(3, "https://h.example/3", page(3)), (None, None, None), (20, "https://h.example/l", long), (21, "https://d.example/", deep), (22, "https://e.example/", "<p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as host", "1 as wrapper", "'c' as content", "0 as text", "'s' as slot")
+    out = wrappers.extract(df.repartition(1)).collect()
+    key = lambda r: (str(r.page_id), r.text)
+    assert sorted(out, key=key) == sorted(wrappers.extract(df.repartition(7)).collect(), key=key)
+    by = {r.page_id: r.text for r in out}
+    assert len(out) == len(rows) and by[None] == by[22] == "" and by[21] == "far down"
+    assert by[20].split("\n") == [x for k in range(20_000) for x in (f"Part {k}", f"H{k % 7}")]
+    assert all(by[k].split("\n")[0] == f"Title {k}" for k in range(12))
+    assert wrappers.extract(df.where("false")).count() == 0
+
+
+def plainly(html: str) -> str:
+    """What stands in the page's article by the standard library's parser: blocks between tags that aren't inline."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        within, held, blocks = False, "", []
+
+        def cut(self):
+            if self.held.strip():
+                self.blocks.append(" ".join(self.held.split()))
+            self.held = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.held += " "
+            elif tag not in wrappers.INLINE:
+                self.cut()
+            self.within = self.within or tag == "article"
+
+        def handle_endtag(self, tag):
+            if tag not in wrappers.INLINE:
+                self.cut()
+            self.within = self.within and tag != "article"
+
+        def handle_data(self, data):
+            self.held += data if self.within else ""
+
+    reader = Article()
+    reader.blocks = []
+    reader.feed(html or "")
+    reader.cut()
+    return "\n".join(reader.blocks)
+
+
+def test_extraction_of_the_pages_table(spark):
+    sf = "/root/testdata/sf0.01"
+    html = {r.page_id: r.html for r in table(spark, sf, "pages").collect()}
+    out = wrappers.op8_extraction(spark, sf).collect()
+    assert {r.page_id: (r.text, r.n_chars) for r in out} == {k: (plainly(h), len(plainly(h))) for k, h in html.items()} and len(out) == len(html)
+
+
 # --- awkward tables --------------------------------------------------------------------------------------------
 
 LABELS = "doc_id long, quality int, toxic int"
