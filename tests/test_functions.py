@@ -73,3 +73,28 @@ def test_company_key(spark):
 def test_id_from_url(spark):
     assert one(spark, T.id_from_url(F.lit("https://x.y/a/b-123.html"), r"-(\d+)\.html")) == "123"
     assert one(spark, T.id_from_url(F.lit("https://x.y/a/b/"), None)) == "b"
+
+
+@pytest.mark.parametrize(
+    "base, low, high, public",
+    [
+        ('{"currency":"VND","value":{"minValue":20000000,"maxValue":"30.000.000","unitText":"MONTH"}}', 20_000_000, 30_000_000, True),
+        ('{"currency":"USD","value":{"value":"30,000,000 - 50,000,000đ"}}', 30_000_000, 50_000_000, True),
+        ('{"currency":"usd","value":1000}', 25_400_000, 25_400_000, True),
+        ('{"value":{"value":240000000,"unitText":"year"}}', 20_000_000, 20_000_000, True),
+        ('{"value":{"value":"Negotiable"}}', None, None, None),
+        ('{"value":{"minValue":1,"maxValue":2}}', None, None, False),
+        ('"10 - 20 triệu"', 10_000_000, 20_000_000, True),
+        ('"Thoả thuận"', None, None, None),
+        ("{}", None, None, None),
+    ],
+)
+def test_declared_salary(spark, base, low, high, public):
+    r = one(spark, S.parse_salary_json(F.parse_json(F.lit(base))))
+    assert (r and r["min"], r and r["max"], r and r.is_public) == (low, high, public)
+
+
+@pytest.mark.parametrize("raw, low, public", [('{"value":{"minValue":20000000}}', 20_000_000, True), ('{"value":{"minVal', None, None), ("Từ 15tr", 15_000_000, True), ("", None, None), (None, None, None), ("{}", None, False)])
+def test_salary_read_again(spark, raw, low, public):
+    r = one(spark, S.salary_from_raw(F.lit(raw).cast("string")))
+    assert (r and r["min"], r and r.is_public) == (low, public)
