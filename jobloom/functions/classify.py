@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobloom.functions.salary import plain
-from jobloom.functions.text import match_key, normalize_whitespace, tech_key
+from jobloom.functions.text import let, match_key, normalize_whitespace, tech_key
 
 # Words in titles, from high levels to low.
 LEVEL_WORDS = {
@@ -23,18 +23,37 @@ ROLES_NOT_MANAGING = ["project manager", "product manager", "product owner", "ac
 LEVEL_ORDER = ["INTERN", "FRESHER", "JUNIOR", "MID", "SENIOR", "LEAD", "MANAGER"]
 
 
+# How experience is written in folded text.
+YEAR_WORDS, SPAN_WORDS = ["nam", "year"], ["-", "–", "den", "to"]
+AT_LEAST = ["it nhat", "tren", "tu", "toi thieu", "+", "minimum", "at least"]
+NO_EXPERIENCE = ["khong yeu cau kinh nghiem", "chua co kinh nghiem", "no experience"]
+#: A single number above this isn't years of experience.
+MOST_YEARS = 40
+
+
+def any_text(words: list[str]) -> str:
+    return "(?:" + "|".join(map(re.escape, words)) + ")"
+
+
 def years_of_experience(c: Column) -> Column:
     """struct(min, max) in years: none asked for is 0 to 0, a range is put in order, one number is open if a minimum is spoken of."""
-    text = plain(c)
-    pair = r"(\d{1,2})\s*(?:-|–|den|to)\s*(\d{1,2})\s*(?:nam|year)"
-    a, b = (F.nullif(F.regexp_extract(text, pair, k), F.lit("")).cast("int") for k in (1, 2))
-    n = F.nullif(F.regexp_extract(text, r"(\d{1,2})\s*\+?\s*(?:nam|year)", 1), F.lit("")).cast("int")
-    one = n <= 40
-    open_end = text.rlike(r"it nhat|tren|tu|toi thieu|\+|minimum|at least")
-    none = text.rlike("khong yeu cau kinh nghiem|chua co kinh nghiem|no experience")
-    low = F.when(none, F.lit(0)).when(a.isNotNull(), F.least(a, b)).when(one, n)
-    high = F.when(none, F.lit(0)).when(a.isNotNull(), F.greatest(a, b)).when(one & ~open_end, n)
-    return F.struct(low.alias("min"), high.alias("max"))
+    unit = any_text(YEAR_WORDS)
+    number = lambda text, pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).cast("int")
+
+    def parts(text: Column) -> Column:
+        pair = rf"(\d{{1,2}})\s*{any_text(SPAN_WORDS)}\s*(\d{{1,2}})\s*{unit}"
+        return F.struct(
+            text.rlike(any_text(NO_EXPERIENCE)).alias("none"), number(text, pair, 1).alias("a"), number(text, pair, 2).alias("b"),
+            number(text, rf"(\d{{1,2}})\s*\+?\s*{unit}", 1).alias("n"), text.rlike(any_text(AT_LEAST)).alias("open"),
+        )
+
+    def read(x: Column) -> Column:
+        one = x.n <= MOST_YEARS
+        low = F.when(x.none, F.lit(0)).when(x.a.isNotNull(), F.least(x.a, x.b)).when(one, x.n)
+        high = F.when(x.none, F.lit(0)).when(x.a.isNotNull(), F.greatest(x.a, x.b)).when(one & ~x.open, x.n)
+        return F.struct(low.alias("min"), high.alias("max"))
+
+    return let(let(plain(c), parts), read)
 
 
 def level_from_years(n: Column) -> Column:
@@ -43,10 +62,12 @@ def level_from_years(n: Column) -> Column:
 
 def infer_level(title: Column, experience: Column) -> Column:
     """The first level whose words a title holds (as substrings, so that they also hit inside words), else by years."""
-    text = plain(title)
-    role = text.rlike("|".join(ROLES_NOT_MANAGING))
-    found = [F.when(text.rlike("|".join(map(re.escape, words))) & (~role if level == "MANAGER" else F.lit(True)), F.lit(level)) for level, words in LEVEL_WORDS.items()]
-    return F.coalesce(*found, level_from_years(years_of_experience(F.concat_ws(" ", title, F.coalesce(experience, F.lit("")))).min))
+
+    def named(text: Column) -> Column:
+        role = text.rlike(any_text(ROLES_NOT_MANAGING))
+        return F.coalesce(*[F.when(text.rlike(any_text(words)) & (~role if level == "MANAGER" else F.lit(True)), F.lit(level)) for level, words in LEVEL_WORDS.items()])
+
+    return F.coalesce(let(plain(title), named), let(years_of_experience(F.concat_ws(" ", title, experience)).min, level_from_years))
 
 
 # Named areas, and the numbered districts that still exist.
@@ -59,15 +80,26 @@ MERGED = ["binh duong", "ba ria", "vung tau", "thu dau mot", "di an", "ben cat"]
 ADMIN_PREFIX = r"^(thanh pho|tp|tinh|quan|huyen|phuong|xa|thi xa|thi tran|khu vuc|kv)\s+"
 
 
+# How a numbered district and an industrial zone are written.
+DISTRICT_WORDS = ["qu[aậ]n", r"q\.?", "district"]
+ZONE_WORDS, ZONE_WORDS_AFTER = ["kcn", "kcx", "khu c[ôo]ng nghi[ệe]p", "khu ch[ếe] xu[ấa]t"], ["industrial\\s+park"]
+_BEFORE, _AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+
+
 def district_of(raw: Column) -> Column:
     """The named area that stands first, else a numbered district, else an industrial zone, else null."""
-    text = plain(raw)
-    places = F.array_compact(F.array(*[F.when(F.regexp_instr(text, F.lit(rf"\b{k}\b")) > 0, F.struct(F.regexp_instr(text, F.lit(rf"\b{k}\b")).alias("at"), F.lit(i).alias("i"), F.lit(v).alias("name"))) for i, (k, v) in enumerate(AREAS.items())]))
-    number = F.nullif(F.regexp_extract(raw, r"(?iu)(?<![A-Za-z0-9_])(?:qu[aậ]n|q\.?|district)\s*(\d{1,2})(?![A-Za-z0-9_])", 1), F.lit("")).cast("int")
-    zone = r"(?iu)(?<![A-Za-z0-9_])(?:kcn|kcx|khu c[ôo]ng nghi[ệe]p|khu ch[ếe] xu[ấa]t)\s+([a-zà-ỹ0-9\s]{2,24}?)(?=\s*[,.;]|$)|(?<![A-Za-z0-9_])([a-zà-ỹ0-9\s]{2,24}?)\s+industrial\s+park(?![A-Za-z0-9_])"
-    named = F.coalesce(F.nullif(F.regexp_extract(raw, zone, 1), F.lit("")), F.nullif(F.regexp_extract(raw, zone, 2), F.lit("")))
-    named = F.array_join(F.transform(F.split(normalize_whitespace(named), " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1000))), " ")
-    return F.coalesce(F.array_min(places)["name"], F.when(number.isin(NUMBERED), F.concat(F.lit("Quận "), number.cast("string"))), F.when(F.length(named) >= 2, F.concat(F.lit("KCN "), named)))
+    area = F.regexp_extract(plain(raw), rf"\b(?:{'|'.join(AREAS)})\b", 0)
+    known = F.create_map(*[F.lit(x) for kv in AREAS.items() for x in kv])
+    number = F.nullif(F.regexp_extract(raw, rf"(?iu){_BEFORE}(?:{'|'.join(DISTRICT_WORDS)})\s*(\d{{1,2}}){_AFTER}", 1), F.lit("")).cast("int")
+    name = r"([a-zà-ỹ0-9\s]{2,24}?)"
+    zone = rf"(?iu){_BEFORE}(?:{'|'.join(ZONE_WORDS)})\s+{name}(?=\s*[,.;]|$)|{_BEFORE}{name}\s+(?:{'|'.join(ZONE_WORDS_AFTER)}){_AFTER}"
+    titled = lambda x: F.array_join(F.transform(F.split(normalize_whitespace(x), " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1000))), " ")
+    found = F.coalesce(F.nullif(F.regexp_extract(raw, zone, 1), F.lit("")), F.nullif(F.regexp_extract(raw, zone, 2), F.lit("")))
+    return F.coalesce(
+        let(area, lambda x: F.try_element_at(known, x)),
+        let(number, lambda n: F.when(n.isin(NUMBERED), F.concat(F.lit("Quận "), n.cast("string")))),
+        let(titled(found), lambda x: F.when(F.length(x) >= 2, F.concat(F.lit("KCN "), x))),
+    )
 
 
 def first_district(raws: Column) -> Column:
@@ -99,17 +131,24 @@ SATURDAY = {
     "NONE": rf"(?:{_MON}{_TO}{_FRI})|(?:(?:nghi|off|duoc nghi)[^.;]{{0,25}}{_SAT})",
     "FULL": rf"(?:{_MON}{_TO}{_SAT})|(?:lam\s*(?:ca|luon)\s*{_SAT})",
 }
-_CONTEXT = r"(?iu).{0,60}(?:th[ờo]i gian l[àa]m vi[ệe]c|gi[ờo] l[àa]m vi[ệe]c|working (?:time|hours?|days?)|ng[àa]y l[àa]m vi[ệe]c|th[ứu]\s*7|t7(?![A-Za-z0-9_])).{0,110}"
+# What working time is called, and how many letters around are kept.
+TIME_WORDS = ["th[ờo]i gian l[àa]m vi[ệe]c", "gi[ờo] l[àa]m vi[ệe]c", "ng[àa]y l[àa]m vi[ệe]c", "working (?:time|hours?|days?)", r"th[ứu]\s*7", "t7(?![A-Za-z0-9_])"]
+_CONTEXT = rf"(?iu).{{0,60}}(?:{'|'.join(TIME_WORDS)}).{{0,110}}"
+
+
+def schedule_excerpt(c: Column, longest: int = 200) -> Column:
+    """The words around a mention of working time, cut; null without one."""
+    near = F.nullif(normalize_whitespace(F.regexp_extract(normalize_whitespace(c), _CONTEXT, 0)), F.lit(""))
+    return let(near, lambda x: F.when(F.length(x) > longest, F.concat(F.left(x, F.lit(longest - 1)), F.lit("…"))).otherwise(x))
 
 
 def parse_schedule(c: Column, longest: int = 200) -> Column:
     """struct(saturday, raw): the first rule that fits, and the words around; a mention that fits none keeps the words."""
-    flat = normalize_whitespace(c)
-    text = plain(c)
-    kind = F.coalesce(*[F.when(text.rlike(r), F.lit(k)) for k, r in SATURDAY.items()])
-    near = F.nullif(normalize_whitespace(F.regexp_extract(flat, _CONTEXT, 0)), F.lit(""))
-    near = F.when(F.length(near) > longest, F.concat(F.left(near, F.lit(longest - 1)), F.lit("…"))).otherwise(near)
-    return F.struct(kind.alias("saturday"), F.when(kind.isNotNull() | text.rlike(r"\bthu\s*7\b|\bt7\b|saturday"), near).alias("raw"))
+
+    def read(text: Column) -> Column:
+        return F.struct(F.coalesce(*[F.when(text.rlike(r), F.lit(k)) for k, r in SATURDAY.items()]).alias("kind"), text.rlike(r"\bthu\s*7\b|\bt7\b|saturday").alias("said"))
+
+    return let(let(plain(c), read), lambda x: F.struct(x.kind.alias("saturday"), F.when(x.kind.isNotNull() | x.said, schedule_excerpt(c, longest)).alias("raw")))
 
 
 def parse_date(c: Column, end_of_day: bool = False) -> Column:
@@ -122,6 +161,7 @@ def parse_date(c: Column, end_of_day: bool = False) -> Column:
     return F.when(F.year(at).between(2000, 2100), at)
 
 
+# Kinds of employment as sources write them.
 EMPLOYMENT = {"FULL_TIME": "FULL_TIME", "FULLTIME": "FULL_TIME", "PART_TIME": "PART_TIME", "PARTTIME": "PART_TIME", "CONTRACTOR": "CONTRACT", "CONTRACT": "CONTRACT", "TEMPORARY": "TEMPORARY", "INTERN": "INTERNSHIP", "INTERNSHIP": "INTERNSHIP", "OTHER": "OTHER"}
 
 
@@ -134,28 +174,45 @@ def employment_type(values: Column) -> Column:
 
 def terms_hit(key: Column, terms: list[str], tech: bool = False) -> Column:
     """The terms that begin at a word's start in a match key, in order. Terms are folded as Spark folds text."""
+    if not terms:
+        return F.array().cast("array<string>")
     fold = tech_key if tech else match_key
-    return F.array_compact(F.array(*[F.when(F.concat(F.lit(" "), key).contains(F.concat(F.lit(" "), fold(F.lit(t)))), F.lit(t)) for t in terms])) if terms else F.array().cast("array<string>")
+    return let(F.concat(F.lit(" "), key), lambda k: F.array_compact(F.array(*[F.when(k.contains(F.concat(F.lit(" "), fold(F.lit(t)))), F.lit(t)) for t in terms])))
 
 
 def match_field(title: Column, description: Column, strong: list[str], gray: list[str] = (), excludes: list[str] = (), tech: bool = False) -> Column:
     """struct(verdict, score, title_hits, desc_hits, gray_hits, rejected_by) of a posting against a dictionary."""
     fold = tech_key if tech else match_key
-    t, d = fold(title), fold(F.coalesce(description, F.lit("")))
-    blocked = F.try_element_at(terms_hit(t, list(excludes), tech), F.lit(1))
-    th, dh = terms_hit(t, list(strong), tech), terms_hit(d, list(strong), tech)
-    gh = F.array_distinct(F.concat(terms_hit(t, list(gray), tech), terms_hit(d, list(gray), tech)))
-    verdict = F.when(blocked.isNotNull(), "reject").when(F.size(th) > 0, "strong").when(F.size(dh) >= 2, "weak").otherwise("reject")
-    score = F.when(verdict == "strong", F.size(th) * 10 + F.size(gh) * 2 + F.least(F.size(dh), F.lit(5))).when(verdict == "weak", F.least(F.size(dh), F.lit(5))).otherwise(0)
-    none = F.array().cast("array<string>")
-    return F.struct(verdict.alias("verdict"), score.cast("int").alias("score"), F.when(verdict == "strong", th).otherwise(none).alias("title_hits"), F.when(blocked.isNull(), dh).otherwise(none).alias("desc_hits"), F.when(verdict == "strong", gh).otherwise(none).alias("gray_hits"), blocked.alias("rejected_by"))
+
+    def hits(key: Column) -> Column:
+        t, d = key.t, key.d
+        return F.struct(
+            F.try_element_at(terms_hit(t, list(excludes), tech), F.lit(1)).alias("blocked"), terms_hit(t, list(strong), tech).alias("th"), terms_hit(d, list(strong), tech).alias("dh"),
+            F.array_distinct(F.concat(terms_hit(t, list(gray), tech), terms_hit(d, list(gray), tech))).alias("gh"),
+        )
+
+    def judged(x: Column) -> Column:
+        verdict = F.when(x.blocked.isNotNull(), "reject").when(F.size(x.th) > 0, "strong").when(F.size(x.dh) >= 2, "weak").otherwise("reject")
+        return F.struct(verdict.alias("verdict"), x.blocked.alias("blocked"), x.th.alias("th"), x.dh.alias("dh"), x.gh.alias("gh"))
+
+    def scored(x: Column) -> Column:
+        some = F.least(F.size(x.dh), F.lit(5))
+        score = F.when(x.verdict == "strong", F.size(x.th) * 10 + F.size(x.gh) * 2 + some).when(x.verdict == "weak", some).otherwise(0)
+        none = F.array().cast("array<string>")
+        return F.struct(x.verdict.alias("verdict"), score.cast("int").alias("score"), F.when(x.verdict == "strong", x.th).otherwise(none).alias("title_hits"), F.when(x.blocked.isNull(), x.dh).otherwise(none).alias("desc_hits"), F.when(x.verdict == "strong", x.gh).otherwise(none).alias("gray_hits"), x.blocked.alias("rejected_by"))
+
+    keys = F.struct(fold(title).alias("t"), fold(F.coalesce(description, F.lit(""))).alias("d"))
+    return let(let(let(keys, hits), judged), scored)
 
 
 def match_skills(text: Column, catalogue: dict[str, list[str]]) -> Column:
     """Slugs whose aliases stand as whole words in the text's tech key, in the catalogue's order."""
-    key = F.concat(F.lit(" "), tech_key(text), F.lit(" "))
-    hit = lambda aliases: F.greatest(F.lit(False), *[key.contains(F.concat(F.lit(" "), tech_key(F.lit(a)), F.lit(" "))) for a in aliases])
-    return F.array_compact(F.array(*[F.when(hit(aliases), F.lit(slug)) for slug, aliases in catalogue.items()]))
+
+    def found(key: Column) -> Column:
+        hit = lambda aliases: F.greatest(F.lit(False), F.lit(False), *[key.contains(F.concat(F.lit(" "), tech_key(F.lit(a)), F.lit(" "))) for a in aliases])
+        return F.array_compact(F.array(*[F.when(hit(aliases), F.lit(slug)) for slug, aliases in catalogue.items()]))
+
+    return let(F.concat(F.lit(" "), tech_key(text), F.lit(" ")), found)
 
 
 def experience_band(years: Column) -> Column:
@@ -169,28 +226,45 @@ def salary_band(value: Column) -> Column:
 EXPERIENCE_BANDS, SALARY_BANDS = ["0", "1-2", "3-5", "5+", "__none"], ["0-15", "15-25", "25-40", "40+", "__none"]
 
 
+# Skills by the part of a product that they build, and title words.
+NET, REACT, OTHER_FRONT = ["dotnet", "aspnet", "csharp"], ["react"], ["angular", "vue"]
+OTHER_BACK = ["java", "spring", "php", "laravel", "golang", "python", "django", "ruby", "nodejs", "kotlin", "cpp"]
+MOBILE, CLOUD = ["flutter", "reactnative", "ios", "android"], ["docker", "kubernetes"]
+CLOUD_TITLES = ["devops", "sre", "platform engineer", "cloud engineer", "site reliability"]
+
+
+def main_skills(title_skills: Column, declared: Column, text_skills: Column) -> Column:
+    """Skills that say what a posting is about: those of its title and those it declares; all that its text names only if there are none."""
+    main = F.array_union(F.coalesce(title_skills, F.array().cast("array<string>")), F.coalesce(declared, F.array().cast("array<string>")))
+    return let(main, lambda m: F.when(F.size(m) > 0, m).otherwise(F.coalesce(text_skills, m)))
+
+
 def software_role(title: Column, skills: Column) -> Column:
-    """The role that a posting's main skills and title words make, by ordered rules."""
-    key = F.concat(F.lit(" "), tech_key(title), F.lit(" "))
-    has = lambda *group: F.arrays_overlap(skills, F.array(*map(F.lit, group)))
-    own, react, other_front = has("dotnet", "aspnet", "csharp"), has("react"), has("angular", "vue")
-    other_back, mobile = has("java", "spring", "php", "laravel", "golang", "python", "django", "ruby", "nodejs", "kotlin", "cpp"), has("flutter", "reactnative", "ios", "android")
-    full = key.rlike(r" full ?stack ")
-    return (
-        F.when(own & (react | full), "dotnet-fullstack").when(own, "dotnet-backend").when(mobile & ~react, "mobile").when(full | ((react | other_front) & other_back), "fullstack-khac")
-        .when(react, "react-frontend").when(other_front, "frontend-khac").when(other_back | key.rlike(" back ?end "), "backend-khac").when(key.rlike(" front ?end "), "frontend-khac")
-        .when(key.rlike(" (devops|sre|platform engineer|cloud engineer|site reliability) ") | has("docker", "kubernetes"), "devops").otherwise("chua-ro")
-    )
+    """The role that a posting's main skills and title words make: what builds both ends, then .NET, then one end, then the machines."""
+
+    def role(x: Column) -> Column:
+        has = lambda *groups: F.arrays_overlap(x.skills, F.array(*[F.lit(s) for g in groups for s in g]))
+        titled = lambda *words: x.key.rlike(f" (?:{'|'.join(words)}) ")
+        full = titled("full ?stack")
+        rules = [
+            (has(NET) & (has(REACT) | full), "dotnet-fullstack"), (has(NET), "dotnet-backend"), (has(MOBILE) & ~has(REACT), "mobile"), (full | has(REACT, OTHER_FRONT) & has(OTHER_BACK), "fullstack-khac"), (has(REACT), "react-frontend"),
+            (has(OTHER_FRONT), "frontend-khac"), (has(OTHER_BACK) | titled("back ?end"), "backend-khac"), (titled("front ?end"), "frontend-khac"), (titled(*CLOUD_TITLES) | has(CLOUD), "devops"),
+        ]
+        return F.coalesce(*[F.when(fits, F.lit(slug)) for fits, slug in rules], F.lit("chua-ro"))
+
+    return let(F.struct(F.concat(F.lit(" "), tech_key(title), F.lit(" ")).alias("key"), skills.alias("skills")), role)
 
 
 def purchase_type(industry: Column, title: Column, description: Column, types: list[tuple[str, list[str], list[str]]], noise: list[str] = (), unknown: str = "chua-ro") -> Column:
     """struct(slug, basis): the first type with an industry key in a declared token, else with a keyword in the text."""
     tokens = F.filter(F.transform(F.split(F.coalesce(industry, F.lit("")), ","), match_key), lambda x: (x != "") & (~x.isin(*noise) if noise else F.lit(True)))
     text = F.concat(F.lit(" "), match_key(F.concat_ws(" ", title, description)))
+    any_of = lambda tests: F.greatest(F.lit(False), F.lit(False), *tests)
 
-    def any_token(keys: list[str]) -> Column:
-        return F.exists(tokens, lambda x: F.greatest(F.lit(False), F.lit(False), *[x.contains(match_key(F.lit(k))) for k in keys]))
+    def found(x: Column) -> Column:
+        declared = lambda keys: F.exists(x.tokens, lambda t: any_of([t.contains(match_key(F.lit(k))) for k in keys]))
+        spoken = lambda words: any_of([x.text.contains(F.concat(F.lit(" "), match_key(F.lit(k)))) for k in words])
+        return F.struct(F.coalesce(*[F.when(declared(keys), F.lit(slug)) for slug, keys, _ in types]).alias("a"), F.coalesce(*[F.when(spoken(words), F.lit(slug)) for slug, _, words in types]).alias("b"))
 
-    by_industry = F.coalesce(*[F.when(any_token(keys), F.lit(slug)) for slug, keys, _ in types])
-    by_word = F.coalesce(*[F.when(F.greatest(F.lit(False), *[text.contains(F.concat(F.lit(" "), match_key(F.lit(k)))) for k in words]), F.lit(slug)) for slug, _, words in types])
-    return F.struct(F.coalesce(by_industry, by_word, F.lit(unknown)).alias("slug"), F.when(by_industry.isNotNull(), "industry").when(by_word.isNotNull(), "keyword").otherwise("none").alias("basis"))
+    pick = lambda x: F.struct(F.coalesce(x.a, x.b, F.lit(unknown)).alias("slug"), F.when(x.a.isNotNull(), "industry").when(x.b.isNotNull(), "keyword").otherwise("none").alias("basis"))
+    return let(let(F.struct(tokens.alias("tokens"), text.alias("text")), found), pick)
