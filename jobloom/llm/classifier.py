@@ -12,22 +12,22 @@ from pyspark.sql import functions as F
 
 from jobloom.llm.common import as_bytes, cut, small_batches, table
 
-#: Rows that the scorer is fitted on at most, half of them annotated ones.
-TRAIN_ROWS = 20_000
+#: Rows that the scorers are fitted on at most: those of the least hashes.
+TRAIN_ROWS = 12_000
+#: Features that are kept of a row in the fit, those of the least hashes: what the driver holds is bounded by both. Scoring uses all.
+TRAIN_FEATURES = 4096
 #: Features are hashed to so many weights.
 DIM = 1 << 18
 #: A row is kept if both scores are at least this.
 CUTOFF = 0.5
-#: Annotations are taken to be right this often; the labellers' accuracies are estimated.
-TRUST = 0.99
 #: Distinct words remembered with their features by a worker; emptied when full.
 CACHE = 100_000
 
-# English insults, in two groups that overlap as labellers.
-INSULTS = frozenset(b"bastard clown creep disgusting dumb fool idiot imbecile jerk loser moron pathetic scum stupid trash vermin worthless".split())
-#: The insults are English: their absence says something only of texts with this share of English function words.
+# English insults: what someone is called, and how something is called.
+INSULTS = frozenset(b"bastard clown creep fool idiot imbecile jerk loser moron scum trash vermin".split())
+SCORN = frozenset(b"disgusting dumb pathetic stupid worthless".split())
+#: The words are English: their absence says something only of texts with this share of English function words.
 ENGLISH, ENGLISH_SHARE = frozenset(b"the of and to is in that for it with as was on by".split()), 0.08
-SCORNFUL = frozenset(b"disgusting dumb pathetic stupid worthless".split())
 _SYMBOLS, _CAPITALS, _MARKS = b"#*$%&|<>", bytes(range(65, 91)), b"!#*$%&|<>+=~^_{}[]@\\/0123456789"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not 97 <= c <= 122 else c for c in range(256))
 GOOD, BAD, NONE = 2, 1, 0
@@ -38,11 +38,15 @@ def _side(value: float, good: float, bad: float) -> int:
     return GOOD if value <= good else BAD if value >= bad else NONE
 
 
+#: Labellers of quality and of abuse; annotations are one more of either.
+N_QUALITY, N_ABUSE = 6, 2
+
+
 def votes(text: bytes, words: list[bytes]) -> tuple[list[int], list[int]]:
     """What the labellers say of a text: of its quality, and of whether it is free of abuse."""
     n, size = len(words), max(len(text), 1)
     if not n:
-        return [BAD, NONE, NONE, NONE, NONE, NONE], [NONE, NONE, NONE]
+        return [BAD, *[NONE] * (N_QUALITY - 1)], [NONE] * N_ABUSE
     less = lambda drop: (len(text) - len(text.translate(None, drop))) / size
     three = 1 - len(set(zip(words, words[1:], words[2:]))) / (n - 2) if n > 20 else None
     quality = [
@@ -54,14 +58,9 @@ def votes(text: bytes, words: list[bytes]) -> tuple[list[int], list[int]]:
         NONE if n < 8 else _side(sum(a == b for a, b in zip(words, words[1:])) / n, 0.05, 0.2),
     ]
     plain = text.translate(_LOWER).split()
-    found = [w for w in plain if w in INSULTS]
     fine = GOOD if sum(w in ENGLISH for w in plain) >= ENGLISH_SHARE * len(plain) else NONE
-    abuse = [
-        fine if not found else BAD if len(set(found)) > 1 else NONE,
-        fine if not found else BAD if len(found) >= 0.004 * n else NONE,
-        BAD if not SCORNFUL.isdisjoint(found) else NONE,
-    ]
-    return quality, abuse
+    found = [sum(w in lexicon for w in plain) for lexicon in (INSULTS, SCORN)]
+    return quality, [fine if not k else BAD if k > 1 else NONE for k in found]
 
 
 class Featurizer:
@@ -92,23 +91,19 @@ class Featurizer:
 
 def split_code(code: np.ndarray) -> np.ndarray:
     """Votes of codes, one column for each labeller."""
-    return np.stack([code // 3**k % 3 for k in range(8, -1, -1)], axis=1)
+    return np.stack([code // 3**k % 3 for k in range(N_QUALITY + N_ABUSE - 1, -1, -1)], axis=1)
 
 
-def fit_labellers(votes: np.ndarray, count: np.ndarray, truth: np.ndarray, rounds: int = 50) -> np.ndarray:
+def fit_labellers(votes: np.ndarray, count: np.ndarray, rounds: int = 50) -> np.ndarray:
     """P(good) of each pattern of votes (rows; 0 none, 1 bad, 2 good) that stands for `count` rows.
 
     Two-class latent model: each labeller, where it votes, is right with a probability for either class, estimated by
     expectation-maximisation from the patterns' counts over all rows with a smoothing of one row; it starts from the majority.
-    `truth` is an annotation in the same coding, right with probability TRUST.
     """
-    said = np.where(truth > 0, truth, 0)
-    anchor = np.array([0.0, np.log((1 - TRUST) / TRUST), np.log(TRUST / (1 - TRUST))])[said]
     p = np.clip(0.5 + 0.15 * ((votes == GOOD).sum(axis=1) - 2.0 * (votes == BAD).sum(axis=1)), 0.05, 0.95)
-    p = 1 / (1 + np.exp(-(np.log(p / (1 - p)) + anchor)))
     for _ in range(rounds):
         prior = ((count * p).sum() + 1) / (count.sum() + 2)
-        odds = np.full(len(votes), np.log(prior / (1 - prior))) + anchor
+        odds = np.full(len(votes), np.log(prior / (1 - prior)))
         for k in range(votes.shape[1]):
             says = [(votes[:, k] == v) for v in (BAD, GOOD)]
             share = np.array([[(count * c)[v].sum() + 1 for v in says] for c in (1 - p, p)])
@@ -167,12 +162,12 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> QualityModel:
     """The model for `docs`; `labels` (doc_id, quality, toxic) are annotations of some rows, if there are any.
 
-    Votes are taken on every whole text. Their patterns (at most 3^9 times 9) are counted over all rows, and the labellers'
-    accuracies estimated from these counts. Up to `train_rows` rows, drawn by hash, half of them annotated where there are
-    so many, then fit the scorers to the posterior labels. Null text counts as empty; null or missing
-    annotations as none; of several the worst counts. An empty table gives a model that scores 0.5.
+    Votes are taken on every whole text; annotations are the votes of one more labeller, which errs like the others. The
+    patterns of votes (at most 3^8 times 9) are counted over all rows, and all labellers' accuracies estimated from these counts.
+    The `train_rows` rows of the least hashes then fit the scorers to the posterior labels: the same rows whatever their order or
+    partitions. Null text counts as empty; null or missing annotations as no vote; of several the worst counts. Rows that agree in
+    id and text are fitted once. An empty table gives a model that scores 0.5.
     """
-    spark = docs.sparkSession
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -194,35 +189,32 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     else:
         rows = rows.withColumns({"q": F.lit(NONE), "t": F.lit(NONE)})
     rows = cut(rows.select("id", "th", "code", F.coalesce("q", F.lit(NONE)).alias("q"), F.coalesce("t", F.lit(NONE)).alias("t")))
-    patterns = rows.groupBy("code", "q", "t").count().collect()
+    patterns = sorted(rows.groupBy("code", "q", "t").count().collect())
     if not patterns:
         return QualityModel(np.zeros(DIM + 1, np.float32), np.zeros(DIM + 1, np.float32))
     code, q, t, n = np.array([tuple(r) for r in patterns], dtype=np.int64).T
-    said = split_code(code)
-    posterior = {key: v for key, v in zip(zip(code.tolist(), q.tolist(), t.tolist()), zip(fit_labellers(said[:, :6], n, q), fit_labellers(said[:, 6:], n, t)))}
-    noted = int(n[(q > 0) | (t > 0)].sum())
-    from_noted = min(noted, max(train_rows // 2, train_rows - int(n.sum() - noted)))
-    share = [min(1.0, (train_rows - from_noted) / max(1, int(n.sum() - noted))), from_noted / max(1, noted)]
-    u = F.shiftrightunsigned(F.xxhash64("id", "th"), 11) / F.lit(float(1 << 53))
-    chance = F.when((F.col("q") > 0) | (F.col("t") > 0), F.lit(share[1])).otherwise(F.lit(share[0]))
+    said, split = split_code(code), N_QUALITY
+    patterns_of = lambda said, q, t: (np.column_stack([said[:, :split], q]), np.column_stack([said[:, split:], t]))
+    good = [fit_labellers(v, n) for v in patterns_of(said, q, t)]
+    posterior = dict(zip(zip(code.tolist(), q.tolist(), t.tolist()), zip(*good)))
     # Bounded by train_rows.
-    drawn = rows.where(u < chance).dropDuplicates(["id", "th"]).limit(train_rows)
+    drawn = rows.dropDuplicates(["id", "th"]).orderBy(F.xxhash64("id", "th"), "id", "th").limit(train_rows)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_text = Featurizer()
         for batch in small_batches(batches):
-            found = [of_text(x)[0].tobytes() for x in as_bytes(batch.column("text"))]
+            found = [np.sort(of_text(x)[0])[:TRAIN_FEATURES].tobytes() for x in as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("code", "q", "t")), pa.array(found, pa.binary())], ["code", "q", "t", "f"])
 
     drawn = drawn.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "code", "q", "t")
     sample = keyed.join(F.broadcast(drawn), keyed.id.eqNullSafe(F.col("_id")) & (keyed.th == F.col("_th"))).select("code", "q", "t", "text")
-    sample = sample.mapInArrow(features, "code int, q int, t int, f binary").limit(train_rows).collect()
+    sample = sample.mapInArrow(features, "code int, q int, t int, f binary").distinct().collect()
     sample.sort(key=lambda r: (r.f, r.code, r.q, r.t))
     found = [np.frombuffer(r.f, dtype=np.int32) for r in sample]
     target = np.array([posterior[r.code, r.q, r.t] for r in sample]).reshape(-1, 2)
-    said = split_code(np.array([r.code for r in sample], dtype=np.int64)).reshape(-1, 9)
-    # Only rows of which an annotation or a labeller says something teach a scorer.
-    told = [(said[:, :6] > 0).any(axis=1) | np.array([r.q > 0 for r in sample], dtype=bool), (said[:, 6:] > 0).any(axis=1) | np.array([r.t > 0 for r in sample], dtype=bool)]
+    code, q, t = np.array([(r.code, r.q, r.t) for r in sample], dtype=np.int64).reshape(-1, 3).T
+    # Only rows of which some labeller says something teach a scorer.
+    told = [(v > 0).any(axis=1) for v in patterns_of(split_code(code), q, t)]
     once = distinct_rows(found)
     return QualityModel(*(fit_scorer([found[i] for i in once if told[k][i]], target[once[told[k][once]], k]) for k in (0, 1)))
 
@@ -245,7 +237,10 @@ def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of `docs` that the model keeps, all columns unchanged."""
+    """The rows of `docs` that the model keeps, all columns unchanged, whatever their names.
+
+    Null text counts as empty; repeated rows are all kept or all dropped; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import table
+from jobloom.llm.common import private, table
 
 #: Lines in a window.
 WINDOW = 3
@@ -21,7 +21,8 @@ def _cleaned(text: Column) -> Column:
 
 
 def _window_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.transform(_cleaned(F.col(text_col)), lambda x: F.struct(F.xxhash64(x.line).alias("a"), F.hash(x.line).alias("b"))).alias("h"))
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), F.transform(_cleaned(text), lambda x: F.struct(F.xxhash64(x.line).alias("a"), F.hash(x.line).alias("b"))).alias("h"))
     window = lambda k: F.struct(k.alias("k"), F.xxhash64(*[F.get("h", k + d).a for d in range(WINDOW)]).alias("w1"), F.hash(*[F.get("h", k + d).b for d in range(WINDOW)]).alias("w2"))
     spans = F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - WINDOW, F.lit(0))), window)
     spans = F.slice(spans, F.lit(1), F.greatest(F.size("h") - WINDOW + 1, F.lit(0)))
@@ -48,19 +49,22 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     merged, removed once, and the rest joined again, blank lines kept. Null ids come first. Rows with the same id
     and text are one text: neither is later than the other. Same id but other text: ordered by the text's hash.
     Null text stays null with counts of zero; texts of fewer than three lines hold no window. Other columns pass
-    through unchanged. Windows are told apart by 96 bits of hash.
+    through unchanged, whatever their names; only columns _lines, _removed and _windows give way. Windows are told apart by 96
+    bits of hash. An empty table gives an empty result.
     """
-    kept = repeated_windows(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("ks").alias("__ks"))
-    keyed = docs.withColumn("__h", F.xxhash64(text_col))
-    joined = keyed.join(kept.hint("shuffle_hash"), keyed[id_col].eqNullSafe(kept["__id"]) & (keyed["__h"] == kept["__th"]), "left")
+    i, h, k, r = (private(docs, x) for x in ("id", "th", "ks", "r"))
+    kept = repeated_windows(docs, id_col, text_col).select(F.col("id").alias(i), F.col("th").alias(h), F.col("ks").alias(k))
+    keyed = docs.withColumns({h: F.xxhash64(F.col(f"`{text_col}`")), r: F.col(f"`{id_col}`")})
+    joined = keyed.join(kept.hint("shuffle_hash"), keyed[r].eqNullSafe(kept[i]) & (keyed[h] == kept[h]), "left").drop(kept[h])
 
     @F.pandas_udf("text string, lines long, removed long")
     def apply(text: pd.Series, ks: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_without(t, k) for t, k in zip(text, ks)], columns=["text", "lines", "removed"])
 
-    done = joined.withColumn("__r", apply(F.col(text_col), F.col("__ks")))
-    names = [c for c in docs.columns if c != text_col]
-    return done.select(*[F.col(f"`{c}`") for c in names], F.col("__r.text").alias(text_col), F.col("__r.lines").alias("_lines"), F.col("__r.removed").alias("_removed"), F.coalesce(F.size("__ks"), F.lit(0)).cast("long").alias("_windows"))
+    done = joined.withColumn(r, apply(F.col(f"`{text_col}`"), F.col(k)))
+    counts = {"_lines": F.col(f"{r}.lines"), "_removed": F.col(f"{r}.removed"), "_windows": F.coalesce(F.size(k), F.lit(0)).cast("long")}
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col and c not in counts]
+    return done.select(*others, F.col(f"{r}.text").alias(text_col), *[c.alias(name) for name, c in counts.items()])
 
 
 def _without(text: str | None, ks) -> tuple[str | None, int, int]:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import cut, table
+from jobloom.llm.common import cut, table, written
 
 #: ASCII white space inside a character class.
 SPACE = r" \t\n\x0B\f\r"
@@ -15,8 +15,6 @@ SPACE = r" \t\n\x0B\f\r"
 WINDOW = 5
 #: A stratum's good documents may be rejected falsely at this rate over all rules, with this probability of being wrong anywhere.
 ALPHA, DELTA = 0.02, 0.05
-#: Strata with cutoffs of their own; those with the fewest labels share one beyond this number.
-MAX_STRATA = 256
 #: A good document rejected weighs as much as so many bad ones when certified cutoffs are chosen from.
 PRICE = 5
 # Rule -> candidate cutoffs on its metric, from strict to lax; a document above the cutoff is rejected.
@@ -111,7 +109,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, broken), a row per row of `docs`.
 
     kept is false for texts that fail the base (under ten words, or over a fifth of them in repeated windows) or break
-    a certified rule of their stratum; broken lists those rules. Holdout: all documents with a label (`labels`: doc_id,
+    a certified rule of their stratum; broken lists those rules. The bound of `certified_cutoffs` holds for the rules together;
+    the base is given, and rejects what it rejects of good documents besides. Every stratum has cutoffs of its own. Holdout: all documents with a label (`labels`: doc_id,
     quality; the least of several counts, null ones don't). Null text counts as empty, null strata as ''. Repeated rows and null ids
     are answered row by row. Without labels only the base holds. Windows are compared by 64-bit hashes
     within a text. Other columns are ignored; an empty table gives an empty result.
@@ -120,13 +119,10 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     rows = rows.withColumns(metrics())
     truth = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     held = rows.join(truth, "doc_id").select("stratum", *CUTOFFS, (F.col("quality") >= 1).alias("good"))
-    # At most MAX_STRATA rows.
-    own = held.groupBy("stratum").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "stratum").limit(MAX_STRATA).select("stratum", F.col("stratum").alias("own"))
-    held = held.join(F.broadcast(own), "stratum", "left").withColumn("stratum", F.coalesce("own", F.lit("\0other")))
-    chosen = certified_cutoffs(held.drop("own"), alpha, delta)
-    # At most MAX_STRATA + 1 rows.
-    chosen = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
-    rows = rows.join(F.broadcast(own), "stratum", "left").withColumn("stratum", F.coalesce("own", F.lit("\0other"))).join(F.broadcast(chosen), "stratum", "left")
+    chosen = certified_cutoffs(held, alpha, delta)
+    # A row for each stratum; written so that the planner knows its size, and broadcasts it only if it is small.
+    chosen = written(chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")))
+    rows = rows.join(chosen, "stratum", "left")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     broken = F.array_compact(F.array(*[F.when(F.col(r) > F.try_element_at("cutoffs", F.lit(r)), F.lit(r)) for r in CUTOFFS]))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (F.size(broken) == 0)).alias("kept"), F.array_join(broken, ",").alias("broken"))

@@ -1,4 +1,4 @@
-"""Sharding by sampled splitters: size-weighted quantiles of the key, exact measures, overfull ranges divided again."""
+"""Sharding by sampled splitters: size-weighted quantiles of the key bound the shards, overfull ranges are divided again."""
 
 from __future__ import annotations
 
@@ -15,10 +15,16 @@ from jobloom.llm.common import cut, null_to_low, table
 OVERHEAD = 16
 
 
-def _draw(rows: DataFrame, weight: float, seed: int) -> list[tuple[int, int]]:
+#: Bytes of texts that a range holds at most, about: its rows are numbered in one task.
+RANGE_BYTES = 1 << 30
+#: Rows drawn from a range that is divided.
+DRAWS = 64
+
+
+def _draw(rows: DataFrame, weight: Column, seed: int) -> list[tuple[int, int]]:
     """(key, tie) of rows drawn with probability size / weight: their expected number is the rows' bytes / weight."""
     u = F.shiftrightunsigned(F.xxhash64("tie", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    return sorted((r.key, r.tie) for r in rows.where(u < F.col("size") / F.lit(weight)).select("key", "tie").collect())
+    return sorted((r.key, r.tie) for r in rows.where(u * weight < F.col("size")).select("key", "tie").collect())
 
 
 def _range_of(splitters: list[tuple[int, int]]) -> Column:
@@ -37,48 +43,52 @@ def _range_of(splitters: list[tuple[int, int]]) -> Column:
     return of("key", "tie")
 
 
-def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", ranges: int = 16, draws: int = 64, rounds: int = 4) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", ranges: int = 16, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): every row in one of `shards` runs of the key order with near-equal bytes.
 
     The key is the id, null first; rows of one id are told apart by their place in the input, so that an id with
-    any share of the rows can be divided. About `draws` keys per shard are drawn with probability by size (the bound on
-    what the driver holds), every few of them bound one of `ranges` ranges per shard, and each range is
-    measured exactly. Ranges of more than twice the mean are divided by a new draw among their rows. Running sums
-    within each range and the ranges' totals then give each row's exact place in bytes: shard k takes the rows
-    whose middle lies in the k-th part of all bytes, so shards differ by about one row's size. Null and empty texts weigh OVERHEAD
-    bytes. slot counts from 0 without gaps within each shard. An empty table gives an empty result.
+    any share of the rows can be divided. Rows are drawn with probability by size; every fourth is a splitter, so that ranges
+    hold a `ranges`-th of a shard, or `range_bytes` if that is less. The ranges are measured exactly, and overfull ones
+    divided by a new draw among their rows. So are those in which a shard would end, until they hold one row: a shard ends at the
+    splitter nearest to its part of all bytes, and shards differ by about one row's size. The driver holds the splitters,
+    four for each range. Null and empty texts weigh OVERHEAD bytes. slot counts from 0 without gaps within
+    each shard; repeated rows are told apart. An empty table gives an empty result; with fewer rows than shards some are empty.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), null_to_low(F.col(id_col)).alias("key"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("tie"))
-    rows = cut(rows)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    key = F.col(f"`{id_col}`")
+    rows = cut(docs.select(key.cast("long").alias("doc_id"), null_to_low(key).alias("key"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("tie")))
     total = rows.agg(F.sum("size")).first()[0] or 0
-    drawn = _draw(rows, max(total / (shards * draws), 1.0), 0) if total else []
-    step = max(1, draws // ranges)
-    splitters = drawn[step - 1 :: step]
-    aim = total / (shards * ranges)
-    for seed in range(1, rounds + 1):
+    aim = max(min(total / (shards * ranges), range_bytes), 1.0)
+    splitters, seed = _draw(rows, F.lit(aim / 4), 0)[3::4] if total else [], 0
+    while True:
         ranged = rows.withColumn("range", _range_of(splitters))
-        sizes = {r.range: (r.bytes, r.n) for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
-        over = [k for k, (b, n) in sizes.items() if b > 2 * aim and n > 1]
-        if not over or seed == rounds:
+        # A row for each range.
+        sizes = sorted(tuple(r) for r in ranged.groupBy("range").agg(F.sum("size"), F.count("*")).collect())
+        weights, at, k = {}, 0, 1
+        for i, size, n in sizes:
+            ends = False
+            while k < shards and k * total < (at + size) * shards:
+                ends, k = ends or k * total > at * shards, k + 1
+            if n > 1 and (ends or size > 2 * aim):
+                weights[i] = 0.0 if n <= DRAWS else size / DRAWS if ends else aim / 4
+            at += size
+        if not weights:
             break
-        more = _draw(ranged.where(F.col("range").isin(over)), max(aim, 1.0), seed)
-        splitters = sorted({*splitters, *more})
-    before, at, rank = [], 0, 0
-    for k in range(len(splitters) + 1):
-        before.append((at, rank))
-        at, rank = at + sizes.get(k, (0, 0))[0], rank + sizes.get(k, (0, 0))[1]
-    offsets = docs.sparkSession.createDataFrame([(k, *v) for k, v in enumerate(before)], "range int, bytes_before long, rows_before long")
-    w = Window.partitionBy("range").orderBy("key", "tie")
-    placed = ranged.withColumn("upto", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(w))
-    # A row for each range: shards * ranges and what dividing added, whatever the input's size.
-    placed = placed.join(F.broadcast(offsets), "range")
-    middle = 2 * (F.col("bytes_before") + F.col("upto")) - F.col("size")
-    number = F.least(F.floor(middle.cast("decimal(38,0)") * shards / F.lit(2 * max(total, 1)).cast("decimal(38,0)")), F.lit(shards - 1)).cast("int")
-    placed = cut(placed.select("doc_id", "size", "text_crc32", number.alias("shard"), (F.col("rows_before") + F.col("rn") - 1).alias("rank")))
-    first = placed.groupBy("shard").agg(F.min("rank").alias("first"))
-    # A row for each shard.
-    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("rank") - F.col("first")).cast("long").alias("slot"))
+        seed += 1
+        # A row for each range that is divided.
+        chosen = docs.sparkSession.createDataFrame(list(weights.items()), "range int, weight double")
+        splitters = sorted({*splitters, *_draw(ranged.join(F.broadcast(chosen), "range"), F.col("weight"), seed)})
+    offsets, at, own, rank = [], 0, 0, 0
+    for i, size, n in sizes:
+        # The shard of which the range's middle is a part.
+        mine = min((2 * at + size) * shards // (2 * total), shards - 1)
+        own, rank = (own, rank) if mine == own else (mine, 0)
+        offsets.append((i, own, rank))
+        at, rank = at + size, rank + n
+    offsets = docs.sparkSession.createDataFrame(offsets, "range int, shard int, before long")
+    place = F.row_number().over(Window.partitionBy("range").orderBy("key", "tie"))
+    placed = ranged.withColumn("place", place).join(F.broadcast(offsets), "range")
+    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("place") - 1).cast("long").alias("slot"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

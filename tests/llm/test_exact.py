@@ -166,10 +166,11 @@ def test_line_windows(docs):
 # --- shards ----------------------------------------------------------------------------------------------------
 
 
-def test_shards(docs):
+@pytest.mark.parametrize("range_bytes", [sharding.RANGE_BYTES, 500])
+def test_shards(docs, range_bytes):
     rng = random.Random(1)
     rows = [(i // 2, "é" * rng.randint(0, 200)) for i in range(900)] + [(7, "same id " + str(k)) for k in range(600)] + [(None, None)] * 20
-    out = sharding.shard(docs(rows), 10).collect()
+    out = sharding.shard(docs(rows), 10, range_bytes=range_bytes).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
     sizes, slots = defaultdict(int), defaultdict(list)
     for r in out:

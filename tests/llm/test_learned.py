@@ -25,7 +25,7 @@ def test_labeller_accuracies_are_recovered():
         says = np.where(rng.random(len(truth)) < right, truth, ~truth)
         votes[:, k] = np.where(rng.random(len(truth)) < 0.8, np.where(says, classifier.GOOD, classifier.BAD), classifier.NONE)
     patterns, index, count = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    p = classifier.fit_labellers(patterns, count, np.zeros(len(patterns), dtype=np.int64))
+    p = classifier.fit_labellers(patterns, count)
     assert ((p[index.ravel()] > 0.5) == truth).mean() > 0.9
 
 
@@ -42,6 +42,14 @@ def test_held_out_accuracy(spark):
     assert np.mean([(r.q >= 0.5) == (r.quality == 1) for r in out]) > 0.8
 
 
+def test_the_fit_does_not_depend_on_partitions(spark):
+    """More rows than are fitted: the documents in 3 and in 7 partitions give the same weights, so the same rows."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    a, b = (classifier.fit(docs.repartition(n), labels, train_rows=300) for n in (3, 7))
+    assert np.array_equal(a.quality, b.quality) and np.array_equal(a.abuse, b.abuse)
+
+
 # --- rules -----------------------------------------------------------------------------------------------------
 
 
@@ -259,14 +267,73 @@ def operators(spark):
 ROWWISE = ["classify", "rules", "licenses", "lines", "bytes", "near", "shard", "packed"]
 
 
+LONG = " ".join(f"word{k % 977}" for k in range(60_000))
+FOX = "the quick brown fox jumps over the lazy dog again and again"
+
+
+def first_of(out, doc_id):
+    return [r for r in out if r.doc_id == doc_id]
+
+
+def check_awkward(name, out):
+    """The defined result of every odd row, by operator."""
+    size = lambda t: len((t or "").encode())
+    if name == "classify":
+        assert all(0 <= r.quality <= 1 and 0 <= r.clean <= 1 and r.kept == (min(r.quality, r.clean) >= 0.5) for r in out)
+        assert first_of(out, 2)[0].quality == first_of(out, 3)[0].quality
+    elif name == "rules":
+        assert {(r.doc_id, r.n_words) for r in out} == {(1, 12), (1, 6), (None, 0), (None, 4), (2, 0), (3, 0), (4, 0), (5, 60_000), (6, 7)}
+        assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) for r in out)
+        assert first_of(out, 5)[0].n_repeat_words == 60_000
+    elif name == "licenses":
+        assert {(r.doc_id, r.n_words) for r in out} == {(1, 12), (1, 6), (None, 0), (None, 4), (2, 0), (3, 0), (4, 0), (5, 60_000), (6, 7)}
+        assert all((r.n_base, r.first_word, r.labels, r.score) == (0, None, "", 0.0) for r in out)
+    elif name == "lines":
+        assert {(r.doc_id, r.text) for r in out if r.doc_id in (1, 2, 3, 4)} == {(1, FOX), (1, "another text under the same id"), (2, ""), (3, None), (4, " \n\t\n ")}
+        assert all((r._removed, r._windows) == (0, 0) for r in out)
+        # Other columns pass through, those that the operator might use itself too.
+        assert all((r.id, r.th, r.kept, r.size, r.gram, r.runs, r.shard, r["__h"]) == (1, "x", "y", 0, "z", "r", 0, "h") for r in out)
+    elif name == "bytes":
+        assert {(r.doc_id, r.n_bytes, r.n_removed) for r in out if r.doc_id != 5} == {(1, size(FOX), 0), (1, 30, 0), (None, 0, 0), (None, 18, 0), (2, 0, 0), (3, 0, 0), (4, 5, 0), (6, size("naïve café — déjà vu 你好 世界"), 0)}
+        (long,) = first_of(out, 5)
+        period = size(" ".join(f"word{k}" for k in range(977)) + " ")
+        assert (long.n_bytes, long.n_removed, long.n_spans) == (size(LONG), size(LONG) - period, 1)
+    elif name == "near":
+        zero = {r.fingerprint for r in out if r.doc_id in (2, 3, 4)}
+        assert zero == {"0" * 16} and {r.component_id for r in out if r.fingerprint == "0" * 16} == {2}
+        assert {r.component_id for r in out if r.doc_id == 1} == {1}
+    elif name == "shard":
+        assert sorted(r.size for r in out) == sorted(size(t) + 16 for t in (FOX, FOX, "another text under the same id", None, "text without an id", "", None, " \n\t\n ", LONG, "naïve café — déjà vu 你好 世界"))
+        assert all(0 <= r.shard < 40 for r in out)
+    elif name == "packed":
+        assert {r.length for r in out if r.doc_id in (2, 3)} == {1} and all(r.start == 0 for r in out)
+
+
 @pytest.mark.parametrize("name", [*ROWWISE, "matches"])
 def test_awkward_table(spark, awkward, name):
     out = operators(spark)[name](awkward).collect()
     if name in ROWWISE:
         assert len(out) == awkward.count()
         assert sorted(str(r.doc_id) for r in out) == sorted(str(r.doc_id) for r in awkward.collect())
+        check_awkward(name, out)
     else:
-        assert [(r.doc_id, r.item_id) for r in out] == [(1, 1), (1, 1)]
+        assert [(r.doc_id, r.item_id, r.n_edits, r.start, r.length) for r in out] == [(1, 1, 0, 0, 30), (1, 1, 0, 0, 30)]
+
+
+@pytest.mark.parametrize("stage", ["line_dedup", "simhash_near_dedup", "op6"])
+def test_clashing_columns_pass_through(spark, awkward, stage):
+    """Columns named as the operators' own are kept, in operators that keep all columns."""
+    from jobloom.llm import neardup
+
+    odd = awkward.selectExpr("*", "1 as __id", "2 as __ks", "3 as __r", "4 as __th", "'b' as `best.id`")
+    f = {"line_dedup": linededup.remove_repeated_lines, "simhash_near_dedup": neardup.one_of_each_group, "op6": simhash.one_of_each_group}[stage]
+    out = f(odd)
+    assert set(odd.columns) <= set(out.columns)
+    rows = out.collect()
+    assert rows and all((r["__id"], r["__ks"], r["__r"], r["__th"], r["__h"], r["best.id"], r.id, r.th) == (1, 2, 3, 4, "h", "b", 1, "x") for r in rows)
+    if stage != "line_dedup":
+        # Repeated rows leave one, texts without words are one group.
+        assert sorted(r.text or "" for r in rows) == sorted([FOX, "another text under the same id", "", "text without an id", LONG, "naïve café — déjà vu 你好 世界"])
 
 
 @pytest.mark.parametrize("name", [*ROWWISE, "matches"])
