@@ -117,11 +117,40 @@ def _tiles(g: np.ndarray, second: np.ndarray | None, step: int = 256) -> Iterato
                 yield g[0, i + k], g[0, j + m]
 
 
+def _first_pairs(g: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of keys that fit among neighbours by size in `g`, and with its middle: the fingerprint nearest to the majority of all, as the text has that others were made from."""
+    g = g[:, np.lexsort((g[0], g[1]))]
+    if g.shape[1] > 2:
+        far = np.bitwise_count(g[3].view(np.uint64) ^ np.uint64(majority(g[3].view(np.uint64))))
+        hub = g[:, [np.lexsort((g[0], far))[0]]]
+        near = _fits(hub, g)
+        yield np.repeat(hub[0], int(near.sum())), g[0][near]
+    near = _fits(g[:, :-1], g[:, 1:])
+    yield g[0, :-1][near], g[0, 1:][near]
+
+
+def hub_pairs(hot: DataFrame) -> DataFrame:
+    """(u, v): pairs of each key with the middle one of those that hold a token, for tokens that too many hold for one task."""
+    ones = [F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(1)).alias(f"b{k}") for k in range(64)]
+    majority_of = F.lit(0).cast("long")
+    for k in range(64):
+        majority_of = majority_of.bitwiseOR(F.when(2 * F.col(f"b{k}") > F.col("of"), F.lit(1 << k if k < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long"))
+    middle = hot.groupBy("token").agg(F.count("*").alias("of"), *ones).select("token", majority_of.alias("m"))
+    own = F.struct("key", "n", "at", "fp")
+    hub = hot.join(middle, "token").groupBy("token").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("m"))).alias("far"), F.col("key").alias("k"), own.alias("hub"))).hub.alias("hub"))
+    y = F.col("hub")
+    both = hot.join(hub, "token").where(F.col("key") != F.col("hub.key"))
+    fits = (NUM + DEN) * F.least(F.col("n") - F.col("at"), y.n - y["at"]) >= NUM * (F.col("n") + y.n)
+    fits &= (F.bit_count(F.col("fp").bitwiseXOR(y.fp)) <= RADIUS) | (F.least(F.col("n"), y.n) < FEW)
+    return both.where(fits).select(F.least("key", "hub.key").alias("u"), F.greatest("key", "hub.key").alias("v")).distinct()
+
+
 def candidates(met: DataFrame, chain: bool) -> DataFrame:
     """(u, v): pairs of keys of different `comp` that share a shingle of their prefixes and may be similar, each once.
 
     `met` has (token, key, n, at, fp, comp, block, second). Rows of one token and block are compared with one another, those
-    of two sides of a block (second: false, true; null for none) only across. With `chain` only neighbours by size are paired.
+    of two sides of a block (second: false, true; null for none) only across. With `chain` only neighbours by size are paired,
+    and all with the middle one.
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +164,7 @@ def candidates(met: DataFrame, chain: bool) -> DataFrame:
                 if e - s < 2 or g[4].min() == g[4].max():
                     continue
                 if chain:
-                    g = g[:, np.lexsort((g[0], g[1]))]
-                    near = _fits(g[:, :-1], g[:, 1:])
-                    found = [(g[0, :-1][near], g[0, 1:][near])]
+                    found = _first_pairs(g)
                 else:
                     sides = second[s:e]
                     found = _tiles(g, sides.astype(bool) if sides[0] >= 0 else None)
@@ -201,8 +228,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Near copies are texts whose sets of five-word shingles (A-Z lower-cased, white space ignored) have a similarity of 0.8 or
     more. Texts that share a shingle of their prefixes, as all such pairs do, meet; their fingerprints are compared tile
     against tile, and whole sets confirm what is within RADIUS bits. Texts without words are copies of one another. Ids are
-    those of `null_to_low`, th is the text's hash. Pairs of neighbours in a shared shingle are compared first, then all pairs not
-    yet connected.
+    those of `null_to_low`, th is the text's hash. Neighbours in a shared shingle are compared first, and all that share it with
+    the middle one of them, then all pairs not yet connected.
     """
     spark = docs.sparkSession
     rows = docs.select(null_to_low(F.col(id_col)).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
@@ -217,7 +244,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     none = F.lit(None).cast("boolean")
     tile = F.pmod(F.xxhash64("key"), F.ceil(F.col("of") / TILE))
-    first = written(candidates(met.select("token", tile.alias("block"), none.alias("second"), "key", "n", "at", "fp", F.col("key").alias("comp")), True))
+    first = candidates(met.select("token", tile.alias("block"), none.alias("second"), "key", "n", "at", "fp", F.col("key").alias("comp")), True)
+    first = written(first.union(hub_pairs(met.where(F.col("of") > TILE))).distinct())
     links = written(confirmed(first, names, rows))
     release(spark)
 

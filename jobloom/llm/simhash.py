@@ -35,7 +35,7 @@ def majority(hashes: np.ndarray) -> int:
     """The bits that are set in over half of the hashes; zero without any."""
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), CHUNK):
-        h = hashes[at : at + CHUNK].astype("<u8", copy=False)
+        h = np.ascontiguousarray(hashes[at : at + CHUNK], dtype="<u8")
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
