@@ -40,7 +40,7 @@ def reap_missing(stored: DataFrame, seen: DataFrame, full_sweep: bool = True) ->
         return stored
     swept = seen.select("source_id").distinct().withColumn("swept", F.lit(True))
     found = seen.select(*KEY).distinct().withColumn("found", F.lit(True))
-    rows = stored.join(F.broadcast(swept), "source_id", "left").join(found, KEY, "left")
+    rows = stored.join(swept, "source_id", "left").join(found, KEY, "left")
     missed = F.col("status").isin(ALIVE) & F.col("swept").isNotNull() & F.col("found").isNull()
     count = F.when(F.col("found"), 0).when(missed, F.col("miss_count") + 1).otherwise(F.col("miss_count"))
     status = F.when(missed & (count >= CLOSED_AT), "CLOSED").when(missed & (count >= STALE_AT), "STALE").otherwise(F.col("status"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from jobloom.functions.salary import stats_value
 from jobloom.sources.model import ALIVE
 
+
 def alive() -> Column:
     return F.col("status").isin(ALIVE)
 
@@ -61,7 +63,7 @@ def salary_overall(postings: DataFrame) -> DataFrame:
 
 def salary_by_province(postings: DataFrame, locations: DataFrame, limit: int = 10, least: int = 3) -> DataFrame:
     """Provinces by alive postings, with the median of public pay. A posting counts in each of its places; a public one without bounds counts in the sample but has no value."""
-    rows = postings.where(alive()).join(F.broadcast(locations), "location_id")
+    rows = postings.where(alive()).join(locations, "location_id")
     out = rows.groupBy("province").agg(F.count("*").alias("total"), F.count_if("is_public").alias("sample"), quantile(0.5, F.when(F.col("is_public"), value())).alias("p50"))
     return out.where(F.col("sample") >= least).orderBy(F.desc("total"), "province").limit(min(max(limit, 1), 34))
 
@@ -95,10 +97,21 @@ def median(c: Column) -> Column:
     return F.floor(F.percentile(c, 0.5) + 0.5).cast("long")
 
 
-def nearest_rank(c: Column, q: float) -> Column:
-    """The value at index floor(n * q) of the ordered values."""
-    values = F.sort_array(F.collect_list(c))
-    return F.get(values, F.floor(F.size(values) * q).cast("int"))
+def nearest_rank(rows: DataFrame, group: str, value: str, shares: dict[str, float], width: float = 1_000_000) -> DataFrame:
+    """(group, n, a column for each share q): the value at index floor(n * q) of each group's ordered values, the last at most; null values don't count.
+
+    Values are counted in buckets of `width`; only those in the buckets where the ranks fall are put in order, each
+    distinct one once, so that a group of any size is neither collected nor sorted in one task.
+    """
+    v = rows.where(F.col(value).isNotNull()).select(group, F.col(value).alias("v"), F.floor(F.col(value) / width).cast("long").alias("b"))
+    upto = lambda keys, by: F.sum("m").over(Window.partitionBy(*keys).orderBy(by))
+    buckets = v.groupBy(group, "b").agg(F.count("*").alias("m")).withColumns({"end": upto([group], "b"), "n": F.sum("m").over(Window.partitionBy(group))})
+    at = F.explode(F.array(*[F.struct(F.lit(name).alias("share"), F.least(F.floor(F.col("n") * q), F.col("n") - 1).alias("at")) for name, q in shares.items()]))
+    wanted = buckets.select(group, "b", "n", (F.col("end") - F.col("m")).alias("before"), at.alias("w")).select(group, "b", "n", "before", "w.*").where((F.col("at") >= F.col("before")))
+    wanted = wanted.groupBy(group, "share", "n", "at").agg(F.max_by(F.struct("b", "before"), "b").alias("x")).select(group, "share", "n", "at", "x.*")
+    few = v.join(wanted.select(group, "b").distinct(), [group, "b"], "left_semi").groupBy(group, "b", "v").agg(F.count("*").alias("m")).withColumn("end", upto([group, "b"], "v"))
+    hit = few.join(wanted, [group, "b"]).where((F.col("at") < F.col("before") + F.col("end")) & (F.col("at") >= F.col("before") + F.col("end") - F.col("m")))
+    return hit.groupBy(group).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("share") == name, F.col("v"))).alias(name) for name in shares])
 
 
 def run_rollup(runs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobloom.plans import lifecycle, matching, search, stats, text  # noqa: F401
+from jobloom.plans import lifecycle, matching, pages, pay, search, stats, text  # noqa: F401
 from jobloom.plans.registry import QUERIES, SQL, Query
 
 

@@ -15,7 +15,7 @@ FULL = f"{P}, {M.TITLE_SQL}, f AS (SELECT posting.*, n_name AS province, title,
 
 
 def full(spark, sf):
-    return M.postings(spark, sf).join(F.broadcast(M.locations(spark, sf).select("location_id", "province")), "location_id").join(M.posting_titles(spark, sf), "posting_id", "left")
+    return M.postings(spark, sf).join(M.locations(spark, sf).select("location_id", "province"), "location_id").join(M.posting_titles(spark, sf), "posting_id", "left")
 
 
 @query("p01_search", f"""{FULL} SELECT posting_id, title, province FROM f WHERE {ALIVE} AND (contains(lower(title), 'ring') OR contains(lower(description), 'ring') OR contains(lower(company), 'ring')) AND level = 'SENIOR' AND is_public AND (salary_min >= 100000000 OR salary_max >= 100000000) AND posted_at >= {AS_OF_SQL} - INTERVAL 2000 DAY""")
@@ -64,7 +64,7 @@ def p11(spark, sf):
 
 @query("j02_province_counts_fan_out", f"{P} SELECT r_name AS region, n_name AS province, count(*) AS n FROM posting JOIN nation ON location_id = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
 def j02(spark, sf):
-    return M.postings(spark, sf).join(F.broadcast(M.locations(spark, sf)), "location_id").groupBy("region", "province").agg(F.count("*").alias("n"))
+    return M.postings(spark, sf).join(M.locations(spark, sf), "location_id").groupBy("region", "province").agg(F.count("*").alias("n"))
 
 
 @query("j04_semi", f"{P} SELECT posting_id FROM posting WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = posting_id AND l_quantity >= 49)")
@@ -165,8 +165,8 @@ def o08(spark, sf):
 @query("f11_similar", f"{P} SELECT posting_id FROM posting WHERE {ALIVE} AND posting_id <> 8 ORDER BY (level = (SELECT level FROM posting WHERE posting_id = 8)) DESC NULLS LAST, posted_at DESC, posting_id LIMIT 3")
 def f11(spark, sf):
     p = M.postings(spark, sf)
-    mine = p.where("posting_id = 8").select(F.col("level").alias("mine"))
-    return p.where(stats.alive() & (F.col("posting_id") != 8)).join(F.broadcast(mine), how="cross").orderBy(F.desc_nulls_last(F.col("level") == F.col("mine")), F.desc("posted_at"), "posting_id").limit(3).select("posting_id")
+    mine = p.where("posting_id = 8").select("level").scalar()
+    return p.where(stats.alive() & (F.col("posting_id") != 8)).orderBy(F.desc_nulls_last(F.col("level") == mine), F.desc("posted_at"), "posting_id").limit(3).select("posting_id")
 
 
 @query("u01_ordered_distinct", "SELECT k AS key, min(event_id) AS seq FROM (SELECT lower(event_type) || user_id % 5 AS k, event_id FROM events) GROUP BY 1")

@@ -191,5 +191,5 @@ def e04(spark, sf):
 @query("s02_sitemap_entries", "SELECT 'https://example.org/job-' || page_id || '?a=1&b=2' AS loc, CASE WHEN page_id % 2 = 0 THEN '2026-01-01' END AS lastmod FROM pages")
 def s02(spark, sf):
     url = F.concat(F.lit("<url><loc><![CDATA[https://example.org/job-"), F.col("page_id").cast("string"), F.lit("?a=1&amp;b=2]]></loc>"), F.when(F.col("page_id") % 2 == 0, F.lit("<lastmod>2026-01-01</lastmod>")).otherwise(F.lit("")), F.lit("</url>"))
-    files = M.table(spark, sf, "pages").groupBy((F.col("page_id") % 7).alias("file")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(url), ""), F.lit("</urlset>")).alias("body"))
+    files = M.table(spark, sf, "pages").groupBy(F.floor(F.col("page_id") / 100).alias("file")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(url), ""), F.lit("</urlset>")).alias("body"))
     return files.select(F.inline(sitemap.entries(F.col("body"))))
