@@ -21,7 +21,7 @@ DIM = 1 << 18
 #: A row is kept if both scores are at least this.
 CUTOFF = 0.5
 #: Distinct words remembered with their features by a worker; emptied when full.
-CACHE = 100_000
+CACHE = 20_000
 
 # English insults: what someone is called, and how something is called.
 INSULTS = frozenset(b"bastard clown creep fool idiot imbecile jerk loser moron scum trash vermin".split())

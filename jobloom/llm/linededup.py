@@ -58,9 +58,11 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     joined = keyed.join(kept.hint("shuffle_hash"), keyed[r].eqNullSafe(kept[i]) & (keyed[h] == kept[h]), "left").drop(kept[h])
 
     @F.pandas_udf("text string, lines long, removed long")
-    def apply(text: pd.Series, ks: pd.Series) -> pd.DataFrame:
+    def applied(text: pd.Series, ks: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_without(t, k) for t, k in zip(text, ks)], columns=["text", "lines", "removed"])
 
+    # Not taken apart: a filter on the result would else run it twice.
+    apply = applied.asNondeterministic()
     done = joined.withColumn(r, apply(F.col(f"`{text_col}`"), F.col(k)))
     counts = {"_lines": F.col(f"{r}.lines"), "_removed": F.col(f"{r}.removed"), "_windows": F.coalesce(F.size(k), F.lit(0)).cast("long")}
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col and c not in counts]
