@@ -268,3 +268,9 @@ def purchase_type(industry: Column, title: Column, description: Column, types: l
 
     pick = lambda x: F.struct(F.coalesce(x.a, x.b, F.lit(unknown)).alias("slug"), F.when(x.a.isNotNull(), "industry").when(x.b.isNotNull(), "keyword").otherwise("none").alias("basis"))
     return let(let(F.struct(tokens.alias("tokens"), text.alias("text")), found), pick)
+
+
+def experience_label(low: Column, high: Column) -> Column:
+    """Years asked for, as a range; null where nothing is."""
+    text = lambda *xs: F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in xs])
+    return F.when(low != high, text(low, "–", high, " năm KN")).when(low.isNotNull(), text(low, "+ năm KN")).when(high.isNotNull(), text("tới ", high, " năm KN"))

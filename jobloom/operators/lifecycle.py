@@ -75,3 +75,28 @@ def within_quota(rows: DataFrame, query: str, order: list[str], total: int, n_qu
     """Each query's first rows: an even share of the total, rounded up."""
     w = Window.partitionBy(query).orderBy(*order)
     return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= -(-total // n_queries)).drop("_rn")
+
+
+def derived_status(expires_on: Column, as_of: Column) -> Column:
+    """A new posting's status: EXPIRED past its end, else OPEN."""
+    return F.when(expires_on < as_of, "EXPIRED").otherwise("OPEN")
+
+
+def parse_status(status: Column, out_of_range: Column) -> Column:
+    """Pay out of range makes a whole row a partial one; failures stay."""
+    return F.when((status == "OK") & out_of_range, "PARTIAL").otherwise(status)
+
+
+def alive_status(status: Column) -> Column:
+    """What proof of life makes of a status."""
+    return F.when(status == "STALE", "OPEN").otherwise(status)
+
+
+def probe_kind(configured: Column, source_kind: Column) -> Column:
+    """How a posting is looked at: as its source is configured, else by the source's kind."""
+    return F.coalesce(configured, F.when(source_kind == "API", "api").otherwise("page"))
+
+
+def trigger(scheduled: Column, full: Column) -> Column:
+    """Why a run began."""
+    return F.when(scheduled, "SCHEDULE").when(full, "FULL").otherwise("MANUAL")

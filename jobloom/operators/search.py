@@ -11,6 +11,10 @@ from jobloom.functions.text import match_key
 from jobloom.sources.model import ALIVE
 
 PAGE = 20
+#: Columns that lists, single postings and probes read; nothing else reaches the scan.
+LIST_COLUMNS = ["posting_id", "title", "company", "source_id", "status", "level", "is_public", "salary_min", "salary_max", "work_mode", "posted_at", "expires_on"]
+DETAIL_COLUMNS = [*LIST_COLUMNS, "description", "years_min", "checked_on", "miss_count", "parse_status"]
+PROBE_COLUMNS = ["posting_id", "status", "source_id", "external_id", "expires_on", "checked_on"]
 
 
 @dataclass
@@ -66,6 +70,13 @@ def page(rows: DataFrame, number: int, kind: str = "newest", size: int = PAGE) -
     return rows.orderBy(*order(kind)).offset((max(number, 1) - 1) * size).limit(size)
 
 
+def find(rows: DataFrame, f: JobFilters, number: int, kind: str = "newest", size: int = PAGE, as_of: Column | None = None) -> tuple[int, DataFrame]:
+    """(how many fit, a page of them); a page beyond the last one is the last."""
+    fit = rows.where(where(f, as_of))
+    total = fit.count()
+    return total, page(fit, min(max(number, 1), max(1, -(-total // size))), kind, size)
+
+
 def recheck_due(rows: DataFrame, as_of: Column) -> DataFrame:
     """Alive postings to look at again: near their end, missed, never checked or not for a week."""
     due = (F.col("expires_on") <= F.date_add(as_of, 3)) | (F.col("miss_count") >= 1) | F.col("checked_on").isNull() | (F.col("checked_on") < F.date_sub(as_of, 7))

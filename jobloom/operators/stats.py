@@ -124,3 +124,9 @@ def median_by_skill(rows: DataFrame, least: int = 5, limit: int = 8) -> DataFram
     """(posting_id, skill, v) distinct -> skills by median pay: all postings, those with a value, and the median."""
     out = rows.groupBy("skill").agg(F.count("*").alias("n"), F.count("v").alias("sample"), median(F.col("v")).alias("median"))
     return out.where(F.col("sample") >= least).orderBy(F.desc("median"), "skill").limit(limit)
+
+
+def recent(rows: DataFrame, key: str, at: Column, now: Column) -> DataFrame:
+    """(key, last_24h, last_7d, prev_7d): rows in windows that end now."""
+    back = lambda hours: at > now - F.expr(f"interval {hours} hours")
+    return rows.groupBy(key).agg(F.count_if(back(24)).alias("last_24h"), F.count_if(back(168)).alias("last_7d"), F.count_if(back(336) & ~back(168)).alias("prev_7d"))
