@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions.salary import plain
@@ -274,3 +274,8 @@ def experience_label(low: Column, high: Column) -> Column:
     """Years asked for, as a range; null where nothing is."""
     text = lambda *xs: F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in xs])
     return F.when(low != high, text(low, "–", high, " năm KN")).when(low.isNotNull(), text(low, "+ năm KN")).when(high.isNotNull(), text("tới ", high, " năm KN"))
+
+
+def catalogue_of(rows: DataFrame) -> DataFrame:
+    """(slug, name, aliases) of a table (slug, name, alias): a skill for each slug, its aliases once each and in order."""
+    return rows.groupBy("slug").agg(F.min("name").alias("name"), F.array_sort(F.collect_set("alias")).alias("aliases"))

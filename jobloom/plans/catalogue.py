@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobloom.plans import dictionaries, fields, lifecycle, links, matching, pages, pay, records, search, stats, text  # noqa: F401
+from jobloom.plans import dictionaries, fields, lifecycle, links, matching, pages, pay, records, search, sources, stats, text  # noqa: F401
 from jobloom.plans.registry import QUERIES, SQL, Query
 
 

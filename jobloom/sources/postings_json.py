@@ -38,6 +38,11 @@ def is_posting_type(kind: object) -> bool:
     return any(isinstance(k, str) and k.endswith("JobPosting") for k in (kind if isinstance(kind, list) else [kind]))
 
 
+def is_posting(kind: Column) -> Column:
+    """The same of a JSON text of a node's type: a text, or a list of texts."""
+    return F.coalesce(F.exists(F.when(kind.startswith("["), F.from_json(kind, "array<string>")).otherwise(F.array(kind)), lambda k: k.endswith("JobPosting")), F.lit(False))
+
+
 def _walk(node: object, depth: int = 0) -> Iterator[dict]:
     if depth > DEPTH:
         return
