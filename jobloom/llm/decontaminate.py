@@ -174,7 +174,11 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
-    """`docs` without the rows whose text holds a benchmark item (see `benchmark_matches`); columns unchanged."""
+    """`docs` without the rows whose text holds a benchmark item (see `benchmark_matches`); columns unchanged, whatever their names.
+
+    Null and empty texts hold nothing; null and empty items are held by nothing; repeated rows stay or go together; equal items
+    count once. Without items all rows stay; an empty table gives an empty result.
+    """
     kept = docs
     for block in _blocks(items.select(item_id_col, item_text_col)):
         shared = docs.sparkSession.sparkContext.broadcast(block)

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 
 from jobloom.llm import components, licenses, linededup, packing, sharding, simhash, suffixes
+from jobloom.llm.common import table
 from jobloom.llm.queries import QUERIES, SQL
 from tests.oracle import same
 
@@ -216,6 +217,57 @@ def test_packing_round_trip(docs):
     assert len(by_seq) <= total / 1024 * 1.05 + 1
 
 
+def odd_strings():
+    rng = random.Random(8)
+    letters = ["a", "Z", "é", "ß", "ñ", "đ", "́", "‍", "你", "好", "한", "ا", "א", "ก", "्", "न", "𝔸", "😀", "👩‍🚀", "Ⅷ", "²", "½", "٣", "0", "9", "'s", "'T", "'re", "’s", "_", "-", "—", ".", "...", "$", "#", "\\", "\"", "<", "|", "\x00", "\x1c", "\x85", "\ufeff"]
+    spaces = [" ", "  ", "\t", "\n", "\r\n", "\u00a0", "\u2003", "\u3000", "\u200b", "\u2028"]
+    out = ["", " ", "\n\n", "  a", "a  ", "a\n", "can't won't I'LL", "x'S", "1234567890", "a1b2", "  \n  b", "\u00a0\u00a0x", "don''t"]
+    out += ["".join(rng.choice(letters if rng.random() < 0.7 else spaces) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    return out
+
+
+def test_fast_ids_are_those_of_tokenizers(spark):
+    import public_tokenizers
+
+    ids = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = odd_strings() + [r.text or "" for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    for t in texts:
+        want = ids.tokenizer.encode(t, add_special_tokens=False).ids
+        assert list(ids(t)) == want, repr(t)[:200]
+
+
+def plain_sum_of_squares(sizes, capacity):
+    """The same rule, every open bin tried for every item."""
+    bins, placed = [], [None] * len(sizes)
+    square = lambda gaps: sum(n * n for g, n in Counter(gaps).items() if g)
+    for k in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        gaps = [capacity - b for b in bins]
+        tries = [(square([*gaps[:i], gaps[i] - sizes[k], *gaps[i + 1 :]]), gaps[i] - sizes[k]) for i in range(len(bins)) if gaps[i] >= sizes[k]]
+        if not tries:
+            placed[k] = (capacity, 0)
+            bins.append(sizes[k])
+            continue
+        best = min(tries)
+        i = next(i for i in range(len(bins)) if gaps[i] - sizes[k] == best[1])
+        placed[k] = (gaps[i], bins[i])
+        bins[i] += sizes[k]
+    return placed, sorted(bins)
+
+
+def test_sum_of_squares_against_all_bins():
+    rng = random.Random(12)
+    for capacity in (10, 37, 64):
+        for _ in range(20):
+            sizes = [rng.randint(1, capacity - 1) for _ in range(rng.randint(0, 60))]
+            got = packing.sum_of_squares(sizes, capacity)
+            placed, bins = plain_sum_of_squares(sizes, capacity)
+            assert [offset for _, offset in got] == [offset for _, offset in placed]
+            filled = Counter()
+            for (b, _), s in zip(got, sizes):
+                filled[b] += s
+            assert sorted(filled.values()) == bins
+
+
 # --- licences --------------------------------------------------------------------------------------------------
 
 
