@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import as_bytes, bounds_of, cut, groups_of, null_to_low, private, small_batches, table
+from jobloom.llm.common import as_bytes, bounds_of, cut, groups_of, null_to_low, private, small_batches, table, written
 from jobloom.llm.components import connected_components
 
 SEED = 42
@@ -138,7 +138,8 @@ def components_of(sig: DataFrame, radius: int = 4, tile_rows: int = 2048) -> Dat
     nodes = cut(sig.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected_components(link_fingerprints(nodes.select("fp"), radius, tile_rows))
     nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    comps = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join deals both sides anew: one that adaptive execution can split where a component is large.
+    comps = written(nodes.groupBy("root").agg(F.min("least").alias("component_id")))
     return nodes.join(comps, "root").select("fp", "root", "component_id")
 
 
