@@ -12,23 +12,34 @@ from jobloom.operators.lifecycle import reap_missing
 class MissCounter:
     """A `foreachBatch` sink. Every batch is a full sweep (source_id, external_id seen); the state is a Parquet table.
 
-    Each batch writes the next version under its own id and only then moves the pointer, so a batch that is replayed
-    after a failure starts from the same version again.
+    Each batch writes the next version under its own id. The state is the last version that was written to its end, as its folder
+    says: a batch that is replayed after a failure starts from the same version again, and a new counter over the same
+    folder goes on from there; `initial` counts only where there is none.
     """
 
     def __init__(self, spark: SparkSession, path: str, initial: DataFrame):
-        self.path, self.version = path.rstrip("/"), -1
-        initial.write.mode("overwrite").parquet(self.at(-1))
-        self.spark = spark
+        self.path, self.spark = path.rstrip("/"), spark
+        if self.version is None:
+            initial.write.mode("overwrite").parquet(self.at(-1))
 
     def at(self, version: int) -> str:
         return f"{self.path}/v{version + 1}"
 
+    @property
+    def version(self) -> int | None:
+        """The last batch that is in the state; -1 for none, null where there is no state yet."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return None
+        whole = [x.getPath() for x in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+        return max((int(p.getName()[1:]) - 1 for p in whole), default=None)
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.version:
             return
         reap_missing(self.spark.read.parquet(self.at(batch_id - 1)), batch).write.mode("overwrite").parquet(self.at(batch_id))
-        self.version = batch_id
 
     def state(self) -> DataFrame:
         return self.spark.read.parquet(self.at(self.version))
@@ -40,6 +51,11 @@ def run_stream(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkp
     q.awaitTermination()
 
 
+def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
+    """A stream's rows without those whose keys came before, as far back as the watermark; state older than that is dropped."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
 def windowed_counts(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(start, event_type, n) by event time, late rows up to the watermark; the same plan serves batches and streams."""
     from pyspark.sql import functions as F

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import html_to_text
 from jobloom.operators import lifecycle as L
 from jobloom.operators.fit import Group, Profile, score
+from jobloom.operators.normalize import normalize
 from jobloom.operators.search import JobFilters
+from jobloom.sources import catalogue as C
 from jobloom.sources import postings_json as J
 from jobloom.sources import sitemap
-from jobloom.streaming.misses import MissCounter, run_stream
+from jobloom.streaming.misses import MissCounter, first_seen, run_stream
 
 
 def test_walk(spark):
@@ -56,6 +59,8 @@ def test_stream_equals_replay(spark, tmp_path):
     assert key(sink.state()) == key(want)
     sink(spark.createDataFrame([(1, "a")], "source_id long, external_id string"), 2)  # a replayed batch changes nothing
     assert key(sink.state()) == key(want)
+    again = MissCounter(spark, str(tmp_path / "state"), stored)  # a restart goes on from what is there
+    assert again.version == 2 and key(again.state()) == key(want)
 
 
 def test_no_sweep_no_reaping(spark):
@@ -84,3 +89,49 @@ def test_filters_parse_junk():
 def test_html(spark):
     x = spark.range(1).select(html_to_text(F.lit("<p>a&nbsp;&amp;lt;</p><style>p{}</style><li>b</li>")).alias("x")).first().x
     assert x == "a < • b"
+
+
+def test_first_seen_in_a_stream(spark, tmp_path):
+    rows = [(1, "a", "2026-01-01 00:00:00"), (1, "a", "2026-01-01 00:05:00"), (1, "b", "2026-01-01 00:06:00"), (2, "a", "2026-01-01 00:07:00")]
+    spark.createDataFrame(rows, "user_id long, kind string, at string").selectExpr("user_id", "kind", "cast(at as timestamp) ts").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user_id long, kind string, ts timestamp").parquet(str(tmp_path / "in"))
+    seen = []
+    run_stream(first_seen(stream, ["user_id", "kind"]), lambda df, _: seen.extend((r.user_id, r.kind) for r in df.collect()), str(tmp_path / "cp"))
+    assert sorted(seen) == [(1, "a"), (1, "b"), (2, "a")]
+
+
+def test_sources_must_be_complete(spark):
+    source = spark.createDataFrame([("a", "A", "h", "API", None, None, 1, ""), ("b", "B", "h", "MANUAL", None, None, 2, "")], C.SOURCE)
+    target = lambda *codes: spark.createDataFrame([(c, True, [], None) for c in codes], C.TARGET)
+    assert {r.code: r.config for r in C.seeds(source, target("a", "b")).collect()} == {"a": None, "b": None}
+    with pytest.raises(ValueError, match=r"b \(no target\), x \(not in the catalogue\)"):
+        C.seeds(source, target("a", "x"))
+    with pytest.raises(ValueError, match="by hand"):
+        C.adapter("b", C.MANUAL)
+    with pytest.raises(ValueError, match="no adapter"):
+        C.adapter("z", "FTP")
+
+
+def test_raw_records_come_back(spark, tmp_path):
+    rows = [("s", "1", "2026-01-31 23:00:00", "old"), ("s", "1", "2026-02-01 01:00:00", "new"), ("t", "a/b", "2026-02-01 00:00:00", "x")]
+    df = spark.createDataFrame(rows, "source string, external_id string, at string, payload string").withColumn("at", F.col("at").cast("timestamp"))
+    C.write_raw(df, str(tmp_path / "raw"))
+    got = {(r.source, r.external_id, r.payload, r.month) for r in C.read_raw(spark, str(tmp_path / "raw")).collect()}
+    assert got == {("s", "1", "new", "2026-02"), ("t", "a/b", "x", "2026-02")}
+
+
+def test_profile_errors_name_their_path():
+    for config, path in (({"yers": 1}, "yers"), ({"core": [{"skills": ["a"], "weight": 1}, {"skills": []}]}, r"core\[1\]"), ({"bonus": ["a", 3]}, r"bonus\[1\]"), ({"years": "2"}, "years"), ({"great": 10}, "bands")):
+        with pytest.raises(ValueError, match=path):
+            Profile.parse(config)
+
+
+def test_normalize_never_throws(spark):
+    """Postings that are empty, of other kinds or broken give rows that say what they lack; other columns pass through."""
+    postings = ["{}", "[]", "nonsense", "", None, '{"title":5,"hiringOrganization":"x","jobLocation":7,"baseSalary":[],"skills":{"name":"a"},"employmentType":{}}', '{"title":"Dev","jobLocation":["Hà Nội",null,{"address":{"addressRegion":"N/A"}}],"jobLocationType":"telecommute"}']
+    df = spark.createDataFrame([(i, p, None, None, None, None, "kept") for i, p in enumerate(postings)], "k int, posting string, page_url string, salary_text string, skills array<string>, work_mode string, mine string")
+    rows = {r.k: r for r in normalize(df, as_of=F.lit("2026-01-01").cast("timestamp")).collect()}
+    assert len(rows) == len(postings) and all(r.mine == "kept" for r in rows.values())
+    assert all(rows[i].parse_status == "PARTIAL" and rows[i].title == "" for i in range(5))
+    assert rows[5].title == "5" and rows[5].skills == ["a"] and rows[5].employment_type is None
+    assert rows[6].work_mode == "REMOTE" and [x.slug for x in rows[6].locations] == ["ha-noi"]
