@@ -242,7 +242,8 @@ def confirmed(pairs: DataFrame, names: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = pairs.select(F.explode(F.array(*[F.struct(F.col(f"{k}_id").alias("id"), F.col(f"{k}_th").alias("th")) for k in "uv"])).alias("w")).select("w.*").distinct()
     if 2 * pairs.count() <= SENT:
         wanted = F.broadcast(wanted)
-    texts = rows.join(wanted, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.first("text").alias("text"))
+    # Written, so that the joins deal both sides anew: a text that many are paired with is one that can be split.
+    texts = written(rows.join(wanted, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.first("text").alias("text")))
     text = lambda k: texts.select(F.col("id").alias(f"{k}_id"), F.col("th").alias(f"{k}_th"), F.col("text").alias(f"{k}_text"))
     both = pairs.join(text("u"), ["u_id", "u_th"]).join(text("v"), ["v_id", "v_th"])
     return both.select("u", "v", "u_text", "v_text").mapInArrow(of, "u long, v long")
