@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import private, table
+from jobloom.llm.common import private, table, written
 
 #: Lines in a window.
 WINDOW = 3
@@ -33,10 +33,11 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, th, ks): for each text with any, the windows (index of first line) that also occur earlier.
 
     th is the text's hash; (id, th) names a text. Firsts are minima combined before the shuffle, so a window that a
-    third of all rows hold costs a row per task; the join back to its occurrences can be split.
+    third of all rows hold costs a row per task; they are written, so that the join back to the occurrences deals both sides anew
+    and can be split.
     """
     occ = _window_rows(docs, id_col, text_col)
-    firsts = occ.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "k")).alias("first")).where("n > 1").select("w1", "w2", "first")
+    firsts = written(occ.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "k")).alias("first")).where("n > 1").select("w1", "w2", "first"))
     later = occ.join(firsts, ["w1", "w2"]).where(F.struct("id", "th", "k") > F.col("first"))
     return later.groupBy("id", "th").agg(F.collect_set("k").alias("ks"))
 
