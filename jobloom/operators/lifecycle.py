@@ -100,3 +100,15 @@ def probe_kind(configured: Column, source_kind: Column) -> Column:
 def trigger(scheduled: Column, full: Column) -> Column:
     """Why a run began."""
     return F.when(scheduled, "SCHEDULE").when(full, "FULL").otherwise("MANUAL")
+
+
+def source_runs(events: DataFrame) -> DataFrame:
+    """(source_id, seen, jobs, errors, status, since) of a run's events (source_id, kind: seen, job, error or null, at): FAILED with errors and no job, PARTIAL with errors, else SUCCESS.
+
+    since is where the next run may go on: the end less an hour of overlap; null after a failure.
+    """
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    runs = events.groupBy("source_id").agg(n("seen").alias("seen"), n("job").alias("jobs"), n("error").alias("errors"), F.max("at").alias("finished_at"))
+    status = F.when((F.col("jobs") == 0) & (F.col("errors") > 0), "FAILED").when(F.col("errors") > 0, "PARTIAL").otherwise("SUCCESS")
+    runs = runs.withColumn("status", status)
+    return runs.select("source_id", "seen", "jobs", "errors", "status", F.when(F.col("status") != "FAILED", F.col("finished_at") - F.expr("interval 1 hour")).alias("since"))

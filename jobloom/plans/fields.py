@@ -201,3 +201,21 @@ def j12(spark, sf):
 @query("j13_term_theta_join", f"{MATCH_SQL} SELECT posting_id, term FROM t JOIN (VALUES ('ring'), ('gear')) v(term) ON contains(dk, ' ' || term)")
 def j13(spark, sf):
     return M.posting_titles(spark, sf).select("posting_id", F.explode(C.terms_hit(C.match_key(F.col("description")), STRONG)).alias("term"))
+
+
+@query("m06_main_skills", "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'dotnet-backend' WHEN 1 THEN 'react-frontend' WHEN 2 THEN 'backend-khac' ELSE 'fullstack-khac' END AS role FROM orders")
+def m06_main(spark, sf):
+    k = F.col("o_orderkey") % 4
+    none = F.array().cast("array<string>")
+    some = lambda at, *xs: F.when(k == at, F.array(*map(F.lit, xs))).otherwise(none)
+    # Skills of the text count only where title and declaration have none.
+    main = C.main_skills(some(0, "csharp"), some(1, "react"), F.when(k == 3, F.array(F.lit("vue"), F.lit("php"))).otherwise(F.array(F.lit("java"))))
+    return M.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), C.software_role(F.lit("Developer"), main).alias("role"))
+
+
+@query("a19_gray_terms", f"{MATCH_SQL} SELECT 'widget' AS term, count(*) FILTER (contains(tk, ' widget') OR contains(dk, ' widget')) AS n, count(*) FILTER ((contains(tk, ' widget') OR contains(dk, ' widget')) AND th > 0) AS with_strong FROM t JOIN m USING (posting_id) WHERE rejected_by IS NULL")
+def a19_gray(spark, sf):
+    _, gray = FIELD.terms()
+    rows = M.posting_titles(spark, sf).select(O.match(FIELD).alias("m"), C.match_key(F.concat_ws(" ", "title", "description")).alias("key")).where("m.rejected_by is null")
+    each = rows.select(F.explode(C.terms_hit(F.col("key"), gray)).alias("term"), "m")
+    return each.groupBy("term").agg(F.count("*").alias("n"), F.count_if(F.col("m.verdict") == "strong").alias("with_strong"))

@@ -231,3 +231,18 @@ def h14(spark, sf):
 def w08(spark, sf):
     e = M.table(spark, sf, "events")
     return stats.recent(e, "event_type", F.col("ts"), e.agg(F.max("ts")).scalar())
+
+
+@query("a01_sources_and_last_run", f"WITH {M.SOURCE_SQL} SELECT (SELECT count(*) FROM source WHERE active) AS active_sources, (SELECT max(ts) FROM events WHERE event_type <> 'error') AS last_run")
+def a01_sources(spark, sf):
+    last = M.table(spark, sf, "events").where("event_type <> 'error'").agg(F.max("ts")).scalar()
+    return M.sources(spark, sf).agg(F.count_if("active").alias("active_sources")).withColumn("last_run", last)
+
+
+@query("h08_source_runs", """WITH r AS (SELECT user_id AS source_id, count(*) FILTER (event_type = 'view') AS seen, count(*) FILTER (event_type = 'purchase') AS jobs, count(*) FILTER (event_type = 'error') AS errors, max(ts) AS finished_at, arg_max(event_type, ts) FILTER (event_type = 'error') IS NOT NULL AS failed FROM events GROUP BY 1)
+SELECT source_id, seen, jobs, errors, CASE WHEN jobs = 0 AND errors > 0 THEN 'FAILED' WHEN errors > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS status, CASE WHEN jobs > 0 OR errors = 0 THEN finished_at - INTERVAL 1 HOUR END AS since FROM r""")
+def h08_runs(spark, sf):
+    kinds = {"view": "seen", "purchase": "job", "error": "error"}
+    known = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    events = M.table(spark, sf, "events").select(F.col("user_id").alias("source_id"), F.try_element_at(known, F.col("event_type")).alias("kind"), F.col("ts").alias("at"))
+    return L.source_runs(events)

@@ -79,6 +79,12 @@ def s01(spark, sf):
     return sitemap.walk(sitemap_files(spark, sf), spark.createDataFrame([("https://example.org/index.xml",)], "url string"), r"/job-\d+")
 
 
+@query("s01_walk_capped", "SELECT 'https://example.org/job-' || page_id AS url, '2026-01-' || (page_id % 28 + 1) AS lastmod, (SELECT count(*) FROM pages WHERE page_id % 28 >= 9) > 40 AS truncated FROM pages WHERE page_id % 28 >= 9 ORDER BY lastmod DESC, url LIMIT 40")
+def s01_capped(spark, sf):
+    roots = spark.createDataFrame([("https://example.org/index.xml",)], "url string")
+    return sitemap.walk(sitemap_files(spark, sf), roots, r"/job-\d+", since="2026-01-10", max_urls=40)
+
+
 LOOSE = ['{"a": %d}', '<![CDATA[ {"a": %d} ]]>', "{&quot;a&quot;: %d}", '{"a": %d,}', '{"a": %d', '// <![CDATA[\n{"a": [%d,]}\n// ]]>']
 
 

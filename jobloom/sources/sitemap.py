@@ -38,10 +38,12 @@ def is_nested(loc: Column, job_pattern: str) -> Column:
     return loc.rlike(r"(?i)\.xml(\.gz)?$") & ~loc.rlike(job_pattern)
 
 
-def walk(files: DataFrame, roots: DataFrame, job_pattern: str, depth: int = DEPTH) -> DataFrame:
+def walk(files: DataFrame, roots: DataFrame, job_pattern: str, depth: int = DEPTH, since: str | None = None, max_urls: int | None = None) -> DataFrame:
     """(url, lastmod) of job entries reachable from `roots` (url) within `depth` files, each canonical URL once.
 
-    A file that is missing gives nothing and harms nothing; a file that lists itself is read once a level.
+    A file that is missing gives nothing and harms nothing; a file that lists itself is read once a level. With `since` only entries
+    that changed from that day on count, and those that don't say. With `max_urls` the last changed stay, and a column truncated
+    says whether others were left out.
     """
     level, found = roots.select("url").distinct(), None
     for _ in range(depth):
@@ -50,4 +52,11 @@ def walk(files: DataFrame, roots: DataFrame, job_pattern: str, depth: int = DEPT
         jobs = read.where(~nested & F.col("loc").rlike(job_pattern)).select(canonical_url(F.col("loc")).alias("url"), "lastmod")
         found = jobs if found is None else found.unionByName(jobs)
         level = read.where(nested).select(F.col("loc").alias("url")).distinct()
-    return found.groupBy("url").agg(F.max("lastmod").alias("lastmod"))
+    out = found.groupBy("url").agg(F.max("lastmod").alias("lastmod"))
+    if since is not None:
+        out = out.where(F.col("lastmod").isNull() | (F.left("lastmod", F.lit(10)) >= since))
+    if max_urls is None:
+        return out
+    # One more than asked tells whether any is left out.
+    first = out.orderBy(F.desc_nulls_last("lastmod"), "url").limit(max_urls + 1)
+    return first.withColumn("truncated", F.lit(first.count() > max_urls)).orderBy(F.desc_nulls_last("lastmod"), "url").limit(max_urls)
