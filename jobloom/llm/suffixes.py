@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import as_bytes, bounds_of, cut, groups_of, null_to_low, release, small_batches, table, written
+from jobloom.llm.common import as_bytes, bounds_of, cut, groups_of, null_to_low, small_batches, table
 
 #: Letters of an anchor's gram.
 GRAM = 24
@@ -262,10 +262,9 @@ def repeated_runs(texts: DataFrame, length: int = 100, hot: int = HOT) -> DataFr
     single offsets, where a group is one string, of which the earliest place is a minimum again.
     """
     rows = _anchor_rows(texts, length)
-    # Written, so that the join deals both sides anew, and a gram that many hold is one that can be split.
-    counts = written(rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
-    release(texts.sparkSession)
-    met = rows.join(counts, "gram")
+    counts = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    # The key isn't the one that is grouped by, so the join deals both sides anew, and a gram that many hold can be split.
+    met = rows.join(counts.select(F.abs("gram").alias("gram"), "n"), "gram")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1 << 20):
