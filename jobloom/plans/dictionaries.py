@@ -53,7 +53,7 @@ def m10_read(spark, sf):
     value = lambda *xs: F.array(*xs)
     params = F.create_map(F.lit("add"), value(F.concat(F.lit("~ "), F.upper(F.get("words", F.lit(0)))), F.col("brand"), F.lit(" "), F.lit("x"), F.col("brand")), F.lit("add_province"), value(F.when(F.col("k") % 4 == 0, "Hà Nội!").otherwise("ha-noi")), F.lit("max_age_days"), value((F.col("k") % 400).cast("string")))
     e = p.select("k", D.read_edits(params).alias("e"))
-    return e.select("k", joined(F.col("e.add")).alias("add"), joined(F.col("e.add_province")).alias("add_province"), "e.max_age_set", "e.max_age_days", F.size(D.entries(F.col("e"))).alias("n_changes"))
+    return e.select("k", joined(F.col("e.add")).alias("add"), joined(F.col("e.add_province")).alias("add_province"), "e.max_age_set", "e.max_age_days", F.size(D.entries(F.col("e"))).cast("long").alias("n_changes"))
 
 
 @query("m11_saveable", f"""WITH {_BASE} SELECT k, k % 7 <> 0 AS saved, CASE WHEN k % 7 <> 0 THEN {_J("list_filter(draft_pr, lambda x: x <> 'x')")} END AS provinces FROM d""")

@@ -146,7 +146,7 @@ def t14(spark, sf):
 def s21(spark, sf):
     texts = pastes(spark, sf).select(F.concat(F.lit("https://fb.example/p/"), (F.col("k") + 1000000).cast("string")).alias("url"), "text", F.lit(None).cast("timestamp").alias("posted_at"))
     out = normalize.normalize(R.pasted(texts, start()), street_first=True, as_of=start())
-    return out.select(F.col("external_id_given").alias("id"), F.col("salary.min").alias("low"), F.col("salary.max").alias("high"), F.try_element_at("locations", F.lit(1)).slug.alias("province"), "years_min", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"), "parse_status")
+    return out.select(F.col("external_id_given").alias("id"), F.col("salary.min").cast("int").alias("low"), F.col("salary.max").cast("int").alias("high"), F.try_element_at("locations", F.lit(1)).slug.alias("province"), "years_min", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"), "parse_status")
 
 
 def raw_records(spark, sf):
