@@ -314,7 +314,8 @@ def repeated_runs(texts: DataFrame, length: int = 100, hot: int = HOT) -> DataFr
     more = around(met.where(F.col("n") > hot))
     place = F.struct("id", "th", "place")
     firsts = more.groupBy("gram", "span", "context").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    copies = more.join(firsts.where("n > 1"), ["gram", "span", "context"]).where(place > F.col("first"))
+    # Here too the keys aren't the ones that are grouped by: equal contexts of many texts can be split.
+    copies = more.join(firsts.where("n > 1").select(F.abs("gram").alias("gram"), "span", "context", "first"), ["gram", "span", "context"]).where(place > F.col("first"))
     found = found.union(copies.select("id", "th", (F.col("place") - F.shiftright("span", 7)).alias("from"), (F.col("place") - F.col("span").bitwiseAND(127) + length).alias("to")))
     more = firsts.select("gram", "first.*", "span", "context")
     for width in WIDTHS:
@@ -325,7 +326,7 @@ def repeated_runs(texts: DataFrame, length: int = 100, hot: int = HOT) -> DataFr
             found = found.union(sorted_runs(more.where(F.col("n") <= hot).drop("n")))
             more = more.where(F.col("n") > hot).drop("n")
     string = more.select("id", "th", (F.col("place") - F.shiftright("span", 7)).alias("from"), "context")
-    earliest = string.groupBy("context").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "from")).alias("first")).where("n > 1").select("context", "first")
+    earliest = string.groupBy("context").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "from")).alias("first")).where("n > 1").select(F.substring("context", 1, length).alias("context"), "first")
     later = string.join(earliest, "context").where(F.struct("id", "th", "from") > F.col("first")).select("id", "th", "from", (F.col("from") + length).alias("to"))
     return found.union(later).groupBy("id", "th").agg(F.collect_list(F.struct("from", "to")).alias("runs"))
 
