@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobloom.llm import classifier, decontaminate, licenses, linededup, packing, rules, sharding, simhash, suffixes, wrappers
+from jobloom.llm import classifier, decontaminate, licenses, linededup, merkle, packing, rules, sharding, simhash, suffixes, wrappers
 
 QUERIES = {
     "op1_classifier": classifier.op1_classifier,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_extraction": wrappers.op8_extraction,
     "op9_packing": packing.op9_packing,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op12_merkle": merkle.op12_merkle,
 }
-SQL = {"op2_rules": rules.OP2_SQL, "op4_line_dedup": linededup.OP4_SQL}
+SQL = {"op2_rules": rules.OP2_SQL, "op4_line_dedup": linededup.OP4_SQL, "op12_merkle": merkle.OP12_SQL}
