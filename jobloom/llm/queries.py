@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobloom.llm import classifier, decontaminate, licenses, linededup, merkle, packing, rules, sharding, simhash, suffixes, wrappers
+from jobloom.llm import classifier, decontaminate, licenses, linededup, merkle, packing, rules, sharding, simhash, suffixes, trie, wrappers
 
 QUERIES = {
     "op1_classifier": classifier.op1_classifier,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_extraction": wrappers.op8_extraction,
     "op9_packing": packing.op9_packing,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_trie": trie.op11_trie,
     "op12_merkle": merkle.op12_merkle,
 }
-SQL = {"op2_rules": rules.OP2_SQL, "op4_line_dedup": linededup.OP4_SQL, "op12_merkle": merkle.OP12_SQL}
+SQL = {"op2_rules": rules.OP2_SQL, "op4_line_dedup": linededup.OP4_SQL, "op11_trie": trie.OP11_SQL, "op12_merkle": merkle.OP12_SQL}
