@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobloom.llm import classifier, decontaminate, licenses, linededup, merkle, packing, rules, sharding, simhash, suffixes, trie, wrappers
+from jobloom.llm import classifier, decontaminate, langid, licenses, linededup, merkle, packing, rules, sharding, simhash, suffixes, trie, wrappers
 
 QUERIES = {
     "op1_classifier": classifier.op1_classifier,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_trie": trie.op11_trie,
     "op12_merkle": merkle.op12_merkle,
+    "op13_language": langid.op13_language,
 }
 SQL = {"op2_rules": rules.OP2_SQL, "op4_line_dedup": linededup.OP4_SQL, "op11_trie": trie.OP11_SQL, "op12_merkle": merkle.OP12_SQL}
