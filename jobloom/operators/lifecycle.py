@@ -24,6 +24,21 @@ def upsert(stored: DataFrame, batch: DataFrame, as_of: Column) -> DataFrame:
     return s.join(b, KEY, "full_outer").select(*KEY, F.when(F.col("b").isNull(), "kept").when(F.col("s").isNull(), "created").otherwise("updated").alias("outcome"), F.when(F.col("b"), fresh).otherwise(F.col("status")).alias("status"), F.when(F.col("b"), F.lit(0)).otherwise(F.col("miss_count")).alias("miss_count"), pick("salary_min"), pick("salary_max"))
 
 
+def upsert_rows(stored: DataFrame, batch: DataFrame, as_of: Column) -> DataFrame:
+    """`stored` (KEY, status, miss_count, expires_on and any others) after `batch` (KEY and some of its columns) is merged, all columns kept.
+
+    Columns that the batch has take its values, also null ones; new keys have null in the others. Misses are reset, status
+    goes by the end date. Of several rows of a key in the batch the one of least values counts.
+    """
+    given = [c for c in batch.columns if c not in KEY]
+    least = batch.groupBy(*KEY).agg(F.min(F.struct(*given)).alias("_b")) if given else batch.select(*KEY).distinct().withColumn("_b", F.struct(F.lit(1)))
+    both = stored.withColumn("_s", F.lit(True)).join(least, KEY, "full_outer")
+    hit = F.col("_b").isNotNull()
+    made = {c: F.when(hit, F.col(f"_b.{c}")).otherwise(F.col(c)) for c in given}
+    made |= {"status": F.when(hit, derived_status(made.get("expires_on", F.col("expires_on")), as_of)).otherwise(F.col("status")), "miss_count": F.when(hit, F.lit(0)).otherwise(F.col("miss_count")).cast(stored.schema["miss_count"].dataType)}
+    return both.select(*[made.get(c, F.col(c)).cast(stored.schema[c].dataType).alias(c) for c in stored.columns])
+
+
 def audit(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
     """(key..., field, old_value, new_value): a row for every value that changed, null-safe, from one join."""
     n = new.select(*KEY, *[F.col(c).alias(f"n_{c}") for c in columns])
