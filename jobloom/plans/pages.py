@@ -85,6 +85,15 @@ def s01_capped(spark, sf):
     return sitemap.walk(sitemap_files(spark, sf), roots, r"/job-\d+", since="2026-01-10", max_urls=40)
 
 
+@query("s01_frontier_walk", """SELECT 'job' AS kind, 'https://example.org/job-' || page_id AS url, '2026-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') AS said, (SELECT count(DISTINCT page_id // 100) + 2 FROM pages) AS files FROM pages WHERE page_id % 2 = 0 AND page_id % 28 >= 9
+UNION ALL SELECT 'error', 'https://example.org/missing.xml', 'HTTP 404', (SELECT count(DISTINCT page_id // 100) + 2 FROM pages)""")
+def s01_frontier(spark, sf):
+    files = sitemap_files(spark, sf).withColumn("status", F.lit(200))
+    w = sitemap.frontier_walk(files, ["https://example.org/index.xml"], r"/job-\d+", include_pattern=r"/JOB-\d*[02468]\?", since="2026-01-10", max_files=1_000_000)
+    jobs = w.entries.select(F.lit("job").alias("kind"), "url", F.col("lastmod").alias("said"))
+    return jobs.union(w.errors.select(F.lit("error"), "url", "message")).withColumn("files", F.lit(w.files).cast("long"))
+
+
 LOOSE = ['{"a": %d}', '<![CDATA[ {"a": %d} ]]>', "{&quot;a&quot;: %d}", '{"a": %d,}', '{"a": %d', '// <![CDATA[\n{"a": [%d,]}\n// ]]>']
 
 

@@ -69,15 +69,15 @@ def nodes(text: Column) -> Column:
 
 
 def collect_postings(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, block, posting): a row for each posting node; blocks that can't be read give none."""
+    """(id, block, node, posting): a row for each posting node, by its block and its place there; blocks that can't be read give none."""
     rows = pages.select(id_col, F.posexplode(blocks(F.col(html_col))).alias("block", "body"))
-    return rows.select(id_col, "block", F.explode(nodes(loose_json(F.col("body")))).alias("posting"))
+    return rows.select(id_col, "block", F.posexplode(nodes(loose_json(F.col("body")))).alias("node", "posting"))
 
 
 def best_block(postings: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Of a page's postings the one with most keys, the first of equals."""
     n = F.size(F.json_object_keys("posting"))
-    return postings.groupBy(id_col).agg(F.max_by("posting", F.struct(n, -F.col("block"), F.xxhash64("posting"))).alias("posting"))
+    return postings.groupBy(id_col).agg(F.max_by("posting", F.struct(n, -F.col("block"), -F.col("node"))).alias("posting"))
 
 
 def missing_fields(posting: Column) -> Column:
