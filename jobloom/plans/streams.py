@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from jobloom.operators import lifecycle as L
 from jobloom.plans.lifecycle import NEW, batch
 from jobloom.plans.registry import query
 from jobloom.plans.stats import P
+from jobloom.sources import crawl
 from jobloom.sources import model as M
+from jobloom.sources import postings_json as J
 from jobloom.sources.store import BucketedTable, shared_folder
 from jobloom.streaming.guard import FailureGuard
 from jobloom.streaming.misses import SWEEPS, after_changes, run_stream, streamed_misses
@@ -95,3 +100,40 @@ def w04_guarded(spark, sf):
     run_stream(rows, guard, f"{folder}/progress")
     written = spark.read.parquet(f"{folder}/rows").groupBy("source_id").agg(F.count("*").alias("written"))
     return guard.streaks().join(written, "source_id")
+
+
+@query("s05_postings_format", """WITH p AS (SELECT page_id, 's' || page_id % 3 AS source, 'https://p.example/' || CASE WHEN page_id % 13 = 12 THEN 'about/' ELSE '' END || page_id AS url, page_id % 13 = 12 AS out FROM pages),
+n AS (SELECT *, sum(CAST(NOT out AS INT)) OVER (PARTITION BY source ORDER BY page_id) AS k FROM p)
+SELECT source, url, 'skipped' AS kind, CAST(NULL AS VARCHAR) AS title, 'excluded' AS message FROM n WHERE out UNION ALL SELECT source, url, 'seen', NULL, NULL FROM n WHERE NOT out
+UNION ALL SELECT source, url, CASE WHEN page_id % 11 = 0 THEN 'error' WHEN page_id % 3 = 0 THEN 'skipped' ELSE 'job' END, CASE WHEN page_id % 11 > 0 AND page_id % 3 > 0 THEN 'Job ' || page_id END, CASE WHEN page_id % 11 = 0 THEN 'HTTP 404' WHEN page_id % 3 = 0 THEN 'no posting' END FROM n WHERE NOT out AND k <= 60""")
+def s05_format(spark, sf):
+    """The pages as three sources with a budget of 60 pages each, read by their own format."""
+    k = F.col("page_id")
+    url = F.concat(F.lit("https://p.example/"), F.when(k % 13 == 12, "about/").otherwise(""), k.cast("string"))
+    rows = J.demo_pages(spark, sf).select("page_id", F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"), url.alias("url"), F.when(k % 11 == 0, 404).otherwise(200).alias("status"), "html")
+    folder = shared_folder(spark)
+    crawl.write_pages(rows, f"{folder}/pages", "page_id")
+    crawl.register(spark)
+    out = spark.read.format("postings").option("path", f"{folder}/pages").option("maxDetailPages", "60").option("excludePatterns", '["/about/"]').load()
+    return out.select("source", "url", "kind", F.get_json_object("posting", "$.title").alias("title"), "message")
+
+
+_TAKE = lambda name, query, before: f"{name} AS (SELECT user_id, '{query}' AS query FROM (SELECT user_id, min(rn) AS first FROM e WHERE event_type = '{query}' {before} GROUP BY 1) ORDER BY first LIMIT 20)"
+
+
+@query("s09_search_stream", f"""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+{_TAKE('a', 'view', '')}, {_TAKE('b', 'click', 'AND user_id NOT IN (SELECT user_id FROM a)')}, {_TAKE('c', 'purchase', 'AND user_id NOT IN (SELECT user_id FROM a UNION ALL SELECT user_id FROM b)')}
+SELECT CAST(user_id AS VARCHAR) AS external_id, query FROM (FROM a UNION ALL FROM b UNION ALL FROM c)""")
+def s09_stream(spark, sf):
+    """Events as answers to a search for each type, fifty records a page, users as postings: what three searches with a budget of 60 take."""
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    e = M.table(spark, sf, "events").where("event_type in ('view', 'click', 'purchase')").select("event_type", (F.row_number().over(w) - 1).alias("n"), F.struct(F.col("user_id").alias("jobId"), F.concat(F.lit("https://p.example/"), F.col("user_id").cast("string")).alias("jobUrl")).alias("r"))
+    pages = e.groupBy(F.col("event_type").alias("query"), F.floor(F.col("n") / 50).cast("int").alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "r"))), lambda x: x.r).alias("data"))
+    folder = shared_folder(spark)
+    pages.select("query", "page", F.lit(200).alias("status"), F.to_json(F.struct("data")).alias("body")).write.parquet(f"{folder}/answers")
+    # The pages of a query end with one that has no records.
+    ends = pages.groupBy("query").agg((F.max("page") + 1).alias("page")).select("query", "page", F.lit(200).alias("status"), F.lit('{"data":[]}').alias("body"))
+    ends.write.mode("append").parquet(f"{folder}/answers")
+    crawl.register(spark)
+    found = appended(spark.readStream.format("search_pages").option("path", f"{folder}/answers").option("queries", json.dumps(["view", "click", "purchase"])).option("maxJobs", "60").load(), folder)
+    return found.where("kind = 'job'").select("external_id", "query")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,13 +15,21 @@ DEPTH = 8
 REQUIRED = ["title", "description", "hiringOrganization", "datePosted", "jobLocation"]
 
 
+#: An ld+json script, quoted type or not.
+BLOCK = r"""(?is)<script[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>"""
+
+
 def blocks(html: Column) -> Column:
-    """Bodies of all ld+json scripts, quoted type or not."""
-    return F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>"""), 1)
+    """Bodies of all ld+json scripts."""
+    return F.regexp_extract_all(html, F.lit(BLOCK), 1)
+
+
+# References in blocks that were escaped as a whole; & comes last.
+ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
 def decode_entities(c: Column) -> Column:
-    for a, b in (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    for a, b in ENTITIES:
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
@@ -58,6 +67,25 @@ def _walk(node: object, depth: int = 0) -> Iterator[dict]:
                     yield from _walk(x, depth + 1)
 
 
+def best_of_page(html: str) -> dict | None:
+    """The posting with most keys among a page's blocks, the first of equals, read as `loose_json` reads; for readers that have no Column."""
+    best = None
+    for body in re.findall(BLOCK, html):
+        bare = re.sub(r"^\s*(?://)?\s*<!\[CDATA\[|(?://)?\s*\]\]>\s*$", "", body.strip()).strip()
+        plain = bare
+        for a, b in ENTITIES:
+            plain = plain.replace(a, b)
+        for text in (body.strip(), bare, plain, re.sub(r",(\s*[}\]])", r"\1", plain)):
+            try:
+                found = json.loads(text)
+            except ValueError:
+                continue
+            for node in _walk(found):
+                best = node if best is None or len(node) > len(best) else best
+            break
+    return best
+
+
 def nodes(text: Column) -> Column:
     """Every posting node of a JSON text, down to DEPTH: Catalyst has no walk of unknown depth."""
 
