@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from jobloom.functions.salary import stats_value
 from jobloom.sources.model import ALIVE
+from jobloom.sources.store import shared_folder
 
 
 def alive() -> Column:
@@ -114,6 +117,62 @@ def nearest_rank(rows: DataFrame, group: str, value: str, shares: dict[str, floa
     return hit.groupBy(group).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("share") == name, F.col("v"))).alias(name) for name in shares])
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], parts: int = 1024, least: int = 100_000) -> DataFrame:
+    """(keys..., n, a double for each share q): exact percentiles of each group's values between ranks, n the non-null values; a group without one has null.
+
+    The value at (n - 1) * q, between two neighbours in proportion. Values are counted in `parts` equal parts of the group's range; a
+    part in which a wanted rank falls is divided again until it holds at most `least` distinct values (or one), and only then put in
+    order, distinct values with their counts. A group of any size, with any number of distinct values, is thus counted, never collected.
+    """
+    v = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).cast("double").alias("v"))
+    # Groups by one name, null keys included.
+    names = [f"_k{i}" for i in range(len(keys))]
+    v = v.select(F.struct(*names).alias("g") if names else F.struct(F.lit(1).alias("_k")).alias("g"), "v")
+    groups = v.groupBy("g").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    rank = lambda q: (F.col("n") - 1) * F.lit(float(q))
+    wanted = F.explode(F.array_distinct(F.flatten(F.array(*[F.array(F.floor(rank(q)), F.ceil(rank(q))) for q in shares.values()])))).alias("at")
+    # (g, at, lo, hi, before): the value of rank `at` lies in [lo, hi], before which stand `before` values.
+    open_ = groups.where("n > 0").select("g", wanted, "lo", "hi", F.lit(0).cast("long").alias("before"))
+    own = v.where("v is not null")
+    folder, found, spark = shared_folder(rows.sparkSession), None, rows.sparkSession
+    for k in itertools.count():
+        ranges = open_.select("g", "lo", "hi", "before").distinct()
+        inside = own.join(ranges, "g").where("v >= lo and v <= hi")
+        # Equal bounds are one value.
+        part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts), F.lit(parts - 1))).otherwise(0)
+        cells = inside.groupBy("g", "lo", "hi", "before", part.alias("part")).agg(F.count("*").alias("m"), F.min("v").alias("a"), F.max("v").alias("b"), F.approx_count_distinct("v").alias("d"))
+        upto = F.sum("m").over(Window.partitionBy("g", "lo", "hi", "before").orderBy("part"))
+        cells = cells.withColumn("end", F.col("before") + upto).withColumn("start", F.col("end") - F.col("m")).select("g", "lo", "hi", "before", "start", "end", "a", "b", "d")
+        hit = open_.join(cells, ["g", "lo", "hi", "before"]).where("at >= start and at < end").select("g", "at", F.col("a").alias("lo"), F.col("b").alias("hi"), F.col("start").alias("before"), "d")
+        # Written, so that the next round begins here.
+        hit.write.parquet(f"{folder}/{k}")
+        hit = spark.read.schema(hit.schema).parquet(f"{folder}/{k}")
+        ready = hit.where((F.col("d") <= least) | (F.col("lo") == F.col("hi")))
+        few = own.join(ready.select("g", "lo", "hi", "before").distinct(), "g").where("v >= lo and v <= hi").groupBy("g", "lo", "hi", "before", "v").agg(F.count("*").alias("m"))
+        few = few.withColumn("end", F.col("before") + F.sum("m").over(Window.partitionBy("g", "lo", "hi", "before").orderBy("v")))
+        values = few.join(ready.select("g", "lo", "hi", "before", "at"), ["g", "lo", "hi", "before"]).where((F.col("at") < F.col("end")) & (F.col("at") >= F.col("end") - F.col("m"))).select("g", "at", "v")
+        found = values if found is None else found.union(values)
+        open_ = hit.where((F.col("d") > least) & (F.col("lo") < F.col("hi"))).select("g", "at", "lo", "hi", "before")
+        if not open_.limit(1).count():
+            break
+    ranks = found.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("v"))
+
+    def between(q: float) -> Column:
+        low, high = F.try_element_at("v", F.floor(rank(q))), F.try_element_at("v", F.ceil(rank(q)))
+        return low + (high - low) * (rank(q) - F.floor(rank(q)))
+
+    out = groups.select("g", "n").join(ranks, "g", "left")
+    return out.select(*[F.col(f"g._k{i}").alias(k) for i, k in enumerate(keys)], "n", *[between(q).alias(name) for name, q in shares.items()])
+
+
+def salary_by_refined(postings: DataFrame, key: str, least: int = 3) -> DataFrame:
+    """`salary_by` for groups of any number of distinct values."""
+    rows = postings.where(alive() & F.col(key).isNotNull()).withColumn("_v", F.when(disclosed(), value()))
+    q = quantiles(rows, [key], "_v", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    total = rows.groupBy(key).agg(F.count("*").alias("total"))
+    return q.where(F.col("n") >= least).join(total, key).select(key, F.col("n").alias("sample"), "total", *[whole(F.col(c)).alias(c) for c in ("p25", "p50", "p75")])
+
+
 def run_rollup(runs: DataFrame) -> DataFrame:
     """(run_id, ok boolean, seen, error) -> one row a run: FAILED if all parts failed, PARTIAL if any, else SUCCESS."""
     out = runs.groupBy("run_id").agg(F.sum("seen").alias("seen"), F.count_if(~F.col("ok")).alias("bad"), F.count("*").alias("parts"), F.array_join(F.array_sort(F.collect_list("error")), "\n").alias("errors"))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from jobloom.functions import classify as C
 from jobloom.functions.text import tech_key
 from jobloom.operators import fields as O
-from jobloom.operators import fit, stats
+from jobloom.operators import fit, stats, terms
 from jobloom.plans.matching import EXCLUDES, GRAY, MATCH_SQL, STRONG
 from jobloom.plans.registry import query
 from jobloom.plans.stats import ALIVE, AS_OF_SQL, FACET, PAY, YEARS, as_of
+from jobloom.plans.text import key_sql
 from jobloom.sources import model as M
 
 FIELD = O.Definition("hardware", [*STRONG, *(f"~{g}" for g in GRAY)], EXCLUDES, ["NATION_1", "NATION_3", "NATION_7"], ["SENIOR", "MID", "MANAGER"], 1500)
@@ -203,6 +204,30 @@ def j13(spark, sf):
     return M.posting_titles(spark, sf).select("posting_id", F.explode(C.terms_hit(C.match_key(F.col("description")), STRONG)).alias("term"))
 
 
+_FIRST = f"SELECT DISTINCT array_to_string(string_split(k, ' ')[1:2], ' ') AS term FROM (SELECT {key_sql('text')} AS k FROM documents) WHERE k <> ''"
+
+
+@query("j13_many_terms", f"""WITH d AS (SELECT doc_id, ' ' || {key_sql('text')} AS k FROM documents), v AS ({_FIRST}) SELECT doc_id, term FROM d JOIN v ON contains(k, ' ' || term)""")
+def j13_many(spark, sf):
+    """The first two words of every document are a dictionary; which of its terms every document holds."""
+    return terms.find_terms(keys(spark, sf), first_words(spark, sf).withColumn("term_key", F.col("term")), ["doc_id"]).drop("term_key")
+
+
+@query("j12_many_skills", f"""WITH d AS (SELECT doc_id, ' ' || {key_sql('text')} || ' ' AS k FROM documents), v AS ({_FIRST}) SELECT term, count(DISTINCT doc_id) AS n FROM d JOIN v ON contains(k, ' ' || term || ' ') GROUP BY 1""")
+def j12_many(spark, sf):
+    """The same as whole words: how many documents hold each."""
+    found = terms.find_terms(keys(spark, sf), first_words(spark, sf).withColumn("term_key", F.col("term")), ["doc_id"], whole=True)
+    return found.groupBy("term").agg(F.count("*").alias("n"))
+
+
+def keys(spark, sf):
+    return M.table(spark, sf, "documents").select("doc_id", C.match_key(F.col("text")).alias("key"))
+
+
+def first_words(spark, sf):
+    return keys(spark, sf).where("key <> ''").select(F.array_join(F.slice(F.split("key", " "), 1, 2), " ").alias("term")).distinct()
+
+
 @query("m06_main_skills", "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'dotnet-backend' WHEN 1 THEN 'react-frontend' WHEN 2 THEN 'backend-khac' ELSE 'fullstack-khac' END AS role FROM orders")
 def m06_main(spark, sf):
     k = F.col("o_orderkey") % 4

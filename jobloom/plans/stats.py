@@ -41,12 +41,28 @@ def a02(spark, sf):
     return stats.daily_intake(M.postings(spark, sf), F.lit("2000-06-15").cast("date"), 30)
 
 
+FACET = "CASE WHEN is_public THEN nullif(greatest(coalesce(salary_min, 0), coalesce(salary_max, 0)), 0) END"
+
+
 @query("a03_salary_by_level", f"""{P}
 SELECT level, count(v) AS sample, count(*) AS total, {quart('v')} FROM (SELECT level, CASE WHEN {SHOWN} THEN {VALUE} END AS v FROM posting WHERE {ALIVE} AND level IS NOT NULL) GROUP BY level HAVING count(v) >= 3""")
 def a03(spark, sf):
     return stats.salary_by(M.postings(spark, sf), "level")
 
 
+@query("a03_salary_by_level_refined", f"""{P}
+SELECT level, count(v) AS sample, count(*) AS total, {quart('v')} FROM (SELECT level, CASE WHEN {SHOWN} THEN {VALUE} END AS v FROM posting WHERE {ALIVE} AND level IS NOT NULL) GROUP BY level HAVING count(v) >= 3""")
+def a03_refined(spark, sf):
+    return stats.salary_by_refined(M.postings(spark, sf), "level")
+
+
+@query("a18_medians_refined", f"""{P}, {M.SKILL_SQL}
+SELECT skill, level, count({FACET}) AS n, quantile_cont(CAST({FACET} AS DOUBLE), 0.5) AS median, quantile_cont(CAST({FACET} AS DOUBLE), 0.9) AS p90 FROM posting JOIN skill USING (posting_id) WHERE {ALIVE} GROUP BY 1, 2""")
+def a18_refined(spark, sf):
+    p = M.postings(spark, sf).where(stats.alive()).select("posting_id", "level", S.facet_value(F.col("is_public"), F.col("salary_min"), F.col("salary_max")).alias("v"))
+    return stats.quantiles(p.join(M.posting_skills(spark, sf), "posting_id"), ["skill", "level"], "v", {"median": 0.5, "p90": 0.9})
+
+
 @query("a04_salary_overall", f"{P} SELECT count(v) AS sample, {quart('v')} FROM (SELECT CASE WHEN {SHOWN} THEN {VALUE} END AS v FROM posting WHERE {ALIVE})")
 def a04(spark, sf):
     return stats.salary_overall(M.postings(spark, sf))
@@ -117,7 +133,6 @@ def a14(spark, sf):
     return stats.nearest_rank(p, "source_id", "salary_min", {"p50": 0.5, "p90": 0.9})
 
 
-FACET = "CASE WHEN is_public THEN nullif(greatest(coalesce(salary_min, 0), coalesce(salary_max, 0)), 0) END"
 
 
 @query("a15_median_by_level", f"{P} SELECT level, count(v) AS n, CAST(floor(quantile_cont(CAST(v AS DOUBLE), 0.5) + 0.5) AS BIGINT) AS median FROM (SELECT level, {FACET} AS v FROM posting WHERE {ALIVE}) GROUP BY 1")

@@ -188,6 +188,15 @@ def e04(spark, sf):
     return J.collect_postings(J.demo_pages(spark, sf)).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
+@query("e04_all_postings", """SELECT page_id, 'Job ' || page_id AS title FROM pages WHERE page_id % 3 > 0 UNION ALL SELECT page_id, 'Other ' || page_id FROM pages WHERE page_id % 3 = 2 UNION ALL SELECT page_id, left(url, 40) FROM pages""")
+def e04_all(spark, sf):
+    """Blocks of every shape, and one of each page that holds its posting deep within."""
+    pages = J.demo_pages(spark, sf).join(M.table(spark, sf, "pages").select("page_id", "url"), "page_id")
+    deep = F.to_json(F.struct(F.array(F.struct(F.struct(F.lit("JobPosting").alias("@type"), F.left("url", F.lit(40)).alias("title")).alias("main"))).alias("items")))
+    html = F.concat("html", F.lit('<script type="application/ld+json">'), deep, F.lit("</script>"))
+    return J.all_postings(pages.select("page_id", html.alias("html"))).select("page_id", F.get_json_object("posting", "$.title").alias("title"))
+
+
 @query("s02_sitemap_entries", "SELECT 'https://example.org/job-' || page_id || '?a=1&b=2' AS loc, CASE WHEN page_id % 2 = 0 THEN '2026-01-01' END AS lastmod FROM pages")
 def s02(spark, sf):
     url = F.concat(F.lit("<url><loc><![CDATA[https://example.org/job-"), F.col("page_id").cast("string"), F.lit("?a=1&amp;b=2]]></loc>"), F.when(F.col("page_id") % 2 == 0, F.lit("<lastmod>2026-01-01</lastmod>")).otherwise(F.lit("")), F.lit("</url>"))

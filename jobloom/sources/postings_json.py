@@ -102,6 +102,45 @@ def collect_postings(pages: DataFrame, id_col: str = "page_id", html_col: str =
     return rows.select(id_col, "block", F.posexplode(nodes(loose_json(F.col("body")))).alias("node", "posting"))
 
 
+@F.udtf(returnType="node int, posting string")
+class WalkedPostings:
+    """The posting nodes of a JSON text wherever they stand, down to DEPTH."""
+
+    def eval(self, text: str):
+        for k, node in enumerate(_walk(json.loads(text))):
+            yield k, json.dumps(node, ensure_ascii=False)
+
+
+def _upper_nodes(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """(id, block, text, found, more): of each readable block the postings among the top, its elements and those of its graph, and whether others may lie deeper."""
+    rows = pages.select(id_col, F.posexplode(blocks(F.col(html_col))).alias("block", "body")).select(id_col, "block", loose_json(F.col("body")).alias("text")).where("text is not null")
+    kind = lambda v: F.try_variant_get(v, "$['@type']", "string")
+    rows = rows.withColumn("v", F.parse_json("text"))
+    top = is_posting(kind(F.col("v")))
+    # Null where the top is neither a list nor has a list as its graph.
+    listed = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$['@graph']", "array<variant>"))
+    among = F.filter(F.coalesce(listed, F.array().cast("array<variant>")), lambda x: is_posting(kind(x)))
+    found = F.when(top, F.array(F.to_json("v"))).otherwise(F.transform(among, lambda x: F.to_json(x)))
+    rows = rows.select(id_col, "block", "text", found.alias("found"))
+    # Every posting's type is said in the text; escapes might hide one.
+    return rows.withColumn("more", (F.regexp_count("text", F.lit('JobPosting"')) > F.size("found")) | F.col("text").contains("\\u"))
+
+
+def plain_postings(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, block, node, posting) of the postings at the top of a block, in its list or in its graph, by built-in functions alone."""
+    return _upper_nodes(pages, id_col, html_col).select(id_col, "block", F.posexplode("found").alias("node", "posting"))
+
+
+def all_postings(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, block, node, posting) of every posting node: plain blocks by built-in functions, those that say more by a walk in Python.
+
+    The same nodes as `collect_postings`; keys of plain ones are in the order of their names.
+    """
+    rows = _upper_nodes(pages, id_col, html_col)
+    deep = rows.where("more").select(id_col, "block", "text").lateralJoin(WalkedPostings(F.col("text").outer())).select(id_col, "block", "node", "posting")
+    return rows.where("not more").select(id_col, "block", F.posexplode("found").alias("node", "posting")).union(deep)
+
+
 def best_block(postings: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Of a page's postings the one with most keys, the first of equals."""
     n = F.size(F.json_object_keys("posting"))
