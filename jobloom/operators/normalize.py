@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,15 +18,23 @@ LACKS = {"title": "thiếu title", "company": "thiếu hiringOrganization.name",
 UNNAMED = "Không rõ"
 
 
-def text_at(posting: Column, path: str) -> Column:
+Get = Callable[[Column, str], Column]
+
+
+def of_variant(v: Column, path: str) -> Column:
+    """What `get_json_object` gives of a JSON text, of a variant that is parsed already."""
+    return F.try_variant_get(v, path, "string")
+
+
+def text_at(posting: Column, path: str, get: Get = F.get_json_object) -> Column:
     """A text or number at a path of a JSON text; '' for anything else."""
-    return F.coalesce(F.get_json_object(posting, path), F.lit(""))
+    return F.coalesce(get(posting, path), F.lit(""))
 
 
-def record_at(posting: Column, path: str) -> Column:
+def record_at(posting: Column, path: str, get: Get = F.get_json_object) -> Column:
     """The object at a path, or the first of an array's elements if it is one; else null."""
-    x = F.ltrim(F.get_json_object(posting, path))
-    first = F.get_json_object(posting, f"{path}[0]")
+    x = F.ltrim(get(posting, path))
+    first = get(posting, f"{path}[0]")
     return F.when(x.startswith("{"), x).when(x.startswith("[") & F.ltrim(first).startswith("{"), first)
 
 
@@ -33,9 +43,9 @@ def is_hybrid(title: Column, description: Column) -> Column:
     return text.rlike(r"(?<![a-z0-9_])(?:hybrid|ket hop|kết hợp)(?![a-z0-9_])")
 
 
-def industry_of(posting: Column) -> Column:
+def industry_of(posting: Column, get: Get = F.get_json_object) -> Column:
     """The first industry that is said, else the first occupational category, cut as a label."""
-    first = lambda path: F.try_element_at(F.filter(F.transform(json_items(F.get_json_object(posting, path)), T.normalize_whitespace), lambda x: x != ""), F.lit(1))
+    first = lambda path: F.try_element_at(F.filter(F.transform(json_items(get(posting, path)), T.normalize_whitespace), lambda x: x != ""), F.lit(1))
     return T.let(F.coalesce(first("$.industry"), first("$.occupationalCategory")), T.truncate_label)
 
 
@@ -55,10 +65,10 @@ def logo_of(organization: Column) -> Column:
     return F.when(F.ltrim(logo).startswith("{") | F.ltrim(logo).startswith("["), F.nullif(text_at(record_at(organization, "$.logo"), "$.url"), F.lit(""))).otherwise(F.nullif(logo, F.lit("")))
 
 
-def declared_skills(posting: Column, more: Column) -> Column:
+def declared_skills(posting: Column, more: Column, get: Get = F.get_json_object) -> Column:
     """Distinct items of skills, categories and qualifications, then `more`, lists in texts taken apart."""
     named = lambda x: F.when(F.ltrim(x).startswith("{"), F.get_json_object(x, "$.name")).otherwise(x)
-    of = lambda path: F.flatten(F.transform(F.filter(F.transform(json_items(F.get_json_object(posting, path)), named), lambda x: x.isNotNull()), lambda x: T.skill_texts(x)))
+    of = lambda path: F.flatten(F.transform(F.filter(F.transform(json_items(get(posting, path)), named), lambda x: x.isNotNull()), lambda x: T.skill_texts(x)))
     extra = F.flatten(F.transform(F.coalesce(more, F.array().cast("array<string>")), lambda x: T.skill_texts(x)))
     none = F.array().cast("array<string>")
     return F.array_distinct(F.concat(*[F.coalesce(of(p), none) for p in ("$.skills", "$.occupationalCategory", "$.qualifications")], extra))
@@ -71,22 +81,24 @@ def normalize(postings: DataFrame, id_pattern: str | None = None, street_first:
     one, else the page's text if that is public. Schedules are read in the whole description, of which DESCRIPTION_BYTES are kept.
     A posting without a date counts as posted `as_of` (now).
     """
-    p = F.col("posting")
-    row = postings.withColumns(
+    # The JSON is parsed once a row.
+    row, p = T.step(postings, _v=F.try_parse_json("posting")), F.col("_v")
+    text, record, items = (lambda path: text_at(p, path, of_variant)), (lambda path: record_at(p, path, of_variant)), (lambda path: of_variant(p, path))
+    row = row.withColumns(
         {
-            "url": T.canonical_url(F.coalesce(F.nullif(text_at(p, "$.url"), F.lit("")), F.col("page_url"))), "title": T.normalize_whitespace(text_at(p, "$.title")), "_org": record_at(p, "$.hiringOrganization"), "_full": T.html_to_text(text_at(p, "$.description")),
-            "locations": extract_locations(F.get_json_object(p, "$.jobLocation"), street_first), "posted_at": C.parse_date(text_at(p, "$.datePosted")), "expires_at": C.parse_date(text_at(p, "$.validThrough"), True),
-            "_base": F.try_variant_get(F.try_parse_json(p), "$.baseSalary", "variant"), "_experience": record_at(p, "$.experienceRequirements"),
+            "url": T.canonical_url(F.coalesce(F.nullif(text("$.url"), F.lit("")), F.col("page_url"))), "title": T.normalize_whitespace(text("$.title")), "_org": record("$.hiringOrganization"), "_full": T.html_to_text(text("$.description")),
+            "locations": extract_locations(items("$.jobLocation"), street_first), "posted_at": C.parse_date(text("$.datePosted")), "expires_at": C.parse_date(text("$.validThrough"), True),
+            "_base": F.try_variant_get(p, "$.baseSalary", "variant"), "_experience": record("$.experienceRequirements"),
         }
     ).withColumns(
         {
             "external_id": F.coalesce(F.nullif(T.id_from_url(F.col("url"), id_pattern), F.lit("")), F.left(F.sha2("url", 256), F.lit(24))), "title_norm": T.title_norm(F.col("title")),
             "company_name": F.coalesce(F.nullif(T.normalize_whitespace(text_at(F.col("_org"), "$.name")), F.lit("")), F.lit(UNNAMED)), "description_text": F.nullif(T.truncate_bytes(F.col("_full"), DESCRIPTION_BYTES), F.lit("")),
-            "_declared": S.parse_salary_json(F.col("_base")), "_written": S.parse_salary(F.col("salary_text")), "_telecommute": F.upper(text_at(p, "$.jobLocationType")) == "TELECOMMUTE",
+            "_declared": S.parse_salary_json(F.col("_base")), "_written": S.parse_salary(F.col("salary_text")), "_telecommute": F.upper(text("$.jobLocationType")) == "TELECOMMUTE",
             "_months": positive_number(F.get_json_object("_experience", "$.monthsOfExperience")), "schedule": C.parse_schedule(F.nullif(F.col("_full"), F.lit(""))), "district": C.first_district(F.transform("locations", lambda x: x.raw)),
         }
     )
-    plain_experience = F.when(F.col("_experience").isNull(), F.nullif(text_at(p, "$.experienceRequirements"), F.lit("")))
+    plain_experience = F.when(F.col("_experience").isNull(), F.nullif(text("$.experienceRequirements"), F.lit("")))
     head = lambda n: F.coalesce(F.left("description_text", F.lit(n)), F.lit(""))
     row = row.withColumns(
         {
@@ -105,9 +117,9 @@ def normalize(postings: DataFrame, id_pattern: str | None = None, street_first:
         "external_id": F.col("external_id"), "url": F.col("url"), "title": F.col("title"), "title_norm": F.col("title_norm"), "company_name": F.col("company_name"), "company_key": F.col("company_key"), "company_slug": T.slug(F.coalesce(F.nullif("company_key", F.lit("")), "company_name")),
         "company_website": F.nullif(F.coalesce(F.nullif(text_at(F.col("_org"), "$.sameAs"), F.lit("")), text_at(F.col("_org"), "$.url")), F.lit("")), "company_logo_url": logo_of(F.col("_org")), "description_text": F.col("description_text"),
         "content_hash": F.sha2(F.concat_ws("|", "title", "company_key", F.coalesce("description_text", F.lit("")), number("salary.min"), number("salary.max")), 256), "salary": F.col("salary"), "salary_raw": F.col("salary_raw"),
-        "employment_type": C.employment_type(json_items(F.get_json_object(p, "$.employmentType"))), "work_mode": F.coalesce("work_mode", F.when(F.col("_remote"), "REMOTE").when(is_hybrid(F.col("title"), F.col("description_text")), "HYBRID").otherwise("ONSITE")),
-        "level": F.col("level"), "years_min": F.col("_years.min"), "years_max": F.col("_years.max"), "industry": industry_of(p), "district": F.col("district"), "saturday": F.col("schedule.saturday"), "schedule_raw": F.col("schedule.raw"),
-        "posted_at": F.coalesce("posted_at", F.current_timestamp() if as_of is None else as_of), "expires_at": F.col("expires_at"), "locations": F.col("locations"), "skills": declared_skills(p, F.col("skills")),
+        "employment_type": C.employment_type(json_items(items("$.employmentType"))), "work_mode": F.coalesce("work_mode", F.when(F.col("_remote"), "REMOTE").when(is_hybrid(F.col("title"), F.col("description_text")), "HYBRID").otherwise("ONSITE")),
+        "level": F.col("level"), "years_min": F.col("_years.min"), "years_max": F.col("_years.max"), "industry": industry_of(p, of_variant), "district": F.col("district"), "saturday": F.col("schedule.saturday"), "schedule_raw": F.col("schedule.raw"),
+        "posted_at": F.coalesce("posted_at", F.current_timestamp() if as_of is None else as_of), "expires_at": F.col("expires_at"), "locations": F.col("locations"), "skills": declared_skills(p, F.col("skills"), of_variant),
         "parse_status": F.when(F.size("_problems") == 0, "OK").otherwise("PARTIAL"), "parse_error": F.nullif(F.array_join("_problems", "; "), F.lit("")),
     }
     given = {"posting", "page_url", "salary_text", *made}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions import salary as S
+from jobloom.functions.text import step
 from jobloom.operators.normalize import normalize
 
 PAY = ["salary_min", "salary_max", "currency", "period", "is_public", "parse_error", "parse_status"]
@@ -30,13 +33,13 @@ def repair_salary(stored: DataFrame, usd_vnd: float = S.USD_VND) -> DataFrame:
     outcome is unreadable, same or changed; old and new are structs of PAY. A problem with pay is replaced in parse_error, others
     stay; FAILED rows stay failed.
     """
-    rows = stored.where("raw_key is null and salary_raw is not null").withColumn("_s", S.salary_from_raw(F.col("salary_raw"), usd_vnd))
-    rows = rows.withColumn("_e", S.replace_salary_problem(F.col("parse_error"), S.salary_problem(F.col("_s.out_of_range"), F.col("salary_raw"))))
+    rows = step(stored.where("raw_key is null and salary_raw is not null"), _s=S.salary_from_raw(F.col("salary_raw"), usd_vnd))
+    rows = step(rows, _e=S.replace_salary_problem(F.col("parse_error"), S.salary_problem(F.col("_s.out_of_range"), F.col("salary_raw"))))
     status = F.when(F.col("parse_status") == "FAILED", F.col("parse_status")).when(F.col("_e").isNotNull(), "PARTIAL").otherwise("OK")
-    new = F.struct(F.col("_s.min").alias("salary_min"), F.col("_s.max").alias("salary_max"), F.col("_s.currency").alias("currency"), F.col("_s.period").alias("period"), F.col("_s.is_public").alias("is_public"), F.col("_e").alias("parse_error"), status.alias("parse_status"))
-    rows = rows.withColumns({"old": F.struct(*PAY), "new": new})
-    outcome = F.when(F.col("_s").isNull(), "unreadable").when(F.forall(F.array(*[F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) for c in PAY]), lambda x: x), "same").otherwise("changed")
-    return rows.select("posting_id", outcome.alias("outcome"), "old", "new")
+    made = {"salary_min": F.col("_s.min"), "salary_max": F.col("_s.max"), "currency": F.col("_s.currency"), "period": F.col("_s.period"), "is_public": F.col("_s.is_public"), "parse_error": F.col("_e"), "parse_status": status}
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(v) for c, v in made.items()])
+    outcome = F.when(F.col("_s").isNull(), "unreadable").when(same, "same").otherwise("changed")
+    return rows.select("posting_id", outcome.alias("outcome"), F.struct(*PAY).alias("old"), F.struct(*[v.alias(c) for c, v in made.items()]).alias("new"))
 
 
 def repair_counts(repaired: DataFrame) -> DataFrame:

@@ -221,7 +221,7 @@ def j12_many(spark, sf):
 
 
 def keys(spark, sf):
-    return M.table(spark, sf, "documents").select("doc_id", C.match_key(F.col("text")).alias("key"))
+    return M.spread(M.table(spark, sf, "documents")).select("doc_id", C.match_key(F.col("text")).alias("key"))
 
 
 def first_words(spark, sf):
@@ -235,7 +235,7 @@ def m06_main(spark, sf):
     some = lambda at, *xs: F.when(k == at, F.array(*map(F.lit, xs))).otherwise(none)
     # Skills of the text count only where title and declaration have none.
     main = C.main_skills(some(0, "csharp"), some(1, "react"), F.when(k == 3, F.array(F.lit("vue"), F.lit("php"))).otherwise(F.array(F.lit("java"))))
-    return M.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), C.software_role(F.lit("Developer"), main).alias("role"))
+    return M.spread(M.table(spark, sf, "orders")).select(F.col("o_orderkey").alias("k"), C.software_role(F.lit("Developer"), main).alias("role"))
 
 
 @query("a19_gray_terms", f"{MATCH_SQL} SELECT 'widget' AS term, count(*) FILTER (contains(tk, ' widget') OR contains(dk, ' widget')) AS n, count(*) FILTER ((contains(tk, ' widget') OR contains(dk, ' widget')) AND th > 0) AS with_strong FROM t JOIN m USING (posting_id) WHERE rejected_by IS NULL")

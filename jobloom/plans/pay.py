@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobloom.functions import salary as S
+from jobloom.functions.text import step
 from jobloom.operators import stats as O
 from jobloom.plans.registry import query
 from jobloom.sources import model as M
@@ -28,7 +29,7 @@ def pick_sql(values: list[str], key: str = "o_orderkey") -> str:
 
 
 def orders(spark, sf):
-    return M.table(spark, sf, "orders")
+    return M.spread(M.table(spark, sf, "orders"))
 
 
 @query("y02_unit", f"SELECT k, CASE WHEN unit = 'ty' THEN 1e9 WHEN unit[1:1] IN ('t', 'c', 'm') THEN 1e6 WHEN unit[1:1] IN ('n', 'k') THEN 1e3 ELSE 1.0 END::DOUBLE AS multiplier FROM (SELECT o_orderkey AS k, {pick_sql(UNITS)} AS unit FROM orders)")
@@ -77,7 +78,7 @@ def declared_pay(spark, sf):
 
 @query("y06_declared_salary", f"WITH {_DECLARED} SELECT k, kind < 5 AS found, CASE WHEN kind < 5 AND NOT out_of_range THEN least(lo, coalesce(hi, lo)) END AS low, CASE WHEN kind < 5 AND NOT out_of_range AND hi IS NOT NULL THEN greatest(lo, hi) END AS high, CASE WHEN kind < 5 THEN currency END AS currency, CASE WHEN kind < 5 THEN period END AS period FROM w WHERE NOT (kind = 4 AND out_of_range)")
 def y06(spark, sf):
-    r = declared_pay(spark, sf).select("k", S.parse_salary_json(F.parse_json("base")).alias("r"))
+    r = step(declared_pay(spark, sf), r=S.parse_salary_json(F.parse_json("base")))
     return r.select("k", F.col("r").isNotNull().alias("found"), F.col("r.min").alias("low"), F.col("r.max").alias("high"), "r.currency", "r.period")
 
 
@@ -93,7 +94,7 @@ def y08(spark, sf):
  FROM w WHERE k % 2 = 0 UNION ALL SELECT o_orderkey, true, (o_orderkey % 40 + 5) * 1000000 FROM orders WHERE o_orderkey % 2 = 1""")
 def y09(spark, sf):
     raw = F.when(F.col("k") % 2 == 1, F.concat(F.lit("Từ "), (F.col("k") % 40 + 5).cast("string"), F.lit(" triệu"))).when(F.col("k") % 7 == 0, F.left("base", F.length("base") - 1)).otherwise(F.col("base"))
-    return declared_pay(spark, sf).select("k", S.salary_from_raw(raw).alias("r")).select("k", "r.is_public", F.col("r.min").alias("low"))
+    return step(step(declared_pay(spark, sf), raw=raw), r=S.salary_from_raw(F.col("raw"))).select("k", "r.is_public", F.col("r.min").alias("low"))
 
 
 PROBLEMS = ["thiếu title", f"{S.PROBLEM}: 5", f"thiếu title; {S.PROBLEM}: 900 triệu; thiếu description", "", f"{S.PROBLEM}: a; thiếu jobLocation"]

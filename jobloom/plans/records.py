@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from jobloom.functions import calendar as D
 from jobloom.functions import classify as C
 from jobloom.functions import places as P
+from jobloom.functions.text import step
 from jobloom.operators import normalize as N
 from jobloom.plans.pay import pick, pick_sql
 from jobloom.plans.registry import query
@@ -17,7 +18,7 @@ AS_OF = "1998-08-02 09:30:00"
 
 
 def orders(spark, sf):
-    return M.table(spark, sf, "orders")
+    return M.spread(M.table(spark, sf, "orders"))
 
 
 def key():
@@ -61,7 +62,8 @@ def l05(spark, sf):
     name = F.struct(F.lit(" Cà  Mau ").alias("name"))
     place = F.when(key() % 4 == 0, F.lit("Quận 1, TP HCM")).when(key() % 4 == 1, F.concat(F.lit("["), F.to_json(address), F.lit(","), F.to_json(address), F.lit(",["), F.to_json(name), F.lit(',"Cà Mau"]]'))).otherwise(F.to_json(address))
     shown = lambda found: F.array_join(F.transform(found, lambda x: F.concat(x.raw, F.lit("="), F.coalesce(x.slug, F.lit("")))), ";")
-    return orders(spark, sf).select(key().alias("k"), F.when(key() % 4 == 3, shown(P.extract_locations(place, True))).otherwise(shown(P.extract_locations(place))).alias("places"))
+    rows = step(orders(spark, sf), place=place)
+    return rows.select(key().alias("k"), F.when(key() % 4 == 3, shown(P.extract_locations(F.col("place"), True))).otherwise(shown(P.extract_locations(F.col("place")))).alias("places"))
 
 
 MODES = ["Làm việc từ xa", "Remote Java Dev", "Kế toán tại Hà Nội", "Nhân viên WFH", "Remoteness officer", "Tư vấn tại nhà"]

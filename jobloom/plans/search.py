@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from jobloom.functions.text import match_key, step
 from jobloom.operators import search as Q
 from jobloom.operators import stats
 from jobloom.plans.registry import query
@@ -100,12 +101,11 @@ def j09(spark, sf):
 @query("j14_longest_contains", """WITH a AS (SELECT * FROM (VALUES ('the'), ('thea'), ('theand'), ('tion'), ('ation'), ('elle'), ('ment')) v(alias)), d AS (SELECT doc_id, trim(regexp_replace(lower(strip_accents(replace(replace(text, 'đ', 'd'), 'Đ', 'D'))), '[^a-z0-9]+', ' ', 'g')) AS k FROM documents)
 SELECT doc_id, alias FROM d JOIN a ON contains(k, alias) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(alias) DESC, alias) = 1""")
 def j14(spark, sf):
-    from jobloom.functions.text import match_key
-
     aliases = ["the", "thea", "theand", "tion", "ation", "elle", "ment"]
-    k = M.table(spark, sf, "documents").select("doc_id", match_key(F.col("text")).alias("k"))
-    hits = F.array_compact(F.array(*[F.when(F.col("k").contains(a), F.lit(a)) for a in sorted(aliases, key=lambda a: (-len(a), a))]))
-    return k.select("doc_id", F.try_element_at(hits, F.lit(1)).alias("alias")).where("alias is not null")
+    # The text is folded once, for all searches and for the filter.
+    k = step(M.spread(M.table(spark, sf, "documents")).select("doc_id", "text"), k=match_key(F.col("text")))
+    longest = F.coalesce(*[F.when(F.col("k").contains(a), F.lit(a)) for a in sorted(aliases, key=lambda a: (-len(a), a))])
+    return step(k, alias=longest).select("doc_id", "alias").where("alias is not null")
 
 
 @query("j16_silent_sources", f"{P}, {M.SOURCE_SQL} SELECT source_id FROM source WHERE active AND source_id NOT IN (SELECT source_id FROM posting)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobloom.functions import salary as S
+from jobloom.functions.text import step
 from jobloom.operators import fit, normalize, repair
 from jobloom.operators.normalize import logo_of, positive_number, record_at
 from jobloom.plans.pay import pick, pick_sql
@@ -23,7 +24,7 @@ def start():
 
 
 def orders(spark, sf):
-    return M.table(spark, sf, "orders")
+    return M.spread(M.table(spark, sf, "orders"))
 
 
 def api_records(spark, sf):
@@ -48,8 +49,8 @@ _REC = "r AS (SELECT o_orderkey AS k, c_name AS company, floor(o_totalprice) AS
 @query("s10_record_to_posting", f"""WITH {_REC} SELECT k, 'Job ' || k AS title, 'Mô tả' || CASE WHEN k % 2 = 0 THEN chr(10) || 'Yêu cầu' ELSE '' END AS description, CASE WHEN k % 5 <> 0 THEN '2026-08-01' ELSE '2026-07-01' END AS date_posted, CASE k % 7 WHEN 0 THEN 'FULL_TIME' WHEN 2 THEN 'PART_TIME' WHEN 3 THEN 'CONTRACT' WHEN 4 THEN 'INTERN' WHEN 5 THEN 'TEMPORARY' ELSE 'FULL_TIME' END AS employment_type,
  company, CASE WHEN k % 2 = 0 THEN 'l.png' END AS logo, 'C#' AS skill, 'Tech' AS industry, 'CNTT' AS category, CASE WHEN k % 4 > 0 THEN k % 4 || ' năm kinh nghiệm' END AS experience FROM r""")
 def s10(spark, sf):
-    p = api_records(spark, sf).select("k", R.record_to_posting(F.col("record")).alias("p"))
-    at = lambda path: F.get_json_object("p", path)
+    p = step(step(api_records(spark, sf), p=R.record_to_posting(F.col("record"))), v=F.parse_json("p"))
+    at = lambda path: F.try_variant_get("v", path, "string")
     return p.select("k", at("$.title").alias("title"), at("$.description").alias("description"), at("$.datePosted").alias("date_posted"), at("$.employmentType").alias("employment_type"), at("$.hiringOrganization.name").alias("company"), at("$.hiringOrganization.logo").alias("logo"), at("$.skills[0]").alias("skill"), at("$.industry[0]").alias("industry"), at("$.occupationalCategory[0]").alias("category"), at("$.experienceRequirements").alias("experience"))
 
 

@@ -18,7 +18,7 @@ def key_sql(c: str) -> str:
 
 
 def docs(spark, sf):
-    return M.table(spark, sf, "documents")
+    return M.spread(M.table(spark, sf, "documents"))
 
 
 @query("t01_whitespace", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents")
@@ -35,7 +35,7 @@ def t03(spark, sf):
 def t04(spark, sf):
     titles = ["Senior C#/.NET Developer", "C / C++ Engineer", "React-Native Dev", "ReactJS and Node.js", "ASP.NET MVC", "CI / CD with Vue.js", "example.net admin", "Trưởng nhóm F#"]
     title = F.element_at(F.array(*map(F.lit, titles)), (F.col("o_orderkey") % 8 + 1).cast("int"))
-    return M.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), T.tech_key(title).alias("key"))
+    return M.spread(M.table(spark, sf, "orders")).select(F.col("o_orderkey").alias("k"), T.tech_key(title).alias("key"))
 
 
 @query("t05_slug", f"SELECT doc_id, coalesce(nullif(left(replace({key_sql('text')}, ' ', '-'), 120), ''), 'khong-ten') AS slug FROM documents")
@@ -107,7 +107,7 @@ def t16(spark, sf):
 def y01(spark, sf):
     k = F.col("o_orderkey") + 1
     s = F.when(k % 4 == 0, F.concat(k.cast("string"), F.lit(".500"))).when(k % 4 == 1, F.concat(k.cast("string"), F.lit(",5"))).when(k % 4 == 2, k.cast("string")).otherwise(F.lit("abc"))
-    return M.table(spark, sf, "orders").select(k.alias("k"), S.parse_number(s).alias("v"))
+    return M.spread(M.table(spark, sf, "orders")).select(k.alias("k"), S.parse_number(s).alias("v"))
 
 
 @query("y05_salary_text", """SELECT o_orderkey AS k, CASE o_orderkey % 8 WHEN 0 THEN n * 1000000 WHEN 1 THEN n * 1000000 WHEN 3 THEN NULL WHEN 4 THEN CAST((n * 100) * 25400 AS BIGINT) WHEN 5 THEN NULL WHEN 6 THEN n * 1000000 WHEN 7 THEN NULL END AS low,
@@ -119,7 +119,7 @@ def y05(spark, sf):
     usd = F.concat(((F.col("o_orderkey") % 30 + 10) * 100).cast("string"), F.lit(" - "), ((F.col("o_orderkey") % 30 + 10) * 100 + 50).cast("string"), F.lit(" USD"))
     texts = [F.concat(n, F.lit(" - "), more, F.lit(" triệu")), F.concat(F.lit("Từ "), n, F.lit(" triệu")), F.lit("Thoả thuận"), F.concat(F.lit("Upto "), n, F.lit("tr")), usd, F.lit(""), F.concat(n, F.lit(".000.000 VND")), F.concat(n, F.lit(" đồng"))]
     r = S.parse_salary(F.element_at(F.array(*texts), (F.col("o_orderkey") % 8 + 1).cast("int")))
-    return M.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), r.alias("r")).select("k", F.col("r.min").alias("low"), F.col("r.max").alias("high"), "r.is_public", "r.out_of_range")
+    return M.spread(M.table(spark, sf, "orders")).select(F.col("o_orderkey").alias("k"), r.alias("r")).select("k", F.col("r.min").alias("low"), F.col("r.max").alias("high"), "r.is_public", "r.out_of_range")
 
 
 @query("y07_finalize", """WITH v AS (SELECT o_orderkey AS k, o_totalprice AS a, CASE o_orderkey % 5 WHEN 0 THEN 176 WHEN 1 THEN 22 WHEN 2 THEN 52.0 / 12 WHEN 3 THEN 1 ELSE 1.0 / 12 END::DOUBLE AS f FROM orders), r AS (SELECT k, CAST(floor(a * 2 * f + 0.5) AS BIGINT) AS lo, CAST(floor(a * f + 0.5) AS BIGINT) AS hi FROM v)
@@ -127,7 +127,7 @@ SELECT k, CASE WHEN ok THEN least(lo, hi) END AS low, CASE WHEN ok THEN greatest
 def y07(spark, sf):
     period = F.element_at(F.array(*map(F.lit, S.PER_MONTH)), (F.col("o_orderkey") % 5 + 1).cast("int"))
     r = S.finalize(F.col("o_totalprice") * 2, F.col("o_totalprice"), F.lit("VND"), period)
-    return M.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), r.alias("r")).select("k", F.col("r.min").alias("low"), F.col("r.max").alias("high"), "r.is_public")
+    return M.spread(M.table(spark, sf, "orders")).select(F.col("o_orderkey").alias("k"), r.alias("r")).select("k", F.col("r.min").alias("low"), F.col("r.max").alias("high"), "r.is_public")
 
 
 @query("l01_years", "SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN n WHEN 1 THEN n WHEN 2 THEN 0 WHEN 3 THEN n END AS low, CASE o_orderkey % 5 WHEN 0 THEN n + 2 WHEN 2 THEN 0 WHEN 3 THEN n END AS high FROM (SELECT o_orderkey, CAST(o_orderkey % 9 + 1 AS INTEGER) AS n FROM orders)")
@@ -135,47 +135,47 @@ def l01(spark, sf):
     n, more = (F.col("o_orderkey") % 9 + 1).cast("string"), (F.col("o_orderkey") % 9 + 3).cast("string")
     texts = [F.concat(more, F.lit(" - "), n, F.lit(" năm kinh nghiệm")), F.concat(F.lit("Ít nhất "), n, F.lit(" năm")), F.lit("Không yêu cầu kinh nghiệm"), F.concat(n, F.lit(" years")), F.lit("kinh nghiem")]
     r = C.years_of_experience(F.element_at(F.array(*texts), (F.col("o_orderkey") % 5 + 1).cast("int")))
-    return M.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), r.alias("r")).select("k", F.col("r.min").alias("low"), F.col("r.max").alias("high"))
+    return M.spread(M.table(spark, sf, "orders")).select(F.col("o_orderkey").alias("k"), r.alias("r")).select("k", F.col("r.min").alias("low"), F.col("r.max").alias("high"))
 
 
 @query("l03_level", "SELECT o_orderkey AS k, CASE o_orderkey % 8 WHEN 0 THEN 'MANAGER' WHEN 1 THEN 'LEAD' WHEN 2 THEN 'SENIOR' WHEN 3 THEN 'INTERN' WHEN 4 THEN 'MID' WHEN 5 THEN 'FRESHER' WHEN 6 THEN 'SENIOR' END AS level FROM orders")
 def l03(spark, sf):
     cases = [("Trưởng phòng mua hàng", ""), ("Team Lead Backend", ""), ("Senior Product Manager", ""), ("Thực tập sinh", ""), ("Product Owner", "3 năm"), ("Nhân viên", "không yêu cầu kinh nghiệm"), ("Kỹ sư", "trên 5 năm"), ("Nhân viên", "")]
     at = lambda j: F.element_at(F.array(*[F.lit(c[j]) for c in cases]), (F.col("o_orderkey") % 8 + 1).cast("int"))
-    return M.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), C.infer_level(at(0), at(1)).alias("level"))
+    return M.spread(M.table(spark, sf, "orders")).select(F.col("o_orderkey").alias("k"), C.infer_level(at(0), at(1)).alias("level"))
 
 
 @query("l08_district", "SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'Bình Thạnh' WHEN 1 THEN 'Quận 7' WHEN 2 THEN 'KCN Tân Tạo' WHEN 3 THEN 'Thủ Đức' END AS district FROM orders")
 def l08(spark, sf):
     texts = ["12 Điện Biên Phủ, Bình Thạnh, Thủ Đức", "Q.7, TP HCM", "KCN Tân Tạo, HCM", "Quận 9, TP. Thủ Đức", "Quận 2, TP HCM", "Hà Nội"]
-    return M.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), C.district_of(F.element_at(F.array(*map(F.lit, texts)), (F.col("o_orderkey") % 6 + 1).cast("int"))).alias("district"))
+    return M.spread(M.table(spark, sf, "orders")).select(F.col("o_orderkey").alias("k"), C.district_of(F.element_at(F.array(*map(F.lit, texts)), (F.col("o_orderkey") % 6 + 1).cast("int"))).alias("district"))
 
 
 @query("l09_schedule", "SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'NONE' WHEN 1 THEN 'FULL' WHEN 2 THEN 'HALF_DAY' WHEN 3 THEN 'ALTERNATE' END AS saturday, o_orderkey % 6 < 5 AS mentioned FROM orders")
 def l09(spark, sf):
     texts = ["Thời gian làm việc: thứ 2 - thứ 6", "Thời gian làm việc: Thứ 2 đến Thứ 7", "Giờ làm việc 8h-17h, sáng thứ 7", "Thứ 7 làm việc luân phiên", "Thời gian làm việc có T7", "Lương cao"]
     r = C.parse_schedule(F.element_at(F.array(*map(F.lit, texts)), (F.col("o_orderkey") % 6 + 1).cast("int")))
-    return M.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), r.alias("r")).select("k", "r.saturday", F.col("r.raw").isNotNull().alias("mentioned"))
+    return M.spread(M.table(spark, sf, "orders")).select(F.col("o_orderkey").alias("k"), r.alias("r")).select("k", "r.saturday", F.col("r.raw").isNotNull().alias("mentioned"))
 
 
 @query("l11_narrow_area", "SELECT o_orderkey AS k, o_orderkey % 3 = 1 AS narrow FROM orders")
 def l11(spark, sf):
     places = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("Bình Dương"), F.lit("Dĩ An"))).when(F.col("o_orderkey") % 3 == 1, F.array(F.lit("Bình Dương"), F.lit("Quận 1"))).otherwise(F.array().cast("array<string>"))
-    return M.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), C.is_narrow(places).alias("narrow"))
+    return M.spread(M.table(spark, sf, "orders")).select(F.col("o_orderkey").alias("k"), C.is_narrow(places).alias("narrow"))
 
 
 @query("l12_parse_date", "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 3 THEN NULL WHEN 2 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 12 HOUR ELSE CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 17 HOUR - INTERVAL 1 SECOND END AS at FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-02'")
 def l12(spark, sf):
     k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
     text = F.when(k == 0, F.date_format(d, "d/M/yyyy")).when(k == 1, F.date_format(d, "yyyy-MM-dd")).when(k == 2, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T12:00:00Z"))).otherwise(F.lit("31-02-2026"))
-    return M.table(spark, sf, "orders").where("o_orderdate >= timestamp'2000-01-02'").select(F.col("o_orderkey").alias("k"), C.parse_date(text, True).cast("timestamp_ntz").alias("at"))
+    return M.spread(M.table(spark, sf, "orders")).where("o_orderdate >= timestamp'2000-01-02'").select(F.col("o_orderkey").alias("k"), C.parse_date(text, True).cast("timestamp_ntz").alias("at"))
 
 
 @query("l13_employment_type", "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'FULL_TIME' WHEN 1 THEN 'PART_TIME' WHEN 2 THEN 'INTERNSHIP' END AS kind FROM orders")
 def l13(spark, sf):
     lists = [["x", "full-time"], ["'PART_TIME'", "FULL_TIME"], ["intern"], ["unknown"]]
     value = F.element_at(F.array(*[F.array(*map(F.lit, x)) for x in lists]), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return M.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), C.employment_type(value).alias("kind"))
+    return M.spread(M.table(spark, sf, "orders")).select(F.col("o_orderkey").alias("k"), C.employment_type(value).alias("kind"))
 
 
 @query("e01_jsonld_blocks", "SELECT page_id, CAST(page_id % 3 AS BIGINT) AS n FROM pages WHERE page_id % 3 > 0")
