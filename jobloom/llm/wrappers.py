@@ -6,6 +6,7 @@ import difflib
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,8 +29,12 @@ _MARK = r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|menu|nav\w*|foo
 _PART = r"(?:site|page|top|bottom|left|right|primary|secondary|bar|box|list|links?|items?|posts|articles|stories|buttons?|icons?|wrap|wrapper|container|area|block|inner|outer|\d+)"
 #: Whole class names of such words; "market-share" isn't one.
 MARKED = re.compile(rf"@?(?:{_PART}[-_])*{_MARK}(?:[-_]?(?:{_MARK}|{_PART}))*", re.I)
+#: What heads or notes an article when it stands within one: names of such words alone mark nothing there.
+_OWN = r"(?:header|masthead|notices?|alert)"
+OWN = re.compile(rf"@?(?:{_PART}[-_])*{_OWN}(?:[-_]?(?:{_OWN}|{_PART}))*", re.I)
 MAIN = re.compile(r"(?:^|[-_ #@])(?:article|content|post|entry|story|main)(?:$|[-_ \d])", re.I)
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>""", re.S)
+#: A quote counts as one only where a value begins; within an unquoted value it is a letter.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?|[^=>])*+)>""", re.S)
 _NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements whose content isn't text of the page; without an end tag the first two run to the page's end, the others hold nothing.
 _SKIPPED = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "template", "svg", "iframe", "textarea", "select", "button")}
@@ -39,7 +44,7 @@ _SIGN = {"class": "", "id": "#", "role": "@"}
 TEXTUAL = frozenset("article main h1 h2 h3 h4 h5 h6 p blockquote pre li td th dd dt".split())
 #: Elements that a descent to the article goes through where the markup doesn't name it.
 HOLDERS = frozenset("html body div section table tbody tr td center".split())
-#: Elements deeper than this are read as part of the one around them.
+#: Text in elements deeper than this is that of the one around them; their ends are still told from those of outer ones.
 DEPTH = 100
 #: Distinct structures of a host are folded in so many parts, and the parts' wrappers then into one.
 PARTS = 16
@@ -57,6 +62,9 @@ def parse(html: str) -> list:
     """The page's tree: an element is (label, children), text between elements a string, white space as one space."""
     top: list = []
     stack: list[tuple[str, str, list]] = [("", "", top)]
+    #: Names of the open elements below DEPTH, and how many there are of each.
+    deeper: list[str] = []
+    names: Counter[str] = Counter()
     held: list[str] = []
     unclosed: set[str] = set()
 
@@ -67,7 +75,7 @@ def parse(html: str) -> list:
             if text:
                 stack[-1][2].append(text)
 
-    at, over = 0, 0
+    at = 0
     while m := _TOKEN.search(html, at):
         if m.start() > at:
             held.append(html[at : m.start()])
@@ -91,14 +99,28 @@ def parse(html: str) -> list:
             continue
         flush()
         if m[1]:
+            if names[name]:
+                while (last := deeper.pop()) != name:
+                    names[last] -= 1
+                names[name] -= 1
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
                     del stack[k:]
+                    deeper.clear()
+                    names.clear()
                     break
             continue
-        while len(stack) > 1 and (stack[-1][0] == "p" or stack[-1][0] == name and name in OPEN_ENDED):
+        ends = lambda last: last == "p" or last == name and name in OPEN_ENDED
+        while deeper and ends(deeper[-1]):
+            names[deeper.pop()] -= 1
+        while not deeper and len(stack) > 1 and ends(stack[-1][0]):
             stack.pop()
-        if name in VOID or len(stack) > DEPTH:
+        if name in VOID:
+            continue
+        if deeper or len(stack) > DEPTH:
+            deeper.append(name)
+            names[name] += 1
             continue
         marks = " ".join(_SIGN[kind] + x for g in _NAMED.findall(m[3]) if (kind := g[0].lower()) != "id" or name in CONTAINER for x in "".join(g[1:]).split()) if m[3] else ""
         element = (f"{name}.{re.sub(r'\d+', '0', marks)}" if marks else name, [])
@@ -261,17 +283,21 @@ class Wrapper:
 
 def is_aside(path: list[str]) -> bool:
     """Whether an element on the path holds what isn't the article."""
-    within = False
+    within = article = False
     for x in path:
         name, _, marks = x.partition(".")
-        if name in ASIDE:
+        # The article's own header is part of it.
+        if name in ASIDE and not (name == "header" and within):
             return True
         if name in CONTAINER:
             for mark in marks.split():
+                if article and OWN.fullmatch(mark):
+                    continue
                 # An id within the article is a place to link to, "related" or "copyright" as well.
                 if MARKED.fullmatch(mark[1:] if mark[0] == "#" and name != "section" and not within else mark):
                     return True
-        within = within or name in ("article", "main")
+        article = article or name == "article"
+        within = article or within or name == "main"
     return False
 
 

@@ -235,6 +235,45 @@ def plainly(html: str) -> str:
     return "\n".join(reader.blocks)
 
 
+def alone(html: str) -> str:
+    """What a page's own structure gives, without its host's wrapper."""
+    return wrappers.main_text(wrappers.parse(html), None, frozenset())
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<article><p>one</p>" + "<div>" * 120 + "<p>deep<p>deeper</p>" + "</div>" * 120 + "<p>after</p><h2>more</h2></article>", "one\ndeep\ndeeper\nafter\nmore"),
+        ("<article><p>one</p>" + "<div>" * 120 + "<p>deep</article><p>out</p>", "one\ndeep"),
+        ("<p title=don't>Hello world, it's me</p>", "Hello world, it's me"),
+        ("<p data-x=a>b</p><p title = 'x>y' lang=\"a>b\" alt=it's>c</p><p title=\">d</p>", "b\nc\nd"),
+        ("<article><header><h1>Title</h1></header><p>Body</p></article><header>Site</header>", "Title\nBody"),
+        ("<div class=header>Site</div><article><div class=header>Title</div><p>Body</p><div class='notice'>Note.</div><div class='cookie-notice'>Cookies</div><div class='share-buttons'>Send</div></article>", "Title\nBody\nNote."),
+        ("<main><header><h1>Title</h1></header><p>Body</p><div class='notice'>We moved</div></main>", "Title\nBody"),
+    ],
+)
+def test_no_text_of_an_article_is_lost(spark, html, text):
+    assert alone(html) == text
+    assert extracted(spark, [html]) == [text]
+
+
+def test_very_deep_pages_are_read_in_one_pass():
+    deep = "<div>" * 200_000 + "<span>x</span>" + "</div>" * 200_000
+    assert alone(f"<article>{deep}<p>after</p></article>") == "x\nafter"
+
+
+def test_wrappers_tell_the_article_without_names(spark):
+    """With no element named article, nav, footer or ad the wrappers give the same texts; pages by themselves don't."""
+    import re
+
+    html = {r.page_id: (r.url, r.html) for r in table(spark, "/root/testdata/sf0.1", "pages").collect()}
+    rows = [(k, u, re.sub(r"(</?)(?:article|nav|footer)\b", r"\1div", h).replace(' class="ad"', "")) for k, (u, h) in html.items()]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {k: plainly(h) for k, (_, h) in html.items()}
+    assert got == want
+    assert sum(alone(h) != want[k] for k, _, h in rows) > 50
+
+
 def test_extraction_of_the_pages_table(spark):
     sf = "/root/testdata/sf0.01"
     html = {r.page_id: r.html for r in table(spark, sf, "pages").collect()}
