@@ -7,15 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import as_bytes, cut, small_batches, table
+from jobloom.llm.common import as_bytes, cut, release, small_batches, table, written
 
 #: Rows that the scorers are fitted on at most: those of the least hashes.
 TRAIN_ROWS = 12_000
-#: Features that are kept of a row in the fit, those of the least hashes: what the driver holds is bounded by both. Scoring uses all.
-TRAIN_FEATURES = 4096
 #: Features are hashed to so many weights.
 DIM = 1 << 18
 #: A row is kept if both scores are at least this.
@@ -113,32 +112,32 @@ def fit_labellers(votes: np.ndarray, count: np.ndarray, rounds: int = 50) -> np.
     return p
 
 
-def distinct_rows(rows: list[np.ndarray], hashes: int = 4) -> np.ndarray:
-    """Indices of rows of which no earlier one has the same minimal hashed features: near copies are learnt from once."""
-    rng = np.random.default_rng(1)
-    mults = rng.integers(1 << 31, 1 << 32, hashes).astype(np.uint64) | np.uint64(1)
-    keys = [tuple(int((r.astype(np.uint64) * m & np.uint64(0xFFFFFFFF)).min()) for m in mults) for r in rows]
-    return np.array(sorted({k: i for i, k in reversed(list(enumerate(keys)))}.values()), dtype=np.int64)
+#: Multipliers of the hashes whose least values tell near copies.
+_MULTS = (np.random.default_rng(1).integers(1 << 31, 1 << 32, 4).astype(np.uint64) | np.uint64(1)).tolist()
 
 
-def fit_scorer(rows: list[np.ndarray], target: np.ndarray, least_z: float = 5.0, epochs: int = 12, rate: float = 0.3, decay: float = 1e-4) -> np.ndarray:
-    """Weights of a logistic scorer (the last is the bias) for soft targets.
+def least_hashes(features: np.ndarray) -> bytes:
+    """The least of each of four hashes of a row's features: rows that agree in them are near copies."""
+    x = features.astype(np.uint64)
+    return b"".join(int((x * np.uint64(m) & np.uint64(0xFFFFFFFF)).min()).to_bytes(4, "big") for m in _MULTS)
 
-    Features whose share of bad rows differs from the overall one by `least_z` standard errors get a weight, by Adagrad
-    over the rows in a fixed random order; the others none.
-    """
+
+#: Soft labels are counted in parts of this, so that sums don't depend on their order.
+UNIT = 1 << 20
+
+
+def telling(df: np.ndarray, bad: np.ndarray, rows: int, all_bad: int, least_z: float = 5.0) -> np.ndarray:
+    """Which features get a weight: those whose share of bad rows (`bad`, in UNITs, of `df` rows) differs from the overall one by `least_z` standard errors."""
+    share = np.clip(all_bad / UNIT / max(rows, 1), 1e-3, 1 - 1e-3)
+    return np.abs(bad / UNIT - df * share) >= least_z * np.sqrt(np.maximum(df, 1) * share * (1 - share))
+
+
+def fit_scorer(rows: list[np.ndarray], target: np.ndarray, epochs: int = 12, rate: float = 0.3, decay: float = 1e-4) -> np.ndarray:
+    """Weights of a logistic scorer (the last is the bias) for soft targets, by Adagrad over rows of telling features in a fixed random order; other features get none."""
     w, g2 = np.zeros(DIM + 1), np.full(DIM + 1, 1e-3)
-    if not len(rows):
-        return w.astype(np.float32)
-    df, bad = np.zeros(DIM, dtype=np.int64), np.zeros(DIM)
-    for r, y in zip(rows, target):  # a row's features are distinct
-        df[r] += 1
-        bad[r] += 1 - y
-    share = np.clip((1 - target).mean(), 1e-3, 1 - 1e-3)
-    used = np.abs(bad - df * share) >= least_z * np.sqrt(np.maximum(df, 1) * share * (1 - share))
-    rows = [np.append(r[used[r]], np.int32(DIM)) for r in rows]
+    rows = [np.append(r, np.int32(DIM)) for r in rows]
     rng = np.random.default_rng(0)
-    for _ in range(epochs):
+    for _ in range(epochs if rows else 0):
         for i in rng.permutation(len(rows)):
             f = rows[i]
             e = 1 / (1 + np.exp(-np.clip(w[f].sum(), -30, 30))) - target[i]
@@ -164,8 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
 
     Votes are taken on every whole text; annotations are the votes of one more labeller, which errs like the others. The
     patterns of votes (at most 3^8 times 9) are counted over all rows, and all labellers' accuracies estimated from these counts.
-    The `train_rows` rows of the least hashes then fit the scorers to the posterior labels: the same rows whatever their order or
-    partitions. Null text counts as empty; null or missing annotations as no vote; of several the worst counts. Rows that agree in
+    The `train_rows` rows of the least hashes then fit the scorers to the posterior labels, near copies once: the same rows whatever their
+    order or partitions. Their features are counted in Spark, and the driver gets of each row those that tell good from bad. Null text counts as empty; null or missing annotations as no vote; of several the worst counts. Rows that agree in
     id and text are fitted once. An empty table gives a model that scores 0.5.
     """
 
@@ -203,20 +202,57 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_text = Featurizer()
         for batch in small_batches(batches):
-            found = [np.sort(of_text(x)[0])[:TRAIN_FEATURES].tobytes() for x in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("code", "q", "t")), pa.array(found, pa.binary())], ["code", "q", "t", "f"])
+            found = [np.sort(of_text(x)[0]) for x in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("code", "q", "t")), pa.array([xxhash.xxh3_128_digest(f.tobytes()) for f in found], pa.binary()), pa.array(map(least_hashes, found), pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], ["code", "q", "t", "key", "least", "f"])
 
     drawn = drawn.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "code", "q", "t")
     sample = keyed.join(F.broadcast(drawn), keyed.id.eqNullSafe(F.col("_id")) & (keyed.th == F.col("_th"))).select("code", "q", "t", "text")
-    sample = sample.mapInArrow(features, "code int, q int, t int, f binary").distinct().collect()
-    sample.sort(key=lambda r: (r.f, r.code, r.q, r.t))
-    found = [np.frombuffer(r.f, dtype=np.int32) for r in sample]
-    target = np.array([posterior[r.code, r.q, r.t] for r in sample]).reshape(-1, 2)
-    code, q, t = np.array([(r.code, r.q, r.t) for r in sample], dtype=np.int64).reshape(-1, 3).T
+    name = ["code", "q", "t", "key"]
+    sample = written(sample.mapInArrow(features, "code int, q int, t int, key binary, least binary, f binary").dropDuplicates(name))
+    # A short line for each drawn row, however long its text.
+    lines = sorted(sample.select("key", "least", "code", "q", "t").collect())
+    once, seen = [], set()
+    for r in lines:
+        if r.least not in seen:
+            seen.add(r.least)
+            once.append(r)
+    target = np.array([posterior[r.code, r.q, r.t] for r in once]).reshape(-1, 2)
+    code, q, t = np.array([(r.code, r.q, r.t) for r in once], dtype=np.int64).reshape(-1, 3).T
     # Only rows of which some labeller says something teach a scorer.
-    told = [(v > 0).any(axis=1) for v in patterns_of(split_code(code), q, t)]
-    once = distinct_rows(found)
-    return QualityModel(*(fit_scorer([found[i] for i in once if told[k][i]], target[once[told[k][once]], k]) for k in (0, 1)))
+    told = np.stack([(v > 0).any(axis=1) for v in patterns_of(split_code(code), q, t)], axis=1).reshape(-1, 2)
+    bad = np.rint((1 - target) * UNIT).astype(np.int64)
+    taught = docs.sparkSession.createDataFrame([(*(r[c] for c in name), *map(bool, told[i]), *map(int, bad[i])) for i, r in enumerate(once)], "code int, q int, t int, key binary, told0 boolean, told1 boolean, bad0 long, bad1 long")
+    chosen = sample.join(F.broadcast(taught), name)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, DIM), dtype=np.int64)
+        for batch in batches:
+            for f, *of_row in zip(*(batch.column(c).to_pylist() for c in ("f", "told0", "told1", "bad0", "bad1"))):
+                at = np.frombuffer(f, dtype=np.int32)  # a row's features are distinct
+                for k in (0, 1):
+                    if of_row[k]:
+                        total[2 * k, at] += 1
+                        total[2 * k + 1, at] += of_row[2 + k]
+        there = np.flatnonzero(total[0] | total[2])
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *map(pa.array, total[:, there])], ["feature", "df0", "bad0", "df1", "bad1"])
+
+    counts = chosen.select("f", "told0", "told1", "bad0", "bad1").mapInArrow(count, "feature int, df0 long, bad0 long, df1 long, bad1 long")
+    totals = np.zeros((4, DIM), dtype=np.int64)
+    # At most a row for each of DIM features.
+    for r in counts.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("df0", "bad0", "df1", "bad1")]).toLocalIterator():
+        totals[:, r.feature] = r[1:]
+    used = [telling(totals[2 * k], totals[2 * k + 1], int(told[:, k].sum()), int(bad[told[:, k], k].sum())) for k in (0, 1)]
+    shared = docs.sparkSession.sparkContext.broadcast(used[0] | used[1])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [(x := np.frombuffer(f, dtype=np.int32))[shared.value[x]].tobytes() for f in batch.column("f").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in name), pa.array(kept, pa.binary())], [*name, "f"])
+
+    found = {tuple(r[c] for c in name): np.frombuffer(r.f, dtype=np.int32) for r in chosen.select(*name, "f").mapInArrow(tell, "code int, q int, t int, key binary, f binary").collect()}
+    ordered = [found[tuple(r[c] for c in name)] for r in once]
+    release(docs.sparkSession, sample)
+    return QualityModel(*(fit_scorer([f[used[k][f]] for f, w in zip(ordered, told[:, k]) if w], target[told[:, k], k]) for k in (0, 1)))
 
 
 def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
