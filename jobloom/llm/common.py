@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,14 +42,12 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables made by `written`, and let Spark clear the shuffles of finished steps now rather than at its next collection."""
+    """Delete tables made by `written`."""
     jvm = spark.sparkContext._jvm
     for t in tables:
         for top in {f.rpartition("/")[0] for f in t.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(top)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
 
 
 def private(df: DataFrame, name: str) -> str:
