@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import as_bytes, cut, release, small_batches, table, written
+from jobloom.llm.common import as_bytes, release, small_batches, table, written
 
 #: Rows that the scorers are fitted on at most: those of the least hashes.
 TRAIN_ROWS = 12_000
@@ -187,7 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
         rows = rows.join(notes, "id", "left")
     else:
         rows = rows.withColumns({"q": F.lit(NONE), "t": F.lit(NONE)})
-    rows = cut(rows.select("id", "th", "code", F.coalesce("q", F.lit(NONE)).alias("q"), F.coalesce("t", F.lit(NONE)).alias("t")))
+    # Written, not checkpointed: a checkpoint would take the votes twice.
+    rows = written(rows.select("id", "th", "code", F.coalesce("q", F.lit(NONE)).alias("q"), F.coalesce("t", F.lit(NONE)).alias("t")))
     patterns = sorted(rows.groupBy("code", "q", "t").count().collect())
     if not patterns:
         return QualityModel(np.zeros(DIM + 1, np.float32), np.zeros(DIM + 1, np.float32))
