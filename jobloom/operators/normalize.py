@@ -74,15 +74,15 @@ def declared_skills(posting: Column, more: Column, get: Get = F.get_json_object)
     return F.array_distinct(F.concat(*[F.coalesce(of(p), none) for p in ("$.skills", "$.occupationalCategory", "$.qualifications")], extra))
 
 
-def normalize(postings: DataFrame, id_pattern: str | None = None, street_first: bool = False, as_of: Column | None = None) -> DataFrame:
+def normalize(postings: DataFrame, id_pattern: str | None = None, street_first: bool = False, as_of: Column | None = None, compose: bool = False) -> DataFrame:
     """One typed row for each row of `postings`: (posting: JSON text, page_url, salary_text, skills, work_mode); other columns pass through.
 
     Nothing throws: what is missing is listed in parse_error, and parse_status is PARTIAL if anything is. Pay is the declared
     one, else the page's text if that is public. Schedules are read in the whole description, of which DESCRIPTION_BYTES are kept.
-    A posting without a date counts as posted `as_of` (now).
+    A posting without a date counts as posted `as_of` (now). With `compose` letters and marks are composed (NFC) before they are stored.
     """
     # The JSON is parsed once a row.
-    row, p = T.step(postings, _v=F.try_parse_json("posting")), F.col("_v")
+    row, p = T.step(postings, _v=F.try_parse_json(T.nfc(F.col("posting")) if compose else F.col("posting"))), F.col("_v")
     text, record, items = (lambda path: text_at(p, path, of_variant)), (lambda path: record_at(p, path, of_variant)), (lambda path: of_variant(p, path))
     row = row.withColumns(
         {

@@ -26,6 +26,15 @@ def t01(spark, sf):
     return docs(spark, sf).select("doc_id", T.normalize_whitespace(F.col("text")).alias("text"))
 
 
+@query("t01_nfc", "SELECT doc_id, nfc_normalize(replace(replace(replace(text, 'é', 'e' || chr(769)), 'ó', 'o' || chr(769)), 'ü', 'u' || chr(776))) AS text FROM documents")
+def t01_nfc(spark, sf):
+    """Texts with some letters taken apart, composed again."""
+    apart = F.col("text")
+    for whole, parts in (("é", "e\u0301"), ("ó", "o\u0301"), ("ü", "u\u0308")):
+        apart = F.replace(apart, F.lit(whole), F.lit(parts))
+    return docs(spark, sf).select("doc_id", T.nfc(apart).alias("text"))
+
+
 @query("t03_match_key", f"SELECT doc_id, {key_sql('text')} AS key FROM documents")
 def t03(spark, sf):
     return docs(spark, sf).select("doc_id", T.match_key(F.col("text")).alias("key"))

@@ -98,3 +98,25 @@ def test_declared_salary(spark, base, low, high, public):
 def test_salary_read_again(spark, raw, low, public):
     r = one(spark, S.salary_from_raw(F.lit(raw).cast("string")))
     assert (r and r["min"], r and r.is_public) == (low, public)
+
+
+def test_nfc(spark):
+    """Marks in any order, letters with another form, Hangul; texts that are composed already, empty and null ones."""
+    import unicodedata
+
+    texts = ["a\u0323\u0302", "a\u0302\u0323", "Vie\u0323\u0302t Nam", "Việt Nam đã", "\u212b \u2126 \u0344", "\u1112\u1161\u11ab", "plain", "", None, "\u0301x", "漢字 \uf900", "e\u0301" * 1000]
+    got = [r.x for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", T.nfc(F.col("t")).alias("x")).orderBy("k").collect()]
+    assert got == [x and unicodedata.normalize("NFC", x) for x in texts]
+    every = "".join(f"a{chr(k)} " for k in range(0x80, 0x3400)) + "".join(f"{chr(k)} " for k in range(0xF900, 0xFB50))
+    parts = [every[i : i + 3] for i in range(0, len(every), 3)]
+    rows = spark.createDataFrame([(x,) for x in parts], "t string").select("t", T.nfc(F.col("t")).alias("x")).collect()
+    assert all(r.x == unicodedata.normalize("NFC", r.t) for r in rows)
+
+
+def test_normalize_composes(spark):
+    from jobloom.operators.normalize import normalize
+
+    rows = [('{"title":"Ke\u0302\u0301 toa\u0301n","hiringOrganization":{"name":"A"}}', None, None, None, None)]
+    df = spark.createDataFrame(rows, "posting string, page_url string, salary_text string, skills array<string>, work_mode string")
+    as_of = F.lit("2026-01-01").cast("timestamp")
+    assert [normalize(df, as_of=as_of, compose=c).first().title for c in (True, False)] == ["Kế toán", "Ke\u0302\u0301 toa\u0301n"]
