@@ -274,8 +274,6 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     first = candidates(met.select("token", tile.alias("block"), none.alias("second"), "key", "n", "at", "fp", F.col("key").alias("comp")), True)
     first = written(first.union(hub_pairs(met.where(F.col("of") > TILE))).distinct())
     links = written(confirmed(first, names, rows))
-    release(spark)
-
     roots = connected_components(links)
     rest = met.where("of > 2").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
     usual = rest.where(F.col("of") <= TILE).select("*", F.lit(0).cast("long").alias("block"), none.alias("second"))
