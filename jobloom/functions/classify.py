@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions.salary import plain
-from jobloom.functions.text import let, match_key, normalize_whitespace, tech_key
+from jobloom.functions.text import either, fold, let, match_key, normalize_whitespace, tech_key
 
 # Words in titles, from high levels to low.
 LEVEL_WORDS = {
@@ -31,20 +29,16 @@ NO_EXPERIENCE = ["khong yeu cau kinh nghiem", "chua co kinh nghiem", "no experie
 MOST_YEARS = 40
 
 
-def any_text(words: list[str]) -> str:
-    return "(?:" + "|".join(map(re.escape, words)) + ")"
-
-
 def years_of_experience(c: Column) -> Column:
     """struct(min, max) in years: none asked for is 0 to 0, a range is put in order, one number is open if a minimum is spoken of."""
-    unit = any_text(YEAR_WORDS)
+    unit = either(YEAR_WORDS)
     number = lambda text, pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).cast("int")
 
     def parts(text: Column) -> Column:
-        pair = rf"(\d{{1,2}})\s*{any_text(SPAN_WORDS)}\s*(\d{{1,2}})\s*{unit}"
+        pair = rf"(\d{{1,2}})\s*{either(SPAN_WORDS)}\s*(\d{{1,2}})\s*{unit}"
         return F.struct(
-            text.rlike(any_text(NO_EXPERIENCE)).alias("none"), number(text, pair, 1).alias("a"), number(text, pair, 2).alias("b"),
-            number(text, rf"(\d{{1,2}})\s*\+?\s*{unit}", 1).alias("n"), text.rlike(any_text(AT_LEAST)).alias("open"),
+            text.rlike(either(NO_EXPERIENCE)).alias("none"), number(text, pair, 1).alias("a"), number(text, pair, 2).alias("b"),
+            number(text, rf"(\d{{1,2}})\s*\+?\s*{unit}", 1).alias("n"), text.rlike(either(AT_LEAST)).alias("open"),
         )
 
     def read(x: Column) -> Column:
@@ -64,8 +58,8 @@ def infer_level(title: Column, experience: Column) -> Column:
     """The first level whose words a title holds (as substrings, so that they also hit inside words), else by years."""
 
     def named(text: Column) -> Column:
-        role = text.rlike(any_text(ROLES_NOT_MANAGING))
-        return F.coalesce(*[F.when(text.rlike(any_text(words)) & (~role if level == "MANAGER" else F.lit(True)), F.lit(level)) for level, words in LEVEL_WORDS.items()])
+        role = text.rlike(either(ROLES_NOT_MANAGING))
+        return F.coalesce(*[F.when(text.rlike(either(words)) & (~role if level == "MANAGER" else F.lit(True)), F.lit(level)) for level, words in LEVEL_WORDS.items()])
 
     return F.coalesce(let(plain(title), named), let(years_of_experience(F.concat_ws(" ", title, experience)).min, level_from_years))
 
@@ -80,26 +74,38 @@ MERGED = ["binh duong", "ba ria", "vung tau", "thu dau mot", "di an", "ben cat"]
 ADMIN_PREFIX = r"^(thanh pho|tp|tinh|quan|huyen|phuong|xa|thi xa|thi tran|khu vuc|kv)\s+"
 
 
-# How a numbered district and an industrial zone are written.
-DISTRICT_WORDS = ["qu[aậ]n", r"q\.?", "district"]
-ZONE_WORDS, ZONE_WORDS_AFTER = ["kcn", "kcx", "khu c[ôo]ng nghi[ệe]p", "khu ch[ếe] xu[ấa]t"], ["industrial\\s+park"]
-_BEFORE, _AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+# How a numbered district and an industrial zone are called, in folded text.
+DISTRICT_WORDS = ["quan", "district", "q.", "q"]
+ZONES_BEFORE, ZONES_AFTER = ["kcn", "kcx", "khu cong nghiep", "khu che xuat"], ["industrial park"]
+#: Letters in the name of a zone, at least and at most.
+ZONE_NAME = (2, 24)
+
+
+def zone_name(part: Column) -> Column:
+    """The name of the industrial zone in a part of an address, as written: all that follows the word for it, or the last words before; else null."""
+    low, high = ZONE_NAME
+    name = rf"[a-z0-9\p{{M}} ]{{{low},{high}}}"
+
+    def cut(folded: Column) -> Column:
+        behind = F.length(F.regexp_extract(folded, rf"\b{either(ZONES_BEFORE)} ({name})$", 1))
+        head = F.split(folded, rf" {either(ZONES_AFTER)}\b", 2)
+        ahead = F.length(F.regexp_extract(head[0], rf"\b({name})$", 1))
+        return F.when(behind > 0, F.right(part, behind)).when((F.size(head) > 1) & (ahead > 0), F.substring(part, F.length(head[0]) - ahead + 1, ahead))
+
+    return let(fold(part), cut)
 
 
 def district_of(raw: Column) -> Column:
     """The named area that stands first, else a numbered district, else an industrial zone, else null."""
-    area = F.regexp_extract(plain(raw), rf"\b(?:{'|'.join(AREAS)})\b", 0)
     known = F.create_map(*[F.lit(x) for kv in AREAS.items() for x in kv])
-    number = F.nullif(F.regexp_extract(raw, rf"(?iu){_BEFORE}(?:{'|'.join(DISTRICT_WORDS)})\s*(\d{{1,2}}){_AFTER}", 1), F.lit("")).cast("int")
-    name = r"([a-zà-ỹ0-9\s]{2,24}?)"
-    zone = rf"(?iu){_BEFORE}(?:{'|'.join(ZONE_WORDS)})\s+{name}(?=\s*[,.;]|$)|{_BEFORE}{name}\s+(?:{'|'.join(ZONE_WORDS_AFTER)}){_AFTER}"
-    titled = lambda x: F.array_join(F.transform(F.split(normalize_whitespace(x), " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1000))), " ")
-    found = F.coalesce(F.nullif(F.regexp_extract(raw, zone, 1), F.lit("")), F.nullif(F.regexp_extract(raw, zone, 2), F.lit("")))
-    return F.coalesce(
-        let(area, lambda x: F.try_element_at(known, x)),
-        let(number, lambda n: F.when(n.isin(NUMBERED), F.concat(F.lit("Quận "), n.cast("string")))),
-        let(titled(found), lambda x: F.when(F.length(x) >= 2, F.concat(F.lit("KCN "), x))),
-    )
+    titled = lambda x: F.array_join(F.transform(F.split(F.trim(x), " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1000))), " ")
+
+    def named(text: Column) -> Column:
+        number = F.nullif(F.regexp_extract(text, rf"\b{either(DISTRICT_WORDS)}\s*(\d{{1,2}})\b", 1), F.lit("")).cast("int")
+        return F.coalesce(F.try_element_at(known, F.regexp_extract(text, rf"\b{either(list(AREAS))}\b", 0)), let(number, lambda n: F.when(n.isin(NUMBERED), F.concat(F.lit("Quận "), n.cast("string")))))
+
+    zones = F.filter(F.transform(F.split(normalize_whitespace(raw), "[,.;]"), lambda x: zone_name(F.trim(x))), lambda x: x.isNotNull())
+    return F.coalesce(let(plain(raw), named), let(F.try_element_at(zones, F.lit(1)), lambda x: F.concat(F.lit("KCN "), titled(x))))
 
 
 def first_district(raws: Column) -> Column:
@@ -131,15 +137,29 @@ SATURDAY = {
     "NONE": rf"(?:{_MON}{_TO}{_FRI})|(?:(?:nghi|off|duoc nghi)[^.;]{{0,25}}{_SAT})",
     "FULL": rf"(?:{_MON}{_TO}{_SAT})|(?:lam\s*(?:ca|luon)\s*{_SAT})",
 }
-# What working time is called, and how many letters around are kept.
-TIME_WORDS = ["th[ờo]i gian l[àa]m vi[ệe]c", "gi[ờo] l[àa]m vi[ệe]c", "ng[àa]y l[àa]m vi[ệe]c", "working (?:time|hours?|days?)", r"th[ứu]\s*7", "t7(?![A-Za-z0-9_])"]
-_CONTEXT = rf"(?iu).{{0,60}}(?:{'|'.join(TIME_WORDS)}).{{0,110}}"
+# What working time is called, in folded text, and how many letters before and after a mention are kept.
+TIME_WORDS = ["thoi gian lam viec", "gio lam viec", "ngay lam viec", *(f"working {x}" for x in ("time", "hour", "hours", "day", "days")), "thu 7", "thu7"]
+LETTERS_BEFORE, LETTERS_AFTER = 60, 110
 
 
 def schedule_excerpt(c: Column, longest: int = 200) -> Column:
-    """The words around a mention of working time, cut; null without one."""
-    near = F.nullif(normalize_whitespace(F.regexp_extract(normalize_whitespace(c), _CONTEXT, 0)), F.lit(""))
-    return let(near, lambda x: F.when(F.length(x) > longest, F.concat(F.left(x, F.lit(longest - 1)), F.lit("…"))).otherwise(x))
+    """The words around a mention of working time, cut; null without one.
+
+    It begins LETTERS_BEFORE letters before the first mention. It ends LETTERS_AFTER letters behind that one or, if that stands
+    so near the text's start that there are fewer letters before it, behind the last that does.
+    """
+    mention = rf"(?:{either(TIME_WORDS)}|t7\b)"
+
+    def around(text: Column) -> Column:
+        folded = fold(text)
+        near = F.regexp_extract(folded, rf"^.{{0,{LETTERS_BEFORE}}}{mention}", 0)
+        parts = F.split(folded, mention, 2)
+        begin = F.when(near != "", F.lit(0)).otherwise(F.length(parts[0]) - LETTERS_BEFORE)
+        end = F.when(near != "", F.length(near)).otherwise(F.length(text) - F.length(parts[1]))
+        found = F.trim(F.substring(text, begin + 1, end - begin + LETTERS_AFTER))
+        return F.when(F.size(parts) > 1, F.when(F.length(found) > longest, F.concat(F.left(found, F.lit(longest - 1)), F.lit("…"))).otherwise(found))
+
+    return let(normalize_whitespace(c), around)
 
 
 def parse_schedule(c: Column, longest: int = 200) -> Column:

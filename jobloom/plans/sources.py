@@ -140,7 +140,7 @@ def pastes(spark, sf):
 @query("t14_guesses", "SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'TUYỂN KẾ TOÁN ' || o_orderkey WHEN 1 THEN 'Dev ' || o_orderkey ELSE 'không có gì' END AS title, CASE o_orderkey % 3 WHEN 0 THEN 'Alpha ' || o_orderkey WHEN 1 THEN 'Beta' END AS company, CASE o_orderkey % 3 WHEN 0 THEN 'Lương: 12 - 18 triệu VNĐ/tháng' WHEN 1 THEN 'Thu nhập từ 20 triệu' END AS pay, CASE o_orderkey % 3 WHEN 0 THEN 'Địa điểm: Quận 7, TP HCM' WHEN 1 THEN 'ở Cần Thơ' END AS place FROM orders")
 def t14(spark, sf):
     t = F.col("text")
-    return pastes(spark, sf).select("k", R.guess_title(t).alias("title"), R.guess_company(t).alias("company"), R.pick_line(t, R.SALARY_LINE).alias("pay"), R.pick_place(t).alias("place"))
+    return pastes(spark, sf).select("k", R.guess_title(t).alias("title"), R.guess_company(t).alias("company"), R.pick_line(t, R.PAY_LABELS).alias("pay"), R.pick_place(t).alias("place"))
 
 
 @query("s21_pasted_postings", f"""SELECT CAST(1000000 + o_orderkey AS VARCHAR) AS id, CASE o_orderkey % 3 WHEN 0 THEN 12000000 WHEN 1 THEN 20000000 END AS low, CASE o_orderkey % 3 WHEN 0 THEN 18000000 END AS high, CASE o_orderkey % 3 WHEN 0 THEN 'ho-chi-minh' WHEN 1 THEN 'can-tho' END AS province, CASE WHEN o_orderkey % 3 = 0 THEN 2 END AS years_min,

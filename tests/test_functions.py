@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from jobloom.functions import classify as C
 from jobloom.functions import salary as S
 from jobloom.functions import text as T
+from jobloom.sources import records as R
 
 
 def one(spark, column):
@@ -120,3 +121,58 @@ def test_normalize_composes(spark):
     df = spark.createDataFrame(rows, "posting string, page_url string, salary_text string, skills array<string>, work_mode string")
     as_of = F.lit("2026-01-01").cast("timestamp")
     assert [normalize(df, as_of=as_of, compose=c).first().title for c in (True, False)] == ["Kế toán", "Ke\u0302\u0301 toa\u0301n"]
+
+
+def test_labels_in_pasted_texts(spark):
+    texts = [
+        "Tuyển\nCÔNG TY: Alpha\nMức  lương 10tr\nĐịa chỉ: Q7",
+        "x y z\nNhà tuyển dụng: Beta\n(lương cao)\nThuNhập: 5\nNơi làm: HN",
+        "cty\nGamma Co\nkhông\nworkplace here",
+        "Company Delta\nlươngthưởng\nlocations",
+        "",
+        None,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    t = F.col("t")
+    rows = df.select("i", R.guess_company(t).alias("c"), R.pick_line(t, R.PAY_LABELS).alias("pay"), R.pick_line(t, R.PLACE_LABELS).alias("place")).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in rows] == [
+        ("Alpha", "Mức  lương 10tr", "Địa chỉ: Q7"),
+        ("Beta", "ThuNhập: 5", "Nơi làm: HN"),
+        ("Gamma Co", None, "workplace here"),
+        (None, None, None),
+        (None, None, None),
+        (None, None, None),
+    ]
+
+
+def test_zones_and_districts(spark):
+    cases = {
+        "12 Điện Biên Phủ, Bình Thạnh, Thủ Đức": "Bình Thạnh",
+        "Q.7, TP HCM": "Quận 7",
+        "Q 10": "Quận 10",
+        "Quận 9 cũ": None,
+        "Quận 12A": None,
+        "lô 5, KCN tân tạo, HCM": "KCN Tân Tạo",
+        "Khu công nghiệp  Sóng Thần 2.": "KCN Sóng Thần 2",
+        "Amata Industrial Park, Biên Hòa": "KCN Amata",
+        "KCN Tân Tạo (mở rộng), HCM": None,
+        "KCX một cái tên quá dài để là một khu nào đó": None,
+        "": None,
+    }
+    df = spark.createDataFrame(list(cases.items()), "raw string, want string")
+    assert [r.raw for r in df.select("*", C.district_of(F.col("raw")).alias("got")).where("NOT (got <=> want)").collect()] == []
+
+
+def test_excerpt_around_working_time(spark):
+    far, tail = "a" * 70, "b" * 130
+    cases = {
+        f"{far}giờ làm việc{tail}": "a" * 60 + "giờ làm việc" + "b" * 110,
+        # Both mentions begin within the first letters: the words go on behind the last.
+        f"Giờ làm việc 8h, nghỉ thứ 7 {tail}": "Giờ làm việc 8h, nghỉ thứ 7 " + "b" * 109,
+        f"{far}Working hours{tail}": "a" * 60 + "Working hours" + "b" * 110,
+        "🔥 T7 nghỉ": "🔥 T7 nghỉ",
+        "T70 là xe tăng": None,
+        "không": None,
+    }
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert [(r.t, r.got) for r in df.select("*", C.schedule_excerpt(F.col("t")).alias("got")).where("NOT (got <=> want)").collect()] == []
