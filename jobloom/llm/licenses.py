@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm.common import as_bytes, small_batches, table
+from jobloom.llm.license_texts import FULL_TEXTS, SPDX
 
 # Phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 # Fixed values: (label, notice as usually worded, phrases that must stand in it).
-TEMPLATES = [
+NOTICES = [
     ("mit", "released under the mit license", ["mit license"]),
     ("mit", "licensed under the mit license", ["mit license"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge"]),
@@ -46,38 +47,61 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TO_SPACE).split()
 
 
+def in_words(text: str) -> str:
+    return b" ".join(words_of(text.encode())).decode()
+
+
+#: Notices, whole texts and SPDX lines, in words.
+TEMPLATES = [
+    *NOTICES,
+    *((label, in_words(text), must) for label, text, must in FULL_TEXTS),
+    *((label, line, [line]) for name, label in SPDX.items() for line in [in_words(f"SPDX-License-Identifier: {name}")]),
+]
+
+
 class LicenseIndex:
-    """Positional postings of the templates' words, with the words' inverse document frequencies."""
+    """Positional postings of the templates' rarest words, by the words' inverse document frequencies.
+
+    A file enters a template by the template's entry word, the rarest of its mandatory phrases: the cost of a file grows with the
+    templates whose entry word it holds, not with the templates that there are.
+    """
 
     def __init__(self, templates: list[tuple[str, str, list[str]]], df: dict[bytes, int] | None = None, n_docs: int = 0):
         self.templates = [(label, text.encode().split(), [p.encode().split() for p in must]) for label, text, must in templates]
-        words_in = {w for _, words, _ in self.templates for w in words}
-        self.vocabulary = frozenset(words_in)
+        self.vocabulary = frozenset(w for _, words, must in self.templates for part in (words, *must) for w in part)
         self.idf = {w: math.log((n_docs + 1) / ((df or {}).get(w, 0) + 1)) for w in self.vocabulary}
-        #: A template's rarest places, so many that LEAST of its words can't stand without two of these.
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, words, _) in enumerate(self.templates):
+        rarest = lambda w: (-self.idf[w], w)
+        #: Entry word -> its templates.
+        self.entries: dict[bytes, list[int]] = defaultdict(list)
+        #: A template's rarest (word, place)s, and how many of them stand wherever LEAST of its words do.
+        self.postings: list[tuple[list[tuple[bytes, int]], int]] = []
+        for t, (_, words, must) in enumerate(self.templates):
+            self.entries[min((w for p in must or [words] for w in p), key=rarest)].append(t)
             needed = next(c for c in range(len(words) + 1) if c >= LEAST * len(words) or c / len(words) >= LEAST)
-            for at in sorted(range(len(words)), key=lambda k: (-self.idf[words[k]], words[k], k))[: len(words) - needed + 2]:
-                self.postings[words[at]].append((t, at))
+            agree = min(needed, max(2, needed // 2))
+            places = sorted(range(len(words)), key=lambda k: (*rarest(words[k]), k))[: len(words) - needed + agree]
+            self.postings.append(([(words[k], k) for k in places], agree))
+        self.entry_words = frozenset(self.entries)
+
+    def entered(self, there: set[bytes]) -> list[int]:
+        """The templates whose entry word is among a file's words."""
+        return [t for w in self.entry_words.intersection(there) for t in self.entries[w]]
 
     def scan(self, words: list[bytes], there: set[bytes]) -> dict[str, float]:
         """label -> share of the best template's words found at their relative places, mandatory phrases verified."""
-        live = {t for t, (_, _, must) in enumerate(self.templates) if all(there.issuperset(p) for p in must)}
-        if live:
-            joined = b" " + b" ".join(words) + b" "
-            live = {t for t in live if all(b" " + b" ".join(p) + b" " in joined for p in self.templates[t][2])}
-        if not live:
-            return {}
-        wanted = {w: own for w in there if (own := [x for x in self.postings.get(w, ()) if x[0] in live])}
-        hits = defaultdict(set)
-        for at, w in enumerate(words):
-            for t, place in wanted.get(w, ()):
-                hits[t, at - place].add(place)
+        wanted: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for t in self.entered(there):
+            for w, place in self.postings[t][0]:
+                if w in there:
+                    wanted[w].append((t, place))
+        hits: Counter[tuple[int, int]] = Counter()
+        for at, w in enumerate(words if wanted else ()):
+            if w in wanted:
+                hits.update([(t, at - place) for t, place in wanted[w]])
         out: dict[str, float] = {}
-        for (t, start), places in hits.items():
+        for (t, start), n in hits.items():
             label, template, must = self.templates[t]
-            if len(places) < min(2, len(template)):
+            if n < self.postings[t][1]:
                 continue
             got = sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(template)) / len(template)
             if got >= max(LEAST, out.get(label, 0)):
@@ -122,9 +146,9 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, list[str]]] =
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row per row of `docs`.
 
     Base phrases are counted at all places; first_word and last_word are their smallest and largest start, null
-    without any. Templates: those whose mandatory phrases the file holds are entered by their places with the
-    highest IDF over all documents, as many as none can stand without; postings that agree on where the template would begin give
-    candidates; a candidate stands if LEAST of its words are at their places and its mandatory phrases in or two words around it. score is the best share, 0.5 for base phrases
+    without any. Templates: a file's words enter those whose rarest mandatory word (by IDF over
+    all documents) it holds; the postings of their rarest words, as many as none can stand without, that agree on where the template
+    would begin give candidates; one stands if LEAST of its words are at their places and its mandatory phrases in or two words around it. score is the best share, 0.5 for base phrases
     alone, 0 for nothing. Null and empty texts have no words, labels of '' and score 0. Repeated rows and null ids are
     answered row by row; other columns are ignored; an empty table gives an empty result.
     """

@@ -305,6 +305,50 @@ def brute_labels(words):
     return out
 
 
+def by_all_places(index, words):
+    """label -> best share, every template tried at every place."""
+    out = {}
+    for label, template, must in index.templates:
+        for start in range(-len(template), len(words)):
+            got = sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(template)) / len(template)
+            window = words[max(0, start - 2) : max(0, start + len(template) + 2)]
+            if got >= max(licenses.LEAST, out.get(label, 0)) and all(any(window[k : k + len(p)] == p for k in range(len(window) - len(p) + 1)) for p in must):
+                out[label] = got
+    return out
+
+
+def test_license_whole_texts_and_spdx_lines(docs):
+    whole = [(label, text) for label, text, _ in licenses.FULL_TEXTS]
+    rows = [(i, "Copyright 2020 someone\n" + text) for i, (_, text) in enumerate(whole)] + [(100 + i, f"// SPDX-License-Identifier: {name}\nint main() {{}}") for i, name in enumerate(licenses.SPDX)]
+    rows += [(200, "an SPDX license identifier names a licence"), (201, "# SPDX-License-Identifier: GPL-3.0-or-later")]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(docs(rows)).collect()}
+    assert [got[i] for i in range(len(whole))] == [(label, 1.0) for label, _ in whole]
+    assert [got[100 + i][0] for i in range(len(licenses.SPDX))] == list(licenses.SPDX.values())
+    assert got[200] == ("", 0.0) and got[201] == ("gpl", 1.0)
+
+
+def test_license_index_of_a_thousand_templates():
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(30)]
+    templates = [(f"t{t}", " ".join(own := [*rng.choices(common, k=12), f"own{t}", f"name{t // 2}", *rng.choices(common, k=6)]), [f"own{t} name{t // 2}"]) for t in range(1000)]
+    df = {w.encode(): 10_000 for w in common}
+    few, many = (licenses.LicenseIndex(templates[:n], df, 20_000) for n in (10, 1000))
+    for _ in range(60):
+        words = rng.choices(common, k=80)
+        for t in rng.sample(range(1000), 2):
+            at, own = rng.randrange(len(words)), templates[t][1].split()
+            words[at:at] = [w if rng.random() < 0.8 else "x" for w in own]
+        words = [w.encode() for w in words]
+        there = set(words)
+        # What a file enters, and so its cost, doesn't grow with the templates.
+        assert len(many.entered(there)) <= 4
+        assert set(few.entered(there)) <= set(many.entered(there))
+        near = [t for t in many.templates if there.issuperset(w for p in t[2] for w in p)]
+        small = licenses.LicenseIndex([])
+        small.templates = near
+        assert many.scan(words, there) == by_all_places(small, words)
+
+
 def test_license_files_with_several_notices(docs):
     """Any two templates, all of them, and damaged ones among prose: nothing that stands there is lost."""
     rng = random.Random(3)
