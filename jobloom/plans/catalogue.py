@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobloom.plans import dictionaries, fields, lifecycle, links, matching, pages, pay, records, report, search, sources, stats, streams, text  # noqa: F401
+from jobloom.plans import dictionaries, fields, lifecycle, links, matching, pages, pay, records, report, search, sources, stats, streams, text, texts  # noqa: F401
 from jobloom.plans.registry import QUERIES, SQL, Query
 
 
