@@ -52,7 +52,8 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     divided by a new draw among their rows. So are those in which a shard would end, until they hold one row: a shard ends at the
     splitter nearest to its part of all bytes, and shards differ by about one row's size. The driver holds the splitters,
     four for each range. Null and empty texts weigh OVERHEAD bytes. slot counts from 0 without gaps within
-    each shard; repeated rows are told apart. An empty table gives an empty result; with fewer rows than shards some are empty.
+    each shard; repeated rows are told apart. A text of any length is one row, and only its size and checksum are kept; other columns are ignored.
+    An empty table gives an empty result; with fewer rows than shards some are empty.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     key = F.col(f"`{id_col}`")

@@ -183,6 +183,24 @@ def test_shards(docs, range_bytes):
     assert [k for _, k in keys] == sorted(k for _, k in keys)
 
 
+def test_shards_end_where_all_rows_in_order_say(docs):
+    """Against all rows in key order: a shard ends at the row's end that is nearest to its part of all bytes."""
+    rng = random.Random(5)
+    rows = [(i, "x" * rng.choice([0, 5, 60, 400, 3000])) for i in rng.sample(range(5000), 700)]
+    out = {r.doc_id: r for r in sharding.shard(docs(rows), 8, range_bytes=2000).collect()}
+    sizes = [(i, len(t) + 16) for i, t in sorted(rows)]
+    total, at, ends = sum(n for _, n in sizes), 0, [0]
+    for _, n in sizes:
+        at += n
+        ends.append(at)
+    for k in range(1, 8):
+        first = min(j for j, (i, _) in enumerate(sizes) if out[i].shard >= k)
+        assert abs(ends[first] - k * total / 8) == min(abs(e - k * total / 8) for e in ends)
+    for k in range(8):
+        own = [i for i, _ in sizes if out[i].shard == k]
+        assert [out[i].slot for i in own] == list(range(len(own)))
+
+
 # --- packing ---------------------------------------------------------------------------------------------------
 
 

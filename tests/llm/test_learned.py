@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -385,8 +386,24 @@ def test_stages_take_awkward_rows(spark, sf, awkward, stage):
     out = dict(corpus_pipeline.STAGES)[stage](spark, awkward, sf)
     if stage == "best_fit_packing":
         assert out.where("piece = 0").count() == awkward.count()
-    else:
-        assert out.columns == corpus_pipeline.COLUMNS and out.count() <= awkward.count()
+        return
+    assert out.columns == corpus_pipeline.COLUMNS
+    given, kept = ([(r.doc_id, r.text) for r in d.collect()] for d in (awkward, out))
+    left = Counter(given)
+    left.subtract(kept)
+    assert min(left.values()) >= 0
+    if stage == "simhash_near_dedup":
+        assert sorted(t or "" for _, t in kept) == sorted([FOX, "another text under the same id", "", "text without an id", LONG, "naïve café — déjà vu 你好 世界"])
+    elif stage == "line_dedup":
+        assert sum(left.values()) == 0
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_empty_tables(spark, sf, awkward, stage):
+    out = dict(corpus_pipeline.STAGES)[stage](spark, awkward.where("false"), sf)
+    assert out.count() == 0
+    if stage != "best_fit_packing":
+        assert out.columns == corpus_pipeline.COLUMNS
 
 
 def test_pipeline_runs(spark, sf):

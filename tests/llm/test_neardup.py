@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from jobloom.llm import neardup
+from jobloom.llm.common import table
 
 
 def brute(rows):
@@ -53,3 +54,12 @@ def test_every_near_copy_is_found(spark, docs, sf, monkeypatch, tile, sample, co
     assert links > 50
     kept = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs(rows), sf).collect()}
     assert kept == set(root.values())
+
+
+def test_recall_on_documents(spark, sf):
+    """The stage on the whole table of documents: it keeps what comparing all pairs keeps."""
+    d = table(spark, sf.replace("sf0.001", "sf0.01"), "documents")
+    rows = [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()]
+    root, links = brute(rows)
+    kept = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, d, sf).collect()}
+    assert links > 0 and kept == set(root.values())
