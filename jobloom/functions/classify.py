@@ -150,16 +150,17 @@ def schedule_excerpt(c: Column, longest: int = 200) -> Column:
     """
     mention = rf"(?:{either(TIME_WORDS)}|t7\b)"
 
-    def around(text: Column) -> Column:
+    def found(text: Column) -> Column:
         folded = fold(text)
-        near = F.regexp_extract(folded, rf"^.{{0,{LETTERS_BEFORE}}}{mention}", 0)
-        parts = F.split(folded, mention, 2)
-        begin = F.when(near != "", F.lit(0)).otherwise(F.length(parts[0]) - LETTERS_BEFORE)
-        end = F.when(near != "", F.length(near)).otherwise(F.length(text) - F.length(parts[1]))
-        found = F.trim(F.substring(text, begin + 1, end - begin + LETTERS_AFTER))
-        return F.when(F.size(parts) > 1, F.when(F.length(found) > longest, F.concat(F.left(found, F.lit(longest - 1)), F.lit("…"))).otherwise(found))
-
-    return let(normalize_whitespace(c), around)
+        return F.struct(text.alias("text"), F.regexp_extract(folded, rf"^.{{0,{LETTERS_BEFORE}}}{mention}", 0).alias("near"), F.split(folded, mention, 2).alias("parts"))
+
+    def around(x: Column) -> Column:
+        begin = F.when(x.near != "", F.lit(0)).otherwise(F.length(x.parts[0]) - LETTERS_BEFORE)
+        end = F.when(x.near != "", F.length(x.near)).otherwise(F.length(x.text) - F.length(x.parts[1]))
+        return F.when(F.size(x.parts) > 1, F.trim(F.substring(x.text, begin + 1, end - begin + LETTERS_AFTER)))
+
+    words = let(let(normalize_whitespace(c), found), around)
+    return let(words, lambda x: F.when(F.length(x) > longest, F.concat(F.left(x, F.lit(longest - 1)), F.lit("…"))).otherwise(x))
 
 
 def parse_schedule(c: Column, longest: int = 200) -> Column:
