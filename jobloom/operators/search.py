@@ -60,21 +60,34 @@ def where(f: JobFilters, as_of: Column | None = None) -> Column:
     return out
 
 
-def order(kind: str) -> list[Column]:
-    """Newest, best paid or soonest over, nulls last; then newest, then by id."""
-    first = {"salary": [F.desc_nulls_last("salary_max")], "deadline": [F.asc_nulls_last("expires_on")]}.get(kind, [])
-    return [*first, F.desc("posted_at"), F.col("posting_id")]
+def order(kind: str, back: bool = False) -> list[Column]:
+    """Newest, best paid or soonest over, nulls last; then newest, then by id. `back`: the same from the end."""
+    first = {"salary": [F.asc_nulls_first("salary_max") if back else F.desc_nulls_last("salary_max")], "deadline": [F.desc_nulls_first("expires_on") if back else F.asc_nulls_last("expires_on")]}.get(kind, [])
+    return [*first, *([F.asc("posted_at"), F.desc("posting_id")] if back else [F.desc("posted_at"), F.asc("posting_id")])]
 
 
 def page(rows: DataFrame, number: int, kind: str = "newest", size: int = PAGE) -> DataFrame:
     return rows.orderBy(*order(kind)).offset((max(number, 1) - 1) * size).limit(size)
 
 
-def find(rows: DataFrame, f: JobFilters, number: int, kind: str = "newest", size: int = PAGE, as_of: Column | None = None) -> tuple[int, DataFrame]:
-    """(how many fit, a page of them); a page beyond the last one is the last."""
+def page_start(number: int | None, total: int, size: int) -> int:
+    """How many rows stand before a page; one beyond the last page, or None, is the last."""
+    last = max(1, -(-total // size))
+    return size * ((last if number is None else min(max(number, 1), last)) - 1)
+
+
+def cut(rows: DataFrame, total: int, start: int, size: int, ahead: list[Column], back: list[Column]) -> DataFrame:
+    """`size` rows from `start` on of `total` rows in the order `ahead`, in which no two are equal. In the second half they are taken from the end (`back`: the order from there), so that the last page keeps no more than a page of rows."""
+    if 2 * start <= total:
+        return rows.orderBy(*ahead).offset(start).limit(size)
+    return rows.orderBy(*back).limit(total - start).orderBy(*ahead).limit(size)
+
+
+def find(rows: DataFrame, f: JobFilters, number: int | None, kind: str = "newest", size: int = PAGE, as_of: Column | None = None) -> tuple[int, DataFrame]:
+    """(how many fit, a page of them); a page beyond the last one, or None, is the last."""
     fit = rows.where(where(f, as_of))
     total = fit.count()
-    return total, page(fit, min(max(number, 1), max(1, -(-total // size))), kind, size)
+    return total, cut(fit, total, page_start(number, total, size), size, order(kind), order(kind, back=True))
 
 
 def recheck_due(rows: DataFrame, as_of: Column) -> DataFrame:

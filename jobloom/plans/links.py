@@ -208,7 +208,7 @@ def p15(spark, sf):
 
 @query("h01_find_jobs", f"{P}, f AS (SELECT posting_id, posted_at FROM posting WHERE {ALIVE} AND level = 'SENIOR') SELECT posting_id, (SELECT count(*) FROM f) AS total FROM f ORDER BY posted_at DESC, posting_id LIMIT 20 OFFSET (SELECT 20 * ((greatest(1, count(*)) - 1) // 20) FROM f)")
 def h01(spark, sf):
-    total, page = Q.find(posts(spark, sf), Q.JobFilters(level="SENIOR"), 10_000)
+    total, page = Q.find(posts(spark, sf), Q.JobFilters(level="SENIOR"), None)
     return page.select(ID, F.lit(total).cast("long").alias("total"))
 
 
