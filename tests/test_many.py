@@ -44,6 +44,16 @@ def test_the_plan_does_not_grow_with_the_terms(spark):
     assert abs(sizes[0] - sizes[1]) < 50
 
 
+def test_runs_are_joined_only_where_terms_begin(spark):
+    """Beginnings of words come from heads of terms, not from every length that some term has; of runs that begin alike from one."""
+    text = " ".join(f"x{k:04d}" for k in range(200)) + " gear gears gearing"
+    kept = spark.createDataFrame([("x0001",), ("gea",), ("gearin",), *[("y" * n,) for n in range(1, 30)]], "_key string")
+    shapes, few = terms._shapes(kept, False)
+    grams = terms._grams(spark.createDataFrame([(1, text)], "k int, _text string"), ["k"], shapes, terms._heads(kept))
+    got = sorted(r._key for r in grams.collect())
+    assert few and got == sorted([f"x{k:04d}" for k in range(200)] + ["gea", "gearin"])
+
+
 @pytest.mark.parametrize("parts, least", [(1024, 100_000), (50, 1), (20, 3)])
 def test_percentiles(spark, parts, least):
     """Groups of one value, of equal values, of wide and of narrow ranges, null groups and values; ranges divided once or many times."""
