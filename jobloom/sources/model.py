@@ -12,10 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task that does heavy work on each of them.
+TASK_ROWS = 50_000
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """`rows` dealt to all cores where they lie in fewer parts, as a table in one small file does: for heavy work on each row, which would be one task's. Larger tables stay as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    """A table's `rows` dealt to all cores, and to so many tasks that none has much more than TASK_ROWS, where they lie in fewer parts: for heavy work on each row, whose tasks would grow with the table. Parquet's own counts tell how many rows there are."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    return rows if rows.rdd.getNumPartitions() >= parts else rows.repartition(parts)
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from jobloom.operators import search as Q
+from jobloom.sources import model as M
 from tests.oracle import TABLES, same
 
 
@@ -46,3 +47,10 @@ def test_pages_from_either_end(spark, kind):
         at = 40 if number is None else 10 * (min(max(number, 1), 5) - 1)
         assert total == 47 and [r.posting_id for r in page.collect()] == want[at : at + 10]
     assert Q.find(rows.limit(0), Q.JobFilters(), None, kind)[1].collect() == []
+
+
+def test_tasks_do_not_grow_with_the_table(spark, tmp_path):
+    """A row group can't be read by two tasks, however many rows it has."""
+    spark.range(10 * M.TASK_ROWS).coalesce(1).write.parquet(str(tmp_path / "t"))
+    parts = M.spread(spark.read.parquet(str(tmp_path / "t"))).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in parts) == 10 * M.TASK_ROWS and max(r["count"] for r in parts) <= 1.1 * M.TASK_ROWS
