@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,23 +34,27 @@ MOST_YEARS = 40
 
 def years_of_experience(c: Column) -> Column:
     """struct(min, max) in years: none asked for is 0 to 0, a range is put in order, one number is open if a minimum is spoken of."""
-    unit = either(YEAR_WORDS)
-    number = lambda text, pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).cast("int")
+    return let(plain(c), years_in)
 
-    def parts(text: Column) -> Column:
-        pair = rf"(\d{{1,2}})\s*{either(SPAN_WORDS)}\s*(\d{{1,2}})\s*{unit}"
-        return F.struct(
-            text.rlike(either(NO_EXPERIENCE)).alias("none"), number(text, pair, 1).alias("a"), number(text, pair, 2).alias("b"),
-            number(text, rf"(\d{{1,2}})\s*\+?\s*{unit}", 1).alias("n"), text.rlike(either(AT_LEAST)).alias("open"),
-        )
 
-    def read(x: Column) -> Column:
-        one = x.n <= MOST_YEARS
-        low = F.when(x.none, F.lit(0)).when(x.a.isNotNull(), F.least(x.a, x.b)).when(one, x.n)
-        high = F.when(x.none, F.lit(0)).when(x.a.isNotNull(), F.greatest(x.a, x.b)).when(one & ~x.open, x.n)
-        return F.struct(low.alias("min"), high.alias("max"))
+def years_in(text: Column) -> Column:
+    """`years_of_experience` of a text that is folded already. A pattern is looked for only where what it begins or ends with is there."""
+    unit, span = either(YEAR_WORDS), either(SPAN_WORDS)
+    holds = lambda words: reduce(or_, [text.contains(w) for w in words])
+    number = lambda found, pattern, k: F.nullif(F.regexp_extract(found, pattern, k), F.lit("")).cast("int")
+    one, pair = rf"(\d{{1,2}})\s*\+?\s*{unit}", rf"(\d{{1,2}})\s*{span}\s*(\d{{1,2}})\s*{unit}"
+    told = lambda low, high: F.struct(low.cast("int").alias("min"), high.cast("int").alias("max"))
+    none = F.lit(None).cast("int")
+
+    def single(n: Column) -> Column:
+        return told(F.when(n <= MOST_YEARS, n), F.when((n <= MOST_YEARS) & ~holds(AT_LEAST), n))
 
-    return let(let(plain(c), parts), read)
+    def of_pair(x: Column) -> Column:
+        return F.when(x.a.isNotNull(), told(F.least(x.a, x.b), F.greatest(x.a, x.b))).otherwise(let(number(text, one, 1), single))
+
+    # Of a pair both numbers are read in the few letters where it stands.
+    both = lambda found: F.when(found != "", F.struct(number(found, pair, 1).alias("a"), number(found, pair, 2).alias("b")))
+    return F.when(holds(NO_EXPERIENCE), told(F.lit(0), F.lit(0))).when(holds(YEAR_WORDS), let(let(F.regexp_extract(text, pair, 0), both), of_pair)).otherwise(told(none, none))
 
 
 def level_from_years(n: Column) -> Column:
@@ -56,12 +63,14 @@ def level_from_years(n: Column) -> Column:
 
 def infer_level(title: Column, experience: Column) -> Column:
     """The first level whose words a title holds (as substrings, so that they also hit inside words), else by years."""
+    return F.coalesce(let(plain(title), level_named), let(years_of_experience(F.concat_ws(" ", title, experience)).min, level_from_years))
 
-    def named(text: Column) -> Column:
-        role = text.rlike(either(ROLES_NOT_MANAGING))
-        return F.coalesce(*[F.when(text.rlike(either(words)) & (~role if level == "MANAGER" else F.lit(True)), F.lit(level)) for level, words in LEVEL_WORDS.items()])
 
-    return F.coalesce(let(plain(title), named), let(years_of_experience(F.concat_ws(" ", title, experience)).min, level_from_years))
+def level_named(text: Column) -> Column:
+    """The level that a title says, folded already. One that holds no word of any level, as most do, is looked through once."""
+    role = text.rlike(either(ROLES_NOT_MANAGING))
+    level = F.coalesce(*[F.when(text.rlike(either(words)) & (~role if level == "MANAGER" else F.lit(True)), F.lit(level)) for level, words in LEVEL_WORDS.items()])
+    return F.when(text.rlike(either([w for words in LEVEL_WORDS.values() for w in words])), level)
 
 
 # Named areas, and the numbered districts that still exist.
@@ -119,7 +128,12 @@ def is_narrow(raws: Column) -> Column:
 
 
 def is_remote(c: Column) -> Column:
-    return plain(c).rlike(r"\b(remote|tu xa|lam viec tai nha|work from home|wfh|telecommute)\b")
+    return remote_in(plain(c))
+
+
+def remote_in(text: Column) -> Column:
+    """`is_remote` of a text that is folded already."""
+    return text.rlike(r"\b(remote|tu xa|lam viec tai nha|work from home|wfh|telecommute)\b")
 
 
 def location_slugs(slugs: Column, work_mode: Column) -> Column:
@@ -137,6 +151,7 @@ SATURDAY = {
     "NONE": rf"(?:{_MON}{_TO}{_FRI})|(?:(?:nghi|off|duoc nghi)[^.;]{{0,25}}{_SAT})",
     "FULL": rf"(?:{_MON}{_TO}{_SAT})|(?:lam\s*(?:ca|luon)\s*{_SAT})",
 }
+SATURDAY_NEEDS = ["7", "6", "thu bay", "thu sau", "saturday"]
 # What working time is called, in folded text, and how many letters before and after a mention are kept.
 TIME_WORDS = ["thoi gian lam viec", "gio lam viec", "ngay lam viec", *(f"working {x}" for x in ("time", "hour", "hours", "day", "days")), "thu 7", "thu7"]
 LETTERS_BEFORE, LETTERS_AFTER = 60, 110
@@ -163,13 +178,16 @@ def schedule_excerpt(c: Column, longest: int = 200) -> Column:
     return let(words, lambda x: F.when(F.length(x) > longest, F.concat(F.left(x, F.lit(longest - 1)), F.lit("…"))).otherwise(x))
 
 
-def parse_schedule(c: Column, longest: int = 200) -> Column:
-    """struct(saturday, raw): the first rule that fits, and the words around; a mention that fits none keeps the words."""
+def parse_schedule(c: Column, longest: int = 200, folded: Column | None = None) -> Column:
+    """struct(saturday, raw): the first rule that fits, and the words around; a mention that fits none keeps the words. `folded` is what `plain` makes of the text, where that is there already."""
 
     def read(text: Column) -> Column:
-        return F.struct(F.coalesce(*[F.when(text.rlike(r), F.lit(k)) for k, r in SATURDAY.items()]).alias("kind"), text.rlike(r"\bthu\s*7\b|\bt7\b|saturday").alias("said"))
+        # No rule and no mention goes without one of these, so that most texts are not searched by patterns.
+        some = reduce(or_, [text.contains(w) for w in SATURDAY_NEEDS])
+        kind = F.coalesce(*[F.when(text.rlike(r), F.lit(k)) for k, r in SATURDAY.items()])
+        return F.struct(F.when(some, kind).alias("kind"), (some & text.rlike(r"\bthu\s*7\b|\bt7\b|saturday")).alias("said"))
 
-    return let(let(plain(c), read), lambda x: F.struct(x.kind.alias("saturday"), F.when(x.kind.isNotNull() | x.said, schedule_excerpt(c, longest)).alias("raw")))
+    return let(let(plain(c) if folded is None else folded, read), lambda x: F.struct(x.kind.alias("saturday"), F.when(x.kind.isNotNull() | x.said, schedule_excerpt(c, longest)).alias("raw")))
 
 
 def parse_date(c: Column, end_of_day: bool = False) -> Column:

@@ -76,7 +76,7 @@ def resolve_province(c: Column) -> Column:
 
 def _given(item: Column, path: str) -> Column:
     """A part of an address, '' where it is missing or junk."""
-    return let(F.trim(F.coalesce(F.get_json_object(item, path), F.lit(""))), lambda x: F.when(F.lower(remove_diacritics(x)).isin(*JUNK), F.lit("")).otherwise(x))
+    return let(F.trim(F.coalesce(F.get_json_object(item, path), F.lit(""))), lambda x: F.when((x != "") & F.lower(remove_diacritics(x)).isin(*JUNK), F.lit("")).otherwise(x))
 
 
 def _place(item: Column, street_first: bool) -> Column:
@@ -87,16 +87,16 @@ def _place(item: Column, street_first: bool) -> Column:
         tries = [x.street, combined, x.region, x.locality] if street_first else [x.region, x.locality, combined]
         return F.struct(combined.alias("raw"), F.array(*tries).alias("tries"))
 
-    parts = F.struct(*[_given(item, f"$.address.{k}").alias(name) for k, name in (("streetAddress", "street"), ("addressLocality", "locality"), ("addressRegion", "region"))])
+    parts = lambda address: F.struct(*[_given(address, f"$.{k}").alias(name) for k, name in (("streetAddress", "street"), ("addressLocality", "locality"), ("addressRegion", "region"))])
     alone = lambda t: let(F.coalesce(t, F.lit("")), lambda v: F.struct(v.alias("raw"), F.array(v).alias("tries")))
-    addressed = F.ltrim(F.get_json_object(item, "$.address")).startswith("{")
-    return F.when(addressed, let(parts, of)).when(F.ltrim(item).startswith("{"), alone(F.get_json_object(item, "$.name"))).otherwise(alone(item))
+    placed = lambda address: F.when(F.ltrim(address).startswith("{"), let(parts(address), of)).when(F.ltrim(item).startswith("{"), alone(F.get_json_object(item, "$.name"))).otherwise(alone(item))
+    return let(F.get_json_object(item, "$.address"), placed)
 
 
 def json_items(c: Column) -> Column:
     """The elements of a JSON array as texts, those of arrays within it in their place; anything else as the only one."""
     each = lambda x: F.when(F.ltrim(x).startswith("["), F.coalesce(F.from_json(x, "array<string>"), F.array().cast("array<string>"))).otherwise(F.array(x))
-    return F.flatten(F.transform(each(c), each))
+    return let(c, lambda x: F.flatten(F.transform(each(x), each)))
 
 
 def extract_locations(job_location: Column, street_first: bool = False) -> Column:
@@ -108,5 +108,6 @@ def extract_locations(job_location: Column, street_first: bool = False) -> Colum
         named = F.filter(all_, lambda p: p.raw != "")
         return let(named, lambda ps: F.filter(ps, lambda p, i: F.array_position(F.transform(ps, lambda q: q.raw), p.raw) == i + 1))
 
-    first = lambda tries: F.try_element_at(F.filter(F.transform(F.filter(tries, lambda t: t != ""), resolve_province), lambda s: s.isNotNull()), F.lit(1))
+    # A text is looked at only if those before it name no province.
+    first = lambda tries: F.aggregate(tries, F.lit(None).cast("string"), lambda found, t: F.coalesce(found, F.when(t != "", resolve_province(t))))
     return F.coalesce(F.transform(let(spaced, once), lambda p: F.struct(p.raw.alias("raw"), first(p.tries).alias("slug"))), F.array().cast("array<struct<raw:string,slug:string>>"))

@@ -26,6 +26,15 @@ def of_variant(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
+#: The texts of a posting that are read.
+FIELDS = "url title description jobLocation datePosted validThrough experienceRequirements jobLocationType employmentType industry occupationalCategory skills qualifications".split()
+
+
+def of_fields(fields: Column) -> Get:
+    """What `of_variant` gives, where FIELDS were taken out of a variant already."""
+    return lambda v, path: fields[path[2:]] if path[2:] in FIELDS else of_variant(v, path)
+
+
 def text_at(posting: Column, path: str, get: Get = F.get_json_object) -> Column:
     """A text or number at a path of a JSON text; '' for anything else."""
     return F.coalesce(get(posting, path), F.lit(""))
@@ -74,6 +83,15 @@ def declared_skills(posting: Column, more: Column, get: Get = F.get_json_object)
     return F.array_distinct(F.concat(*[F.coalesce(of(p), none) for p in ("$.skills", "$.occupationalCategory", "$.qualifications")], extra))
 
 
+#: The texts of an employer that are read.
+FIRM = "name sameAs url logo".split()
+
+
+def of_firm(name: str) -> Column:
+    """A text of the employer: of `_firm`, taken out of the variant, or where that is no object (a list, a text) of `_org`, which is there for these and for logos."""
+    return F.when(F.col("_firm").isNotNull(), F.col(f"_firm.{name}")).otherwise(F.get_json_object("_org", f"$.{name}"))
+
+
 def normalize(postings: DataFrame, id_pattern: str | None = None, street_first: bool = False, as_of: Column | None = None, compose: bool = False) -> DataFrame:
     """One typed row for each row of `postings`: (posting: JSON text, page_url, salary_text, skills, work_mode); other columns pass through.
 
@@ -83,30 +101,40 @@ def normalize(postings: DataFrame, id_pattern: str | None = None, street_first:
     """
     # The JSON is parsed once a row.
     row, p = T.step(postings, _v=F.try_parse_json(T.nfc(F.col("posting")) if compose else F.col("posting"))), F.col("_v")
-    text, record, items = (lambda path: text_at(p, path, of_variant)), (lambda path: record_at(p, path, of_variant)), (lambda path: of_variant(p, path))
+    # Its object is taken apart once as well.
+    row, get = T.step(row, _f=F.try_variant_get(p, "$", f"struct<{','.join(f'{x}:string' for x in FIELDS)},baseSalary:variant>"), _firm=F.try_variant_get(p, "$.hiringOrganization", f"struct<{','.join(f'{x}:string' for x in FIRM)}>")), of_fields(F.col("_f"))
+    text, record, items = (lambda path: text_at(p, path, get)), (lambda path: record_at(p, path, get)), (lambda path: get(p, path))
     row = row.withColumns(
         {
-            "url": T.canonical_url(F.coalesce(F.nullif(text("$.url"), F.lit("")), F.col("page_url"))), "title": T.normalize_whitespace(text("$.title")), "_org": record("$.hiringOrganization"), "_full": T.html_to_text(text("$.description")),
+            "url": T.canonical_url(F.coalesce(F.nullif(text("$.url"), F.lit("")), F.col("page_url"))), "title": T.normalize_whitespace(text("$.title")), "_org": F.when(F.col("_firm").isNull() | F.col("_firm.logo").isNotNull(), record("$.hiringOrganization")), "_full": T.html_to_text(text("$.description")),
             "locations": extract_locations(items("$.jobLocation"), street_first), "posted_at": C.parse_date(text("$.datePosted")), "expires_at": C.parse_date(text("$.validThrough"), True),
-            "_base": F.try_variant_get(p, "$.baseSalary", "variant"), "_experience": record("$.experienceRequirements"),
+            "_base": F.col("_f.baseSalary"), "_experience": record("$.experienceRequirements"),
         }
-    ).withColumns(
+    )
+    # Folded once a row: the title, the whole description, and its beginning where that is shorter.
+    folded = lambda c: F.lower(T.remove_diacritics(c))
+    row = T.step(row, _title=folded(F.col("title")), _plain=folded(F.col("_full")), _declared=S.parse_salary_json(F.col("_base")))
+    row = row.withColumns(
         {
-            "external_id": F.coalesce(F.nullif(T.id_from_url(F.col("url"), id_pattern), F.lit("")), F.left(F.sha2("url", 256), F.lit(24))), "title_norm": T.title_norm(F.col("title")),
-            "company_name": F.coalesce(F.nullif(T.normalize_whitespace(text_at(F.col("_org"), "$.name")), F.lit("")), F.lit(UNNAMED)), "description_text": F.nullif(T.truncate_bytes(F.col("_full"), DESCRIPTION_BYTES), F.lit("")),
-            "_declared": S.parse_salary_json(F.col("_base")), "_written": S.parse_salary(F.col("salary_text")), "_telecommute": F.upper(text("$.jobLocationType")) == "TELECOMMUTE",
-            "_months": positive_number(F.get_json_object("_experience", "$.monthsOfExperience")), "schedule": C.parse_schedule(F.nullif(F.col("_full"), F.lit(""))), "district": C.first_district(F.transform("locations", lambda x: x.raw)),
+            "external_id": F.coalesce(F.nullif(T.id_from_url(F.col("url"), id_pattern), F.lit("")), F.left(F.sha2("url", 256), F.lit(24))), "title_norm": T.title_key(F.col("_title")),
+            "company_name": F.coalesce(F.nullif(T.normalize_whitespace(F.coalesce(of_firm("name"), F.lit(""))), F.lit("")), F.lit(UNNAMED)), "description_text": F.nullif(T.truncate_bytes(F.col("_full"), DESCRIPTION_BYTES), F.lit("")),
+            # What is written counts only where no public pay is declared.
+            "_written": F.when(~F.coalesce("_declared.is_public", F.lit(False)), S.parse_salary(F.col("salary_text"))), "_telecommute": F.upper(text("$.jobLocationType")) == "TELECOMMUTE",
+            "_months": positive_number(F.get_json_object("_experience", "$.monthsOfExperience")), "schedule": C.parse_schedule(F.nullif(F.col("_full"), F.lit("")), folded=F.col("_plain")), "district": C.first_district(F.transform("locations", lambda x: x.raw)),
         }
     )
     plain_experience = F.when(F.col("_experience").isNull(), F.nullif(text("$.experienceRequirements"), F.lit("")))
-    head = lambda n: F.coalesce(F.left("description_text", F.lit(n)), F.lit(""))
+    head = lambda n: F.when(F.length("_full") <= n, F.col("_plain")).otherwise(S.plain(F.left("description_text", F.lit(n))))
     row = row.withColumns(
         {
             "company_key": T.company_key(F.col("company_name")), "salary": F.when(F.col("_declared.is_public"), F.col("_declared")).when(F.col("_written.is_public"), F.col("_written")).otherwise(F.coalesce("_declared", S.hidden())),
             "salary_raw": F.when(F.col("_declared.is_public") | ~F.col("_written.is_public") & F.col("_declared").isNotNull(), F.left(F.to_json("_base"), F.lit(300))).otherwise(T.normalize_whitespace(F.col("salary_text"))),
-            "_remote": F.col("_telecommute") | C.is_remote(F.col("title")) | C.is_remote(head(MODE_LETTERS)), "_experience_text": F.concat_ws(" ", plain_experience, years_text(F.col("_months")), head(EXPERIENCE_LETTERS)),
+            "_remote": F.col("_telecommute") | C.remote_in(F.col("_title")) | C.remote_in(head(MODE_LETTERS)),
+            # As folding the whole would give, each part being folded where it is not empty.
+            "_asked": F.concat_ws(" ", F.when(F.col("title") != "", F.col("_title")), folded(F.nullif(T.normalize_whitespace(F.concat_ws(" ", plain_experience, years_text(F.col("_months")))), F.lit(""))), F.when(F.col("_full") != "", head(EXPERIENCE_LETTERS))),
         }
-    ).withColumns({"level": C.infer_level(F.col("title"), F.col("_experience_text")), "_years": C.years_of_experience(F.concat_ws(" ", "title", "_experience_text"))})
+    ).withColumns({"_years": C.years_in(F.col("_asked"))})
+    row = row.withColumn("level", F.coalesce(C.level_named(F.col("_title")), C.level_from_years(F.col("_years.min"))))
     problems = [
         F.when(F.col("title") == "", LACKS["title"]), F.when(F.col("company_name") == UNNAMED, LACKS["company"]), F.when(F.col("description_text").isNull(), LACKS["description"]), S.salary_problem(F.col("salary.out_of_range"), F.col("salary_raw")),
         F.when(F.col("posted_at").isNull(), LACKS["posted"]), F.when((F.size("locations") == 0) & ~F.col("_remote"), LACKS["place"]),
@@ -115,11 +143,11 @@ def normalize(postings: DataFrame, id_pattern: str | None = None, street_first:
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     made = {
         "external_id": F.col("external_id"), "url": F.col("url"), "title": F.col("title"), "title_norm": F.col("title_norm"), "company_name": F.col("company_name"), "company_key": F.col("company_key"), "company_slug": T.slug(F.coalesce(F.nullif("company_key", F.lit("")), "company_name")),
-        "company_website": F.nullif(F.coalesce(F.nullif(text_at(F.col("_org"), "$.sameAs"), F.lit("")), text_at(F.col("_org"), "$.url")), F.lit("")), "company_logo_url": logo_of(F.col("_org")), "description_text": F.col("description_text"),
+        "company_website": F.nullif(F.coalesce(F.nullif(of_firm("sameAs"), F.lit("")), of_firm("url")), F.lit("")), "company_logo_url": logo_of(F.col("_org")), "description_text": F.col("description_text"),
         "content_hash": F.sha2(F.concat_ws("|", "title", "company_key", F.coalesce("description_text", F.lit("")), number("salary.min"), number("salary.max")), 256), "salary": F.col("salary"), "salary_raw": F.col("salary_raw"),
         "employment_type": C.employment_type(json_items(items("$.employmentType"))), "work_mode": F.coalesce("work_mode", F.when(F.col("_remote"), "REMOTE").when(is_hybrid(F.col("title"), F.col("description_text")), "HYBRID").otherwise("ONSITE")),
-        "level": F.col("level"), "years_min": F.col("_years.min"), "years_max": F.col("_years.max"), "industry": industry_of(p, of_variant), "district": F.col("district"), "saturday": F.col("schedule.saturday"), "schedule_raw": F.col("schedule.raw"),
-        "posted_at": F.coalesce("posted_at", F.current_timestamp() if as_of is None else as_of), "expires_at": F.col("expires_at"), "locations": F.col("locations"), "skills": declared_skills(p, F.col("skills"), of_variant),
+        "level": F.col("level"), "years_min": F.col("_years.min"), "years_max": F.col("_years.max"), "industry": industry_of(p, get), "district": F.col("district"), "saturday": F.col("schedule.saturday"), "schedule_raw": F.col("schedule.raw"),
+        "posted_at": F.coalesce("posted_at", F.current_timestamp() if as_of is None else as_of), "expires_at": F.col("expires_at"), "locations": F.col("locations"), "skills": declared_skills(p, F.col("skills"), get),
         "parse_status": F.when(F.size("_problems") == 0, "OK").otherwise("PARTIAL"), "parse_error": F.nullif(F.array_join("_problems", "; "), F.lit("")),
     }
     given = {"posting", "page_url", "salary_text", *made}

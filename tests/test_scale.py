@@ -8,7 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from jobloom.functions import classify as C
+from jobloom.functions import text as T
 from jobloom.operators import fields as O
+from jobloom.operators import normalize as N
 from jobloom.operators import search as Q
 from jobloom.sources import model as M
 from tests.oracle import TABLES, same
@@ -75,3 +78,35 @@ def test_pages_of_a_field(spark, cumulative):
         page = O.items(rows, O.Request(page=number, cumulative=cumulative), size=10)
         assert [r.posting_id for r in page.collect()] == want[0 if cumulative else at : at + 10] and judged.value <= 47
         page.sparkSession.catalog.clearCache()
+
+
+def test_a_posting_is_taken_apart_once(spark):
+    """What the normaliser does on each row: a field of the JSON is got once, a text folded once, and no pay text is read behind public declared pay."""
+    rows = spark.createDataFrame([('{"title": "x"}', "https://a.b/c-1.html", None, None, None)], "posting string, page_url string, salary_text string, skills array<string>, work_mode string")
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    plan = N.normalize(rows)._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    assert 0 < plan.count("variant_get(") <= 16 and 0 < plan.count("translate(") <= 24
+
+
+TEXTS = [None, "", "java dev", "hot [gap] ke toan (remote) - ", "luong upto 10tr", "3 nam", "2-5 nam", "tu 2 den 4 years", "5+ nam", "it nhat 45 nam", "khong yeu cau kinh nghiem, 3 nam", "10 , 12 nam", "thu 7 nghi", "thu 2 - thu 6", "t7", "x6 y7", "saturday", "á b", "project manager", "intern 1 nam"]
+
+
+def test_what_is_looked_through_first_changes_nothing(spark):
+    """Against the patterns one after the other, without the looks that leave most texts alone."""
+    rows = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    t, cut = F.col("t"), F.col("t")
+    for pattern in [*T.TITLE_NOISE, r"[^a-z0-9+#./ ]+"]:
+        cut = F.regexp_replace(cut, pattern, " ")
+    level = F.coalesce(*[F.when(t.rlike(T.either(words)) & (~t.rlike(T.either(C.ROLES_NOT_MANAGING)) if k == "MANAGER" else F.lit(True)), F.lit(k)) for k, words in C.LEVEL_WORDS.items()])
+    saturday = F.coalesce(*[F.when(t.rlike(r), F.lit(k)) for k, r in C.SATURDAY.items()])
+    n = F.nullif(F.regexp_extract(t, r"(\d{1,2})\s*\+?\s*(?:year|nam)", 1), F.lit("")).cast("int")
+    a, b = (F.nullif(F.regexp_extract(t, r"(\d{1,2})\s*(?:-|–|den|to)\s*(\d{1,2})\s*(?:year|nam)", k), F.lit("")).cast("int") for k in (1, 2))
+    none, wide, one = t.rlike(T.either(C.NO_EXPERIENCE)), t.rlike(T.either(C.AT_LEAST)), n <= C.MOST_YEARS
+    low = F.when(none, 0).when(a.isNotNull(), F.least(a, b)).when(one, n)
+    high = F.when(none, 0).when(a.isNotNull(), F.greatest(a, b)).when(one & ~wide, n)
+    want = [F.trim(F.regexp_replace(cut, r"\s+", " ")), level, saturday, low, high, F.regexp_replace(F.translate(t, *T.fold_table()), "[̀-ͯ]", "")]
+    got = [T.title_key(t), C.level_named(t), C.parse_schedule(t, folded=t).saturday, C.years_in(t).min, C.years_in(t).max, T.remove_diacritics(t)]
+    for r in rows.select(*[x.alias(f"w{i}") for i, x in enumerate(want)], *[x.alias(f"g{i}") for i, x in enumerate(got)]).collect():
+        assert r[: len(want)] == r[len(want) :]
