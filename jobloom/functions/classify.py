@@ -50,11 +50,11 @@ def years_in(text: Column) -> Column:
         return told(F.when(n <= MOST_YEARS, n), F.when((n <= MOST_YEARS) & ~holds(AT_LEAST), n))
 
     def of_pair(x: Column) -> Column:
-        return F.when(x.a.isNotNull(), told(F.least(x.a, x.b), F.greatest(x.a, x.b))).otherwise(let(number(text, one, 1), single))
+        return F.when(x.a.isNotNull(), told(F.least(x.a, x.b), F.greatest(x.a, x.b))).otherwise(let(F.when(x.a.isNull() & holds(YEAR_WORDS), number(text, one, 1)), single))
 
     # Of a pair both numbers are read in the few letters where it stands.
     both = lambda found: F.when(found != "", F.struct(number(found, pair, 1).alias("a"), number(found, pair, 2).alias("b")))
-    return F.when(holds(NO_EXPERIENCE), told(F.lit(0), F.lit(0))).when(holds(YEAR_WORDS), let(let(F.regexp_extract(text, pair, 0), both), of_pair)).otherwise(told(none, none))
+    return F.when(holds(NO_EXPERIENCE), told(F.lit(0), F.lit(0))).when(holds(YEAR_WORDS), let(let(F.when(holds(YEAR_WORDS), F.regexp_extract(text, pair, 0)), both), of_pair)).otherwise(told(none, none))
 
 
 def level_from_years(n: Column) -> Column:
@@ -118,7 +118,7 @@ def district_of(raw: Column) -> Column:
 
 
 def first_district(raws: Column) -> Column:
-    return F.try_element_at(F.filter(F.transform(raws, district_of), lambda x: x.isNotNull()), F.lit(1))
+    return F.try_element_at(F.filter(F.transform(raws, lambda x: district_of(x)), lambda x: x.isNotNull()), F.lit(1))
 
 
 def is_narrow(raws: Column) -> Column:
@@ -152,6 +152,8 @@ SATURDAY = {
     "FULL": rf"(?:{_MON}{_TO}{_SAT})|(?:lam\s*(?:ca|luon)\s*{_SAT})",
 }
 SATURDAY_NEEDS = ["7", "6", "thu bay", "thu sau", "saturday"]
+#: A day as any rule or mention has it: none of them fits without it.
+SOME_DAY = r"\bt(?:h[uw])?\s*\.?\s*[67]|\bthu (?:bay|sau)\b|saturday"
 # What working time is called, in folded text, and how many letters before and after a mention are kept.
 TIME_WORDS = ["thoi gian lam viec", "gio lam viec", "ngay lam viec", *(f"working {x}" for x in ("time", "hour", "hours", "day", "days")), "thu 7", "thu7"]
 LETTERS_BEFORE, LETTERS_AFTER = 60, 110
@@ -183,32 +185,38 @@ def parse_schedule(c: Column, longest: int = 200, folded: Column | None = None)
 
     def read(text: Column) -> Column:
         # No rule and no mention goes without one of these, so that most texts are not searched by patterns.
-        some = reduce(or_, [text.contains(w) for w in SATURDAY_NEEDS])
+        some = reduce(or_, [text.contains(w) for w in SATURDAY_NEEDS]) & text.rlike(SOME_DAY)
+        return let(F.when(some, text), rules)
+
+    def rules(text: Column) -> Column:
         kind = F.coalesce(*[F.when(text.rlike(r), F.lit(k)) for k, r in SATURDAY.items()])
-        return F.struct(F.when(some, kind).alias("kind"), (some & text.rlike(r"\bthu\s*7\b|\bt7\b|saturday")).alias("said"))
+        return F.struct(kind.alias("kind"), F.coalesce(text.rlike(r"\bthu\s*7\b|\bt7\b|saturday"), F.lit(False)).alias("said"))
 
     return let(let(plain(c) if folded is None else folded, read), lambda x: F.struct(x.kind.alias("saturday"), F.when(x.kind.isNotNull() | x.said, schedule_excerpt(c, longest)).alias("raw")))
 
 
 def parse_date(c: Column, end_of_day: bool = False) -> Column:
     """d-m-Y and d/m/Y day first, bare ISO days at +07:00 (start or end of day), other ISO instants; years 2000 to 2100, else null."""
-    text = F.trim(c)
-    d, m, y = (F.regexp_extract(text, r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})", k) for k in (1, 2, 3))
-    day = F.when(d != "", F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text)
-    instant = F.try_to_timestamp(F.concat(day, F.lit(" 23:59:59+07:00" if end_of_day else " 00:00:00+07:00")), F.lit("yyyy-MM-dd HH:mm:ssXXX"))
-    at = F.coalesce(instant, F.when(day.isNull() & text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), text.try_cast("timestamp")))
-    return F.when(F.year(at).between(2000, 2100), at)
+    text, day_first = F.trim(c), r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})"
+    day = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text).when(text.rlike(day_first), F.regexp_replace(text, rf"(?s){day_first}.*$", "$3-$2-$1"))
+
+    def instant(day: Column) -> Column:
+        whole = F.try_to_timestamp(F.concat(day, F.lit(" 23:59:59+07:00" if end_of_day else " 00:00:00+07:00")), F.lit("yyyy-M-d HH:mm:ssXXX"))
+        return F.when(day.isNotNull(), whole).when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), text.try_cast("timestamp"))
+
+    return let(let(day, instant), lambda x: F.when(F.year(x).between(2000, 2100), x))
 
 
 # Kinds of employment as sources write them.
 EMPLOYMENT = {"FULL_TIME": "FULL_TIME", "FULLTIME": "FULL_TIME", "PART_TIME": "PART_TIME", "PARTTIME": "PART_TIME", "CONTRACTOR": "CONTRACT", "CONTRACT": "CONTRACT", "TEMPORARY": "TEMPORARY", "INTERN": "INTERNSHIP", "INTERNSHIP": "INTERNSHIP", "OTHER": "OTHER"}
 
 
-def employment_type(values: Column) -> Column:
-    """The first item that is known, after quotes are cut and words joined."""
+def employment_type(values: Column, one: Column | None = None) -> Column:
+    """The first item that is known, after quotes are cut and words joined. Where there is but `one`, it may be given as a text."""
     key = lambda x: F.upper(F.regexp_replace(F.trim(F.regexp_replace(x, "[\"']", "")), r"[\s-]+", "_"))
     known = F.create_map(*[F.lit(x) for kv in EMPLOYMENT.items() for x in kv])
-    return F.try_element_at(F.filter(F.transform(values, lambda x: F.try_element_at(known, key(x))), lambda x: x.isNotNull()), F.lit(1))
+    first = F.try_element_at(F.filter(F.transform(values, lambda x: F.try_element_at(known, key(x))), lambda x: x.isNotNull()), F.lit(1))
+    return first if one is None else F.when(one.isNotNull(), F.try_element_at(known, key(one))).otherwise(first)
 
 
 def terms_hit(key: Column, terms: list[str], tech: bool = False) -> Column:

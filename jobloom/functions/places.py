@@ -74,20 +74,31 @@ def resolve_province(c: Column) -> Column:
     return let(match_key(c), of)
 
 
-def _given(item: Column, path: str) -> Column:
+def _given(part: Column) -> Column:
     """A part of an address, '' where it is missing or junk."""
-    return let(F.trim(F.coalesce(F.get_json_object(item, path), F.lit(""))), lambda x: F.when((x != "") & F.lower(remove_diacritics(x)).isin(*JUNK), F.lit("")).otherwise(x))
+    return let(F.trim(F.coalesce(part, F.lit(""))), lambda x: F.when((x != "") & F.lower(remove_diacritics(x)).isin(*JUNK), F.lit("")).otherwise(x))
+
+
+#: The parts of an address that are read.
+ADDRESS = {"streetAddress": "street", "addressLocality": "locality", "addressRegion": "region"}
+
+
+def _tries(x: Column, combined: Column, street_first: bool) -> list[Column]:
+    """The texts to look for a province in, in order, of an address (street, locality, region)."""
+    return [x.street, combined, x.region, x.locality] if street_first else [x.region, x.locality, combined]
+
+
+def _combined(x: Column) -> Column:
+    return F.concat_ws(", ", *[F.when(x[name] != "", x[name]) for name in ADDRESS.values()])
 
 
 def _place(item: Column, street_first: bool) -> Column:
     """struct(raw, tries) of one declared place, a JSON text: what names it, and the texts to look for a province in, in order."""
 
     def of(x: Column) -> Column:
-        combined = F.array_join(F.filter(F.array(x.street, x.locality, x.region), lambda t: t != ""), ", ")
-        tries = [x.street, combined, x.region, x.locality] if street_first else [x.region, x.locality, combined]
-        return F.struct(combined.alias("raw"), F.array(*tries).alias("tries"))
+        return let(_combined(x), lambda combined: F.struct(combined.alias("raw"), F.array(*_tries(x, combined, street_first)).alias("tries")))
 
-    parts = lambda address: F.struct(*[_given(address, f"$.{k}").alias(name) for k, name in (("streetAddress", "street"), ("addressLocality", "locality"), ("addressRegion", "region"))])
+    parts = lambda address: F.struct(*[_given(F.get_json_object(address, f"$.{k}")).alias(name) for k, name in ADDRESS.items()])
     alone = lambda t: let(F.coalesce(t, F.lit("")), lambda v: F.struct(v.alias("raw"), F.array(v).alias("tries")))
     placed = lambda address: F.when(F.ltrim(address).startswith("{"), let(parts(address), of)).when(F.ltrim(item).startswith("{"), alone(F.get_json_object(item, "$.name"))).otherwise(alone(item))
     return let(F.get_json_object(item, "$.address"), placed)
@@ -96,7 +107,29 @@ def _place(item: Column, street_first: bool) -> Column:
 def json_items(c: Column) -> Column:
     """The elements of a JSON array as texts, those of arrays within it in their place; anything else as the only one."""
     each = lambda x: F.when(F.ltrim(x).startswith("["), F.coalesce(F.from_json(x, "array<string>"), F.array().cast("array<string>"))).otherwise(F.array(x))
-    return let(c, lambda x: F.flatten(F.transform(each(x), each)))
+    return let(c, lambda x: F.when(F.ltrim(x).startswith("["), F.flatten(F.transform(each(x), each))).otherwise(F.array(x)))
+
+
+_NOWHERE = "array<struct<raw:string,slug:string>>"
+
+
+def only_location(address: Column, street_first: bool) -> Column:
+    """`extract_locations` of a posting with one place, whose address (a struct of ADDRESS) is taken apart already; null without one."""
+
+    def of(x: Column) -> Column:
+        return let(_combined(x), lambda combined: let(normalize_whitespace(combined), lambda raw: named(_tries(x, combined, street_first), raw)))
+
+    def named(tries: list[Column], raw: Column) -> Column:
+        return F.when(raw != "", F.array(F.struct(raw.alias("raw"), _first_province(F.array(*tries)).alias("slug")))).otherwise(F.array().cast(_NOWHERE))
+
+    clean = F.transform(F.array(*[address[k] for k in ADDRESS]), lambda x: _given(x))
+    parts = let(clean, lambda xs: F.struct(*[F.get(xs, F.lit(i)).alias(name) for i, name in enumerate(ADDRESS.values())]))
+    return F.when(address.isNotNull(), let(parts, of))
+
+
+def _first_province(tries: Column) -> Column:
+    """The province that the first text names, else the next: a text is looked at only if those before it name none."""
+    return F.aggregate(tries, F.lit(None).cast("string"), lambda found, t: F.coalesce(found, F.when(t != "", resolve_province(t))))
 
 
 def extract_locations(job_location: Column, street_first: bool = False) -> Column:
@@ -108,6 +141,4 @@ def extract_locations(job_location: Column, street_first: bool = False) -> Colum
         named = F.filter(all_, lambda p: p.raw != "")
         return let(named, lambda ps: F.filter(ps, lambda p, i: F.array_position(F.transform(ps, lambda q: q.raw), p.raw) == i + 1))
 
-    # A text is looked at only if those before it name no province.
-    first = lambda tries: F.aggregate(tries, F.lit(None).cast("string"), lambda found, t: F.coalesce(found, F.when(t != "", resolve_province(t))))
-    return F.coalesce(F.transform(let(spaced, once), lambda p: F.struct(p.raw.alias("raw"), first(p.tries).alias("slug"))), F.array().cast("array<struct<raw:string,slug:string>>"))
+    return F.coalesce(F.transform(let(spaced, once), lambda p: F.struct(p.raw.alias("raw"), _first_province(p.tries).alias("slug"))), F.array().cast(_NOWHERE))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from jobloom.functions import classify as C
+from jobloom.functions import places as P
 from jobloom.functions import text as T
 from jobloom.operators import fields as O
 from jobloom.operators import normalize as N
@@ -110,3 +112,22 @@ def test_what_is_looked_through_first_changes_nothing(spark):
     got = [T.title_key(t), C.level_named(t), C.parse_schedule(t, folded=t).saturday, C.years_in(t).min, C.years_in(t).max, T.remove_diacritics(t)]
     for r in rows.select(*[x.alias(f"w{i}") for i, x in enumerate(want)], *[x.alias(f"g{i}") for i, x in enumerate(got)]).collect():
         assert r[: len(want)] == r[len(want) :]
+
+
+DATES = [None, "", "3/4/2024", "03-04-2024 10:00", "31/02/2024", "2024-02-29", "2023-02-29", "2024-1-5", "2024-01-05T10:00:00Z", "2024-01-05x", "1/1/1999", "x 1/1/2024", "1/1/2024\nlast"]
+ADDRESSES = [{}, {"addressRegion": "N/A"}, {"streetAddress": "12  Lê Lợi", "addressLocality": "Quận 7", "addressRegion": "TP HCM"}, {"streetAddress": "KCN Sóng Thần, Bình Dương", "addressRegion": 7}, {"addressLocality": ["Hà Nội"], "addressRegion": None}, {"addressRegion": " Tỉnh Đồng Nai "}]
+
+
+def test_a_posting_with_one_place(spark):
+    """A place is read from its address, which isn't written out as JSON first; days are read by one pattern. Both as before."""
+    rows = spark.createDataFrame([(json.dumps({"jobLocation": {"address": a}, "datePosted": d, "validThrough": d}), d) for a in ADDRESSES for d in DATES], "posting string, d string")
+    given = rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("page_url", "string"), ("salary_text", "string"), ("skills", "array<string>"), ("work_mode", "string"))])
+    assert "StructField(jobLocation," not in N.normalize(given)._jdf.queryExecution().optimizedPlan().toString()
+    v, text = F.try_parse_json("posting"), F.trim(F.col("d"))
+    d, m, y = (F.regexp_extract(text, r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})", k) for k in (1, 2, 3))
+    day = F.when(d != "", F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text)
+    at = F.coalesce(F.try_to_timestamp(F.concat(day, F.lit(" 00:00:00+07:00")), F.lit("yyyy-MM-dd HH:mm:ssXXX")), F.when(day.isNull() & text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), text.try_cast("timestamp")))
+    address = F.try_variant_get(v, "$.jobLocation.address", f"struct<{','.join(f'{k}:string' for k in P.ADDRESS)}>")
+    for first in (True, False):
+        for r in rows.select(F.when(F.year(at).between(2000, 2100), at).alias("want"), C.parse_date(F.col("d")).alias("got"), P.extract_locations(F.get_json_object("posting", "$.jobLocation"), first).alias("places"), P.only_location(address, first).alias("only")).collect():
+            assert r.want == r.got and r.places == r.only
